@@ -75,10 +75,10 @@ def _(spark, d):
 
 # --- row metrics ------------------------------------------------------------------------------------------------
 
-def _metric(name: str, column: str, sql: str, expression):
-    @query(name, f"WITH {PF_SQL} SELECT hole_id, {r(sql, column)} FROM pf")
+def _metric(name: str, column: str, sql: str, expression, digits: int = 6):
+    @query(name, f"WITH {PF_SQL} SELECT hole_id, {r(sql, column, digits)} FROM pf")
     def _(spark, d):
-        return tidy(factors(spark, d).select("hole_id", expression().alias(column)))
+        return tidy(factors(spark, d).select("hole_id", expression().alias(column)), digits)
 
 
 _DIV = "CASE WHEN {b} > 0 THEN {a} / {b} END"
@@ -90,7 +90,7 @@ _DOT = " + ".join(f"{_UNIT('incl', 'az', k)} * {_UNIT('incl_design', 'az_design'
 _metric("stemming_ratio", "stemming_ratio", _DIV.format(a="taco_m", b="burden"), blast.stemming_ratio)
 _metric("subdrilling_ratio", "subdrilling_ratio", _DIV.format(a=_SUB, b="burden"), blast.subdrilling_ratio)
 _metric("spacing_burden_ratio", "spacing_burden_ratio", _DIV.format(a="spacing", b="burden"), blast.spacing_burden_ratio)
-_metric("kg_per_meter", "kg_per_meter", _DIV.format(a="kg", b="len"), blast.kg_per_meter)
+_metric("kg_per_meter", "kg_per_meter", _DIV.format(a="kg", b="len"), blast.kg_per_meter, 12)
 _metric("charge_column_height", "altura_carga_m", "greatest(len - taco_m, 0)", blast.charge_column)
 _metric("hole_fill_fraction", "hole_fill_fraction",
         f"(kg / len) / (pi() / 4 * power(diam_mm / 1000, 2) * ({DENSITY_SQL} * 1000))", blast.hole_fill_fraction)
@@ -104,14 +104,14 @@ _metric("bottom_column_ratio", "bottom_column_ratio", _DIV.format(a="bottom_kg",
 _metric("subdrill_series", "pasadura_m", _SUB, blast.subdrill)
 
 
-@query("enriched_holes", f"""WITH {PF_SQL} SELECT hole_id, {r(_DIV.format(a='taco_m', b='burden'), 'stemming_ratio')},
-    {r(_DIV.format(a='spacing', b='burden'), 'spacing_burden_ratio')}, {r('kg / len', 'kg_per_meter')},
-    {r(_DC + ' / (diam_mm / 1000)', 'coupling_ratio')}, {r('energy_mj')},
+@query("enriched_holes", f"""WITH {PF_SQL} SELECT hole_id, {r(_DIV.format(a='taco_m', b='burden'), 'stemming_ratio', 12)},
+    {r(_DIV.format(a='spacing', b='burden'), 'spacing_burden_ratio', 12)}, {r('kg / len', 'kg_per_meter', 12)},
+    {r(_DC + ' / (diam_mm / 1000)', 'coupling_ratio', 12)}, {r('energy_mj', digits=10)},
     CASE WHEN product IS NULL THEN 'MISSING' WHEN product = 'X-900' THEN 'UNKNOWN' WHEN product = 'ANFO' THEN 'VALIDATED'
       WHEN product = 'pirex-950 plus' THEN 'FAMILY_MATCH' ELSE 'UNVALIDATED_REFERENCE' END AS explosive_status FROM pf""")
 def _(spark, d):
     return tidy(pf_ops.enrich(factors(spark, d), ucs_mpa=90.0).select(
-        "hole_id", "stemming_ratio", "spacing_burden_ratio", "kg_per_meter", "coupling_ratio", "energy_mj", "explosive_status"))
+        "hole_id", "stemming_ratio", "spacing_burden_ratio", "kg_per_meter", "coupling_ratio", "energy_mj", "explosive_status"), 12, energy_mj=10)
 
 
 @query("explosive_resolution", f"""WITH {H} SELECT hole_id,
@@ -164,10 +164,10 @@ def _(spark, d):
         F.count(F.lit(1)).alias("n"), F.sum("bench_height_m").alias("height_sum")))
 
 
-@query("powder_factors", f"""WITH {PF_SQL} SELECT hole_id, {rs('pf_vol_kgm3, pf_area_kgm2, pf_g_per_ton, pf_g_per_ton_net, energy_mj, height_real_m, height_net_m')} FROM pf""")
+@query("powder_factors", f"""WITH {PF_SQL} SELECT hole_id, {rs('pf_vol_kgm3, pf_area_kgm2, pf_g_per_ton, pf_g_per_ton_net, energy_mj, height_real_m, height_net_m', 10)} FROM pf""")
 def _(spark, d):
     return tidy(factors(spark, d).select("hole_id", "pf_vol_kgm3", "pf_area_kgm2", "pf_g_per_ton", "pf_g_per_ton_net",
-                                         "energy_mj", "height_real_m", "height_net_m"))
+                                         "energy_mj", "height_real_m", "height_net_m"), 10)
 
 
 # nearest four collars of the same pattern inside one pit; only patterns without a declared burden need them
@@ -254,11 +254,11 @@ _PFAGG = ("avg(pf_vol_kgm3) AS pf_vol_avg, avg(pf_area_kgm2) AS pf_area_avg, avg
 
 @query("powder_factor_by_section", f"""WITH {PF_SQL}, {S}, {projected_sql(15)}, g AS (SELECT section, {_PFAGG} FROM proj GROUP BY section)
     SELECT section, n_wells, n_pf_valid, {rs('pf_vol_avg, pf_area_avg, pf_g_per_ton_avg, pf_g_per_ton_net_avg, pf_vol_weighted, pf_g_per_ton_weighted')},
-    {r('kg_total', digits=4)}, {r('coalesce(energy_total_mj, 0)', 'energy_total_mj', 4)} FROM g""")
+    {r('kg_total')}, {r('coalesce(energy_total_mj, 0)', 'energy_total_mj', 8)} FROM g""")
 def _(spark, d):
     g = correlation.powder_factor_by_group(projected(spark, d), ["section"])
     return tidy(g.select("section", "n_wells", "n_pf_valid", "pf_vol_avg", "pf_area_avg", "pf_g_per_ton_avg", "pf_g_per_ton_net_avg",
-                         "pf_vol_weighted", "pf_g_per_ton_weighted", "kg_total", "energy_total_mj"), kg_total=4, energy_total_mj=4)
+                         "pf_vol_weighted", "pf_g_per_ton_weighted", "kg_total", "energy_total_mj"), energy_total_mj=8)
 
 
 @query("powder_factor_by_pattern", f"""WITH {PF_SQL}, g AS (SELECT malla, {_PFAGG} FROM pf GROUP BY malla)
@@ -287,11 +287,11 @@ CORR_SQL = f"""{PF_SQL}, {S}, {projected_sql(15)}, g AS (SELECT section, {_PFAGG
   FROM sections s LEFT JOIN g ON s.section = g.section LEFT JOIN dev ON s.section = dev.section)"""
 
 
-@query("section_correlation", f"""WITH {CORR_SQL} SELECT section, sector, num_wells, {r('total_kg', digits=4)}, {rs('mean_abs_deviation, avg_over_break, avg_under_break')},
-    n_over, n_under, {rs('pf_vol_avg_kgm3, pf_area_avg_kgm2, pf_g_per_ton_avg, pf_g_per_ton_net_avg, pf_g_per_ton_inf_avg')}, {r('energy_total_mj', digits=4)},
+@query("section_correlation", f"""WITH {CORR_SQL} SELECT section, sector, num_wells, {r('total_kg')}, {rs('mean_abs_deviation, avg_over_break, avg_under_break')},
+    n_over, n_under, {rs('pf_vol_avg_kgm3, pf_area_avg_kgm2, pf_g_per_ton_avg, pf_g_per_ton_net_avg, pf_g_per_ton_inf_avg')}, {r('energy_total_mj', digits=8)},
     n_pf_valid, rock_density_used FROM corr""")
 def _(spark, d):
-    return tidy(section_table(spark, d), total_kg=4, energy_total_mj=4)
+    return tidy(section_table(spark, d), energy_total_mj=8)
 
 
 @query("section_correlation_by_density", f"""WITH {CORR_SQL} SELECT section, {r("CASE sector WHEN 'ASIA' THEN 2.5 WHEN 'EUROPE' THEN 2.9 ELSE 2.7 END", 'rock_density_used')},
