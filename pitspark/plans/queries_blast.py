@@ -164,12 +164,12 @@ def _(spark, d):
         F.count(F.lit(1)).alias("n"), F.sum("bench_height_m").alias("height_sum")))
 
 
-@query("powder_factors", f"""WITH {PF_SQL} SELECT hole_id, {rs('pf_vol_kgm3, pf_area_kgm2, energy_mj', 12)},
+@query("powder_factors", f"""WITH {PF_SQL} SELECT hole_id, {rs('pf_vol_kgm3, pf_area_kgm2, energy_mj', 9)},
     {rs('pf_g_per_ton, pf_g_per_ton_net, height_real_m, height_net_m')} FROM pf""")
 def _(spark, d):
     return tidy(factors(spark, d).select("hole_id", "pf_vol_kgm3", "pf_area_kgm2", "pf_g_per_ton", "pf_g_per_ton_net",
                                          "energy_mj", "height_real_m", "height_net_m"),
-                pf_vol_kgm3=12, pf_area_kgm2=12, energy_mj=12)
+                pf_vol_kgm3=9, pf_area_kgm2=9, energy_mj=9)
 
 
 # nearest four collars of the same pattern inside one pit; only patterns without a declared burden need them
