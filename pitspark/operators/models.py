@@ -324,7 +324,8 @@ def predict_backbreak(designs: DataFrame, model: DataFrame | None = None, alpha:
         F.when(F.col("_none"), "INSUFFICIENT").when(any_swap, "LOW").otherwise("MEDIUM").alias("confidence"))
     result = empirical
     if model is not None:
-        df = with_model(df, model)
+        # the quantile belongs to the model row: worked out once, not per design
+        df = with_model(df, model.withColumn("tq", stats.t_quantile(1 - alpha / 2, F.greatest("dof", F.lit(1)).cast("double"))))
         m = lambda f: F.col(f"m.{f}")
         feature = {"pf_vol": pf, "burden": burden, "spacing_burden_ratio": F.coalesce(ratio(spacing, burden), F.lit(1.0)), "stemming": stem}
         shape, error = m("beta0"), F.lit(0.0)
@@ -332,7 +333,7 @@ def predict_backbreak(designs: DataFrame, model: DataFrame | None = None, alpha:
             shape = shape + F.coalesce(m("coefficients")[k] * x, F.lit(0.0))
             error = error + F.coalesce(F.pow(m("std_errors")[k] * x, 2), F.lit(0.0))
         mean_se2 = F.aggregate(F.map_values(m("std_errors")), F.lit(0.0), lambda s, v: s + v * v) / F.greatest(F.size(m("std_errors")), F.lit(1))
-        half = stats.t_quantile(1 - alpha / 2, F.greatest(m("dof"), F.lit(1)).cast("double")) * F.sqrt(error + mean_se2 * F.greatest(m("n"), F.lit(1)))
+        half = m("tq") * F.sqrt(error + mean_se2 * F.greatest(m("n"), F.lit(1)))
         in_range = F.lit(True)
         for k, x in feature.items():
             mean = m("feature_means")[k]
