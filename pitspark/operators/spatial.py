@@ -207,3 +207,38 @@ def components(edges: DataFrame, a: str, b: str, label: str = "component") -> Da
     return alone.join(links, alone["node"] == links["u"], "left").select(
         "node", F.coalesce("v", "node").alias(label)
     )
+
+
+def nearest_distance(queries: DataFrame, sites: DataFrame, on: list[str], size: float = 1.0, grow: float = 4.0) -> DataFrame:
+    """Distance from every query point (on, qx, qy) to the nearest site (on, sx, sy), at any range, exact.
+
+    A round searches the nine cells around a point; a distance below the way to the border of that block is final.
+    The others go on with wider cells until the block covers everything.
+    """
+    q0 = cut_lineage(queries.select(*on, "qx", "qy").distinct())
+    s0 = cut_lineage(sites.select(*on, F.col("sx"), F.col("sy")).distinct())
+    q0 = q0.join(s0.select(*on).distinct(), on, "left_semi")
+    box = lambda df, x, y: df.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
+    a, b = box(q0, "qx", "qy"), box(s0, "sx", "sy")
+    if a[0] is None or b[0] is None:
+        return q0.withColumn("distance", F.lit(None).cast("double")).where(F.lit(False))
+    reach = max(max(a[1], b[1]) - min(a[0], b[0]), max(a[3], b[3]) - min(a[2], b[2]))
+    waiting, done = q0, None
+    while True:
+        last = size > reach
+        q = waiting.withColumn("_cx", cell("qx", size)).withColumn("_cy", cell("qy", size))
+        q = q.withColumn("_edge", F.least(F.col("qx") - (F.col("_cx") - 1) * size, (F.col("_cx") + 2) * size - F.col("qx"),
+                                          F.col("qy") - (F.col("_cy") - 1) * size, (F.col("_cy") + 2) * size - F.col("qy")))
+        q = q.withColumn("_near", F.explode(around("_cx", "_cy"))).select(*on, "qx", "qy", "_edge", F.col("_near.cx").alias("_cx"), F.col("_near.cy").alias("_cy"))
+        pairs = q.join(s0.withColumn("_cx", cell("sx", size)).withColumn("_cy", cell("sy", size)), [*on, "_cx", "_cy"])
+        gap = F.sqrt(F.pow(F.col("qx") - F.col("sx"), 2) + F.pow(F.col("qy") - F.col("sy"), 2))
+        found = pairs.groupBy(*on, "qx", "qy", "_edge").agg(F.min(gap).alias("distance"))
+        settled = found if last else cut_lineage(found.where("distance <= _edge"))
+        settled = settled.select(*on, "qx", "qy", "distance")
+        done = settled if done is None else done.unionByName(settled)
+        if last:
+            return done
+        waiting = cut_lineage(waiting.join(settled.select(*on, "qx", "qy"), [*on, "qx", "qy"], "left_anti"))
+        if waiting.isEmpty():
+            return done
+        size *= grow

@@ -238,7 +238,7 @@ def contour_segments(triangles: DataFrame, interval: float = 15.0) -> DataFrame:
 
     hits = F.array_compact(F.array(crossing(0, 1), crossing(1, 2), crossing(2, 0)))
     cut = tri.where((above[0] != above[1]) | (above[1] != above[2])).withColumn("_h", hits)
-    return cut.select(*SURFACE, "elevation", F.least(F.col("_h")[0], F.col("_h")[1]).alias("a"), F.greatest(F.col("_h")[0], F.col("_h")[1]).alias("b")).where("a <> b")
+    return cut.select(*SURFACE, "elevation", F.least(F.get("_h", 0), F.get("_h", 1)).alias("a"), F.greatest(F.get("_h", 0), F.get("_h", 1)).alias("b")).where("a <> b")
 
 
 def height_grid(triangles: DataFrame, step: float = 5.0) -> DataFrame:
