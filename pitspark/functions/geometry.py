@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numeric import col
+from .numeric import clamp, col
 
 INCLINATIONS = ("FROM_VERTICAL", "DIP_FROM_HORIZONTAL")
 SIGN_POLICIES = ("ABSOLUTE_VALUE", "NEGATIVE_IS_DOWNWARD_DIP", "SOURCE_DEFINED")
@@ -92,4 +92,4 @@ def axis_angle(incl_a, az_a, incl_b, az_b) -> Column:
     ax, ay, az_ = hole_vector(incl_a, az_a)
     bx, by, bz = hole_vector(incl_b, az_b)
     dot = ax * bx + ay * by + az_ * bz
-    return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))))
+    return F.degrees(F.acos(clamp(dot, -1.0, 1.0)))

@@ -34,7 +34,9 @@ def half_even(c: Column | str, digits: int = 0) -> Column:
 
 
 def clamp(c: Column | str, low: float, high: float) -> Column:
-    return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), col(c)))
+    """Value kept inside [low, high]; NULL stays NULL (``least`` and ``greatest`` alone would skip it)."""
+    c = col(c)
+    return F.when(c.isNotNull(), F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), c)))
 
 
 def interp_share(x: Column, x0: Column, x1: Column, y0: Column, y1: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import DETECTION, RAMP, Detection
 from ..functions.geometry import steepness
+from ..functions.numeric import clamp
 from ..session import cut_lineage
 from .spatial import interval_join
 
@@ -310,7 +311,7 @@ def wedge_in_face(points: DataFrame, keys: list[str]) -> DataFrame:
                             "bx": F.lead("d", 2).over(w) - F.lead("d").over(w), "bz": F.lead("z", 2).over(w) - F.lead("z").over(w)})
     size = F.sqrt(F.col("ax") ** 2 + F.col("az") ** 2) * F.sqrt(F.col("bx") ** 2 + F.col("bz") ** 2)
     cos = (F.col("ax") * F.col("bx") + F.col("az") * F.col("bz")) / size
-    turn = F.when(size == 0, 0.0).otherwise(F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos)))))
+    turn = F.when(size == 0, 0.0).otherwise(F.degrees(F.acos(clamp(cos, -1.0, 1.0))))
     return v.groupBy(*keys).agg(F.coalesce(F.bool_or(turn < 60.0), F.lit(False)).alias("wedge_risk"))
 
 
@@ -352,12 +353,15 @@ def extract_benches(points: DataFrame, keys: list[str] | None = None, cfg: Detec
     b = b.withColumn("floor_elevation", F.coalesce("floor_elevation", "toe_elevation"))
     b = b.withColumn("bench_height", F.when(F.col("floor_elevation") < F.col("toe_elevation"), F.abs(F.col("crest_elevation") - F.col("floor_elevation"))).otherwise(h))
     b = hazards(edge_berms(points, berms(b, keys, cfg.max_berm_width, cfg), keys, cfg), keys, berm_design_min)
+    # benches feed several tables downstream: worked out once
+    b = cut_lineage(b)
     params = section_parameters(b, points, keys)
     free = F.when(~F.col("is_ramp"), a)
     spread = b.groupBy(*keys).agg(F.when(F.count(free) >= 2, F.stddev_pop(free)).otherwise(0.0).alias("anisotropy_dispersion_deg"))
+    params = cut_lineage(params)
     b = b.join(spread, keys).join(params.select(*keys, "inter_ramp_angle"), keys)
     b = b.withColumn("face_angle_inconsistent", F.abs(a - F.col("inter_ramp_angle")) > 8.0).drop("inter_ramp_angle")
-    return b, params
+    return cut_lineage(b), params
 
 
 def split_wide_faces(points: DataFrame, keys: list[str], max_width: float = DETECTION.max_single_bench_width,
@@ -462,7 +466,7 @@ def reconciled_summary(reconciled: DataFrame, benches: DataFrame, keys: list[str
     agg = benches.groupBy(*keys).agg(
         F.count_if(F.col("overhang_m") > 0).alias("n_overhangs"), F.count_if("wedge_risk").alias("n_wedge_risks"), F.count_if("toppling_risk").alias("n_toppling_risks"),
         F.count_if(F.col("n_detection_methods_agreeing") >= 2).alias("n_consensus_benches"), F.sum("berm_width").alias("total_berm_width_m"),
-        F.avg("face_angle").alias("avg_face_angle_deg"), F.greatest(F.max("overhang_m"), F.lit(None).cast("double")).alias("max_overhang_m"))
+        F.avg("face_angle").alias("avg_face_angle_deg"), F.max("overhang_m").alias("max_overhang_m"))
     return line.join(agg, keys)
 
 

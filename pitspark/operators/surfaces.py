@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import DETECTION
 from ..functions.geometry import direction
+from ..functions.numeric import clamp
 from .spatial import cell, components
 
 SURFACE = ["surface_id", "kind"]
@@ -210,7 +211,7 @@ def breakline_edges(triangles: DataFrame, min_angle: float = 20.0) -> DataFrame:
     both = half.groupBy(*SURFACE, "a", "b").agg(F.min_by(F.struct("n", "o"), "tri_id").alias("f"), F.max_by(F.struct("n", "o"), "tri_id").alias("g"),
                                                 F.count(F.lit(1)).alias("c")).where("c = 2")
     dot = sum(F.col(f"f.n.{k}") * F.col(f"g.n.{k}") for k in "xyz")
-    angle = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))))
+    angle = F.degrees(F.acos(clamp(dot, -1.0, 1.0)))
     drop = sum((F.col(f"g.o.{k}") - F.col(f"a.{k}")) * F.col(f"f.n.{k}") for k in "xyz")
     return both.select(*SURFACE, "a", "b", angle.alias("angle_deg"), F.when(drop < 0, "crest").otherwise("toe").alias("line_kind")).where(F.col("angle_deg") >= min_angle)
 
