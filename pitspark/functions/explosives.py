@@ -33,37 +33,32 @@ def _key(name: Column) -> Column:
 
 
 def product_name(name: Column | str) -> Column:
-    """Registry product a free-text name stands for, NULL when unknown."""
+    """Registry product a free-text name stands for, NULL when unknown.
+
+    Exact names win, then Pirex grades and Enaline by prefix, then the families by the words they contain.
+    """
     key = _key(col(name))
-    found = F.lit(None).cast("string")
-    # last rule first, so that the earliest rule ends up outermost
-    found = F.when(key.contains("anfo"), "ANFO").otherwise(found)
-    found = F.when(key.contains("emul"), "Bulk Emulsion").otherwise(found)
-    found = F.when(key.contains("heavy anfo") | key.contains("h-anfo"), "Heavy ANFO").otherwise(found)
-    found = F.when(key.startswith("enaline"), "Enaline").otherwise(found)
-    for grade in ("920", "930", "950", "970"):
-        found = F.when(key.startswith(f"pirex-{grade}"), f"Pirex-{grade}").otherwise(found)
-    for product, *_ in PRODUCTS:
-        found = F.when(key == product.lower(), product).otherwise(found)
-    return found
+    exact = F.create_map(*[F.lit(x) for row in PRODUCTS for x in (row[0].lower(), row[0])])
+    return F.coalesce(
+        F.try_element_at(exact, key),
+        F.when(key.rlike("^pirex-(920|930|950|970)"), F.concat(F.lit("Pirex-"), F.substring(key, 7, 3)))
+        .when(key.startswith("enaline"), "Enaline")
+        .when(key.rlike("heavy anfo|h-anfo"), "Heavy ANFO")
+        .when(key.contains("emul"), "Bulk Emulsion")
+        .when(key.contains("anfo"), "ANFO"))
 
 
 def is_family_match(name: Column | str) -> Column:
     """True when a Pirex or Enaline name was matched by prefix only."""
     key = _key(col(name))
     exact = key.isin(*[p[0].lower() for p in PRODUCTS])
-    prefix = key.startswith("enaline")
-    for grade in ("920", "930", "950", "970"):
-        prefix = prefix | key.startswith(f"pirex-{grade}")
-    return ~exact & prefix
+    return ~exact & key.rlike("^(pirex-(920|930|950|970)|enaline)")
 
 
 def _lookup(name: Column | str, position: int, cast: str) -> Column:
-    product = product_name(name)
-    out = F.lit(None).cast(cast)
-    for row in PRODUCTS:
-        out = F.when(product == row[0], F.lit(row[position]).cast(cast)).otherwise(out)
-    return out
+    """Property of the resolved product, from a small literal map so that the name is resolved once."""
+    table = F.create_map(*[x for row in PRODUCTS for x in (F.lit(row[0]), F.lit(row[position]).cast(cast))])
+    return F.try_element_at(table, product_name(name))
 
 
 def density(name: Column | str) -> Column:
