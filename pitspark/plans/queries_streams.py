@@ -12,8 +12,8 @@ from .registry import PF_SQL, query, r, rs, tidy
 
 
 def _source(spark, d: str, name: str):
-    path = f"{d}/{name}.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    file = f"{name}.parquet"
+    return spark.readStream.schema(spark.read.parquet(f"{d}/{file}").schema).option("pathGlobFilter", file).parquet(d)
 
 
 @query("stream_last_drill_events", f"WITH {LAST} SELECT pozo, event_id, rig, {rs('depth_m, duration_min')} FROM last")

@@ -52,10 +52,20 @@ def _(spark, d):
     return p.select("surface_id", "kind", "section", "d", F.round("z", 4).alias("z"))
 
 
-@query("resampled_profiles")
+# the same profiles by as-of joins: nearest vertex to the left, then a straight line to the next one
+RESAMPLED_SQL = f"""{CUT_SQL}, m0 AS (SELECT surface_id, kind, section, round_even(d, 3) AS d, avg(z) AS z FROM pts GROUP BY surface_id, kind, section, round_even(d, 3)),
+  m AS (SELECT *, lead(d) OVER w AS d1, lead(z) OVER w AS z1 FROM m0 WINDOW w AS (PARTITION BY surface_id, kind, section ORDER BY d)),
+  st AS (SELECT surface_id, kind, section, min(d) AS lo, max(d) AS hi, CAST(greatest(count(*), ceil((max(d) - min(d)) / 0.1::DOUBLE) + 1) AS BIGINT) AS n FROM m0 GROUP BY ALL),
+  nd AS (SELECT surface_id, kind, section, i, lo + i * ((hi - lo) / (n - 1)) AS at_d FROM (SELECT *, unnest(range(n)) AS i FROM st)),
+  rp AS (SELECT nd.surface_id, nd.kind, nd.section, i, at_d AS d, coalesce(m.z + (m.z1 - m.z) * (at_d - m.d) / (m.d1 - m.d), m.z) AS z FROM nd ASOF JOIN m
+    ON nd.surface_id = m.surface_id AND nd.kind = m.kind AND nd.section = m.section AND nd.at_d >= m.d)"""
+
+
+@query("resampled_profiles", f"""WITH {RESAMPLED_SQL} SELECT surface_id, kind, section, count(*) AS n_nodes, {r('min(d)', 'd_min')}, {r('max(d)', 'd_max')}, {r('avg(z)', 'z_avg', 4)},
+    CAST(max(i) AS INTEGER) AS last_idx FROM rp GROUP BY surface_id, kind, section""")
 def _(spark, d):
     return tidy(_profiles(spark, d).groupBy("surface_id", "kind", "section").agg(
-        F.count(F.lit(1)).alias("n_nodes"), F.min("d").alias("d_min"), F.max("d").alias("d_max"), F.avg("z").alias("z_avg"), F.max("idx").alias("last_idx")))
+        F.count(F.lit(1)).alias("n_nodes"), F.min("d").alias("d_min"), F.max("d").alias("d_max"), F.avg("z").alias("z_avg"), F.max("idx").alias("last_idx")), z_avg=4)
 
 
 @query("thinned_surfaces")
@@ -86,20 +96,28 @@ def _(spark, d):
     return tidy(surfaces.perpendicular_sections(pts, 20.0).select("line_id", "section", "origin_x", "origin_y", "azimuth"))
 
 
-# design walls: every row of the grid has the same fold at each of the 19 inner crests and 20 inner toes
-@query("breaklines")
-def _(spark, d):
-    e = surfaces.breakline_edges(_tri(spark, d))
+def _lines(triangles):
+    e = surfaces.breakline_edges(triangles)
     return surfaces.chain(e, ["surface_id", "kind", "line_kind"]).groupBy("surface_id", "kind", "line_kind", "polyline").agg(
         F.count(F.lit(1)).alias("n_edges")).groupBy("surface_id", "kind", "line_kind").agg(F.count(F.lit(1)).alias("n_polylines"), F.sum("n_edges").alias("n_edges"))
 
 
-def _lev(i: int, j: int) -> str:
-    return f"SELECT surface_id, kind, tri_id, lv, 1 AS c FROM e WHERE (z{i} >= lv) <> (z{j} >= lv)"
+# design walls fold along whole grid columns: even ones are crests, odd ones toes, the two border columns do not fold
+@query("breaklines", """SELECT concat('pit-', o_orderkey // 1000) AS surface_id, 'design' AS kind, CASE WHEN (o_orderkey % 1000) % 40 % 2 = 0 THEN 'crest' ELSE 'toe' END AS line_kind,
+    count(DISTINCT (o_orderkey % 1000) % 40) AS n_polylines, count(*) AS n_edges FROM orders WHERE (o_orderkey % 1000) % 40 BETWEEN 1 AND 38 AND (o_orderkey % 1000) // 40 < 24 GROUP BY ALL""")
+def _(spark, d):
+    return _lines(_tri(spark, d).where("kind = 'design'"))
 
 
-@query("contour_segments", f"""WITH {T}, lv0 AS (SELECT CAST(3600 + 10 * unnest(range(60)) AS DOUBLE) AS lv), e AS (SELECT * FROM tri JOIN lv0 ON lv >= least(z0, z1, z2) - 10 AND lv <= greatest(z0, z1, z2)),
-    x AS ({_lev(0, 1)} UNION ALL {_lev(1, 2)} UNION ALL {_lev(2, 0)}) SELECT surface_id, lv AS elevation, CAST(sum(c) / 2 AS BIGINT) AS n_segments FROM x WHERE kind = 'topo' GROUP BY surface_id, lv""")
+@query("breaklines_as_built")
+def _(spark, d):
+    return _lines(_tri(spark, d).where("kind = 'topo'"))
+
+
+# a facet with one corner exactly on the level and the others below touches it in a point, which is no segment
+@query("contour_segments", f"""WITH {T}, lv0 AS (SELECT CAST(3600 + 10 * unnest(range(60)) AS DOUBLE) AS lv), e AS (SELECT surface_id, lv, (z0 >= lv)::INTEGER + (z1 >= lv)::INTEGER + (z2 >= lv)::INTEGER AS na,
+    greatest(z0, z1, z2) AS top FROM tri JOIN lv0 ON lv >= least(z0, z1, z2) AND lv <= greatest(z0, z1, z2) WHERE kind = 'topo')
+    SELECT surface_id, lv AS elevation, count(*) AS n_segments FROM e WHERE na = 2 OR (na = 1 AND top > lv) GROUP BY surface_id, lv""")
 def _(spark, d):
     s = surfaces.contour_segments(_tri(spark, d).where("kind = 'topo'"), 10.0)
     return s.groupBy("surface_id", "elevation").agg(F.count(F.lit(1)).alias("n_segments"))
@@ -112,10 +130,14 @@ def _(spark, d):
         F.countDistinct("polyline").alias("n_lines"), F.count(F.lit(1)).alias("n_segments"))
 
 
-@query("height_grid")
+# the design wall in closed form: a 5.5 m wide face and a 9 m berm per bench
+_WALL = "CASE WHEN x - 14.5 * floor(x / 14.5) <= 5.5 THEN 4000 - 15 * floor(x / 14.5) - 15 * (x - 14.5 * floor(x / 14.5)) / 5.5 ELSE 3985 - 15 * floor(x / 14.5) END"
+
+
+@query("height_grid", f"""WITH p AS (SELECT DISTINCT concat('pit-', o_orderkey // 1000) AS surface_id FROM orders), g AS (SELECT surface_id, CAST(ix AS BIGINT) AS ix, CAST(iy AS BIGINT) AS iy, ix * 5.0::DOUBLE AS x
+    FROM p, (SELECT unnest(range(57)) AS ix), (SELECT unnest(range(58)) AS iy)) SELECT surface_id, ix, iy, {r(_WALL, 'z')} FROM g""")
 def _(spark, d):
-    g = surfaces.height_grid(_tri(spark, d), 5.0)
-    return tidy(g.groupBy("surface_id", "kind").agg(F.count(F.lit(1)).alias("n_nodes"), F.avg("z").alias("z_avg"), F.min("z").alias("z_min")))
+    return tidy(surfaces.height_grid(_tri(spark, d).where("kind = 'design'"), 5.0).select("surface_id", "ix", "iy", "z"))
 
 
 # --- benches from profiles ------------------------------------------------------------------------------------------
@@ -157,9 +179,17 @@ def _(spark, d):
     return tidy(compare(side("design"), side("topo")).drop("bench_real"), 4)
 
 
-@query("profile_areas")
+def _grid_side(kind: str) -> str:
+    return (f"s_{kind} AS (SELECT g.surface_id, g.section, k, coalesce(q.z + (q.z1 - q.z) * (g.at_d - q.d) / (q.d1 - q.d), q.z) AS z FROM gr g ASOF JOIN (SELECT *, lead(d) OVER w AS d1, lead(z) OVER w AS z1 "
+            f"FROM rp WHERE kind = '{kind}' WINDOW w AS (PARTITION BY surface_id, section ORDER BY d)) q ON g.surface_id = q.surface_id AND g.section = q.section AND g.at_d >= q.d)")
+
+
+@query("profile_areas", f"""WITH {RESAMPLED_SQL}, sp AS (SELECT surface_id, section, max(lo) AS lo, min(hi) AS hi FROM st GROUP BY surface_id, section),
+    gr AS (SELECT surface_id, section, k, lo + k * 0.1::DOUBLE AS at_d FROM (SELECT *, unnest(range(CAST(ceil((hi - lo) / 0.1::DOUBLE) AS BIGINT))) AS k FROM sp)), {_grid_side('design')}, {_grid_side('topo')}
+    SELECT d.surface_id, d.section, 'Sector ' || (CAST(replace(d.section, 'P-', '') AS BIGINT) % 4) AS sector, {r('sum(greatest(d.z - t.z, 0)) * 0.1', 'area_topo_below', 3)}, {r('sum(greatest(t.z - d.z, 0)) * 0.1', 'area_topo_above', 3)}
+    FROM s_design d JOIN s_topo t ON d.surface_id = t.surface_id AND d.section = t.section AND d.k = t.k GROUP BY d.surface_id, d.section""")
 def _(spark, d):
-    return tidy(deviations.profile_areas(_profiles(spark, d)), 4)
+    return tidy(deviations.profile_areas(_profiles(spark, d)), 3)
 
 
 @query("section_areas_table")
