@@ -74,7 +74,16 @@ def _(spark, d):
     return t.groupBy("surface_id", "kind").agg(F.count(F.lit(1)).alias("n_faces"))
 
 
-@query("local_azimuths")
+_AZ = lambda c: f"covar_pop({c[0]}, {c[1]})"
+_DET = f"({_AZ('xx')} * {_AZ('yy')} - power({_AZ('xy')}, 2))"
+_GA = f"(({_AZ('xz')} * {_AZ('yy')} - {_AZ('yz')} * {_AZ('xy')}) / {_DET})"
+_GB = f"(({_AZ('yz')} * {_AZ('xx')} - {_AZ('xz')} * {_AZ('xy')}) / {_DET})"
+
+
+# the walls fall due east, so the direction is rounded away from its wrap
+@query("local_azimuths", f"""WITH {T}, v AS (SELECT surface_id, x0 AS x, y0 AS y, z0 AS z FROM tri WHERE kind = 'design' UNION SELECT surface_id, x1, y1, z1 FROM tri WHERE kind = 'design'
+    UNION SELECT surface_id, x2, y2, z2 FROM tri WHERE kind = 'design') SELECT c.surface_id, c.section AS point_id, {r('any_value(origin_x)', 'px')}, {r('any_value(origin_y)', 'py')},
+    {r(f'(degrees(atan2(-{_GA}, -{_GB})) + 360) % 360', 'azimuth')} FROM cuts c JOIN v ON c.surface_id = v.surface_id AND power(x - origin_x, 2) + power(y - origin_y, 2) < 2500 GROUP BY c.surface_id, c.section""")
 def _(spark, d):
     p = bridge.surface_sections(spark, d).select("surface_id", F.col("section").alias("point_id"), F.col("origin_x").alias("px"), F.col("origin_y").alias("py"))
     return tidy(surfaces.local_azimuth(p, _tri(spark, d)))
