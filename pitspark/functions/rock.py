@@ -25,10 +25,13 @@ def strength_from_gsi(gsi: Column | str, ucs_mpa: Column | str, mi: float = 25.0
     # In units of intact strength: x fixed, y = x + sqrt(mb x + s); the fit is then scaled back.
     xs = CONFINEMENT
     n, sx, sxx = float(len(xs)), sum(xs), sum(x * x for x in xs)
-    ys = [F.lit(x) + F.sqrt(mb * x + s) for x in xs]
-    sy, sxy = ys[0], ys[0] * xs[0]
-    for x, y in zip(xs[1:], ys[1:]):
-        sy, sxy = sy + y, sxy + y * x
+    def add(t: Column, x: Column) -> Column:
+        y = x + F.sqrt(mb * x + s)
+        return F.struct((t["sy"] + y).alias("sy"), (t["sxy"] + x * y).alias("sxy"))
+
+    start = F.struct(F.lit(0.0).alias("sy"), F.lit(0.0).alias("sxy"))
+    sums = F.aggregate(F.array(*[F.lit(x) for x in xs]), start, add)
+    sy, sxy = sums["sy"], sums["sxy"]
     slope = (n * sxy - sx * sy) / (n * sxx - sx * sx)
     intercept = (sy - slope * sx) / n * (ucs * 1000.0)
     usable = (gsi > 0) & (ucs > 0)
