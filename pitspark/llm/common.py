@@ -113,3 +113,36 @@ def batches_of(rows: Iterator, weight, most: int) -> Iterator[list]:
             part, total = [], 0
     if part:
         yield part
+
+
+def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
+    """``node -> label``, the smallest node reachable; a row for every node of an edge ``a, b``.
+
+    Each round sends every node to its smallest neighbour, follows these pointers to their ends by doubling, and goes
+    on with the distinct edges between different ends. At least half of the nodes with edges left vanish per round.
+    Sums per node are partial first and both sides of every join are written tables, so a node with very many edges
+    is split by adaptive execution.
+    """
+    links = stored(edges.select("a", "b").where("a <> b").distinct(), purpose)
+    steps = []
+    while not links.isEmpty():
+        both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        point = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to")), purpose)
+        while True:
+            on = point.select(F.col("node").alias("_n"), F.col("to").alias("_t"))
+            jumped = stored(point.join(on, point["to"] == on["_n"]).select("node", F.col("_t").alias("to"), (F.col("to") != F.col("_t")).alias("moved")), purpose)
+            point = jumped.select("node", "to")
+            if jumped.where("moved").isEmpty():
+                break
+        steps.append(point)
+        pa, pb = (point.select(F.col("node").alias(f"_{x}"), F.col("to").alias(f"{x}2")) for x in "ab")
+        links = stored(links.join(pa, F.col("a") == F.col("_a")).join(pb, F.col("b") == F.col("_b"))
+                       .select(F.col("a2").alias("a"), F.col("b2").alias("b")).where("a <> b").distinct(), purpose)
+    if not steps:
+        kind = edges.schema["a"].dataType
+        return edges.select(F.col("a").alias("node"), F.col("b").cast(kind).alias("label")).where(F.lit(False))
+    found = steps[-1].select("node", F.col("to").alias("label"))
+    for step in reversed(steps[:-1]):
+        later = found.select(F.col("node").alias("_n"), "label")
+        found = stored(step.join(later, F.col("to") == F.col("_n"), "left").select("node", F.coalesce("label", "to").alias("label")), purpose)
+    return found

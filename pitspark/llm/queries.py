@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, packing, topk
+from . import language, minhash, mixing, packing, suffixes, topk
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,14 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.fit(docs.select("doc_id", "text", "lang").where(~language.held_out()))
     guessed = language.predict(docs.select("doc_id", "text"), model)
     return guessed.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("op7_minhash_near_duplicates")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op10_repeated_passages")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("start").alias("start_word"), F.col("words").alias("n_words"), F.col("later").alias("removable"))
