@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, minhash, mixing, packing, suffixes, topk
+from . import forest, language, minhash, mixing, packing, sitestyle, suffixes, topk
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,13 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.repeated_passages(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.col("start").alias("start_word"), F.col("words").alias("n_words"), F.col("later").alias("removable"))
+
+
+@query("op3_embedding_near_duplicates")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op5_main_text")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sitestyle.extract(table(spark, sf_dir, "pages"))
