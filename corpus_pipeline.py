@@ -1,10 +1,76 @@
-"""The corpus pipeline: language ID, MinHash near-dedup, suffix-array dedup, mixing, packing."""
+"""The corpus pipeline over ``documents``: language ID, MinHash near-dedup, suffix-array dedup, mixing, packing.
+
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns
+of ``docs``. Documents are told apart by ``doc_id``. Extra columns are carried along. Empty tables give empty tables.
+"""
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pitspark.llm import language, minhash, mixing, packing, suffixes
+from pitspark.llm.common import stored, table
+from pitspark.llm.queries import tokenizer_path
+
+LEAST_SCORE = 0.25  # under it no language claims the text: every value against the rest lies under -0.5
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose text a learned language claims; texts that are null or without letters go. The classifier is
+    fitted on the labelled part of ``docs`` that the language query learns from."""
+    model = language.fit(docs.select("doc_id", "text", "lang").where(~language.held_out()))
+    guessed = language.predict(docs, model, language="_lang_pred", score="_lang_score")
+    return guessed.where((F.col("_lang_pred") != "und") & (F.col("_lang_score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest id of each group of near copies (similarity 0.8 or more on five-word shingles); rows that share
+    an id are one document, of which one row stays (the smallest text). Documents without an id all stay."""
+    found = minhash.near_duplicates(docs, percent=80)
+    kept = stored(found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")), "pipeline-kept")
+    rows = docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id") == F.col("_kept"))
+    single = rows.where("_rows = 1").select(*docs.columns)
+    alone = docs.where("doc_id IS NULL")
+    if kept.where("_rows > 1").isEmpty():
+        return single.unionByName(alone)
+    several = rows.where("_rows > 1").groupBy("doc_id").agg(F.min(F.struct(F.col("text"), F.struct(*docs.columns).alias("row")))["row"].alias("row")).select("row.*")
+    return single.unionByName(several.select(*docs.columns)).unionByName(alone)
+
+
+def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts passages of 50 or more words that a document with a smaller id holds too; a document left without words goes."""
+    return suffixes.cut_repeats(docs, stored(suffixes.repeated_passages(docs), "pipeline-spans"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes each document as often as the mix of sources asks for: not at all, or up to three times."""
+    mixed = mixing.mix(docs).groupBy("doc_id", "source").agg(F.max("repeats").alias("_repeats"))
+    mixed = mixed.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "_repeats").where("_repeats > 0")
+    rows = docs.join(mixed, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")))
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_repeats").cast("int")))).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    pieces = packing.harmonic_pack(docs, tokenizer_path())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", known_language),
+    ("minhash_near_dedup", near_dedup),
+    ("suffix_array_dedup", passage_dedup),
+    ("source_mixing", source_mix),
+    ("packing", pack),
+]
+
+#: The classifier, the confirmed similarity groups and the tokenizer have no SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,8 +7,6 @@ each other: no shuffle, no sort, and memory for one open sequence per class.
 from __future__ import annotations
 
 import os
-import sys
-import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +15,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import worker_cache
+
 
 class WordTokens:
     """Token ids, as packed little-endian 32-bit integers, of texts cut at plain spaces.
@@ -66,14 +66,6 @@ class WordTokens:
         return b"".join(out)
 
 
-def worker_cache(name: str, make):
-    """One object per Python worker and name; workers outlive tasks, so what it has learned is used again."""
-    home = sys.modules.setdefault("_text_worker_cache", types.ModuleType("_text_worker_cache"))
-    if not hasattr(home, name):
-        setattr(home, name, make())
-    return getattr(home, name)
-
-
 def cut_plan(length: int, capacity: int, slack: float) -> list[tuple[int, int]]:
     """Pieces (length, class) of a rest below ``capacity``: whole if its class wastes at most ``slack`` of a sequence,
     else the largest exact share of the next class is cut off first."""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import forest, language, minhash, mixing, packing, sitestyle, suffixes, topk
+from . import chat, forest, language, minhash, mixing, ngram_lm, packing, sitestyle, suffixes, topk
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,33 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_main_text")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sitestyle.extract(table(spark, sf_dir, "pages"))
+
+
+LM_SQL = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+t AS (SELECT r, i, w[i] AS w3, CASE WHEN i > 1 THEN w[i - 1] END AS w2, CASE WHEN i > 2 THEN w[i - 2] END AS w1
+  FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+n AS (SELECT count(*) AS n FROM t),
+c1 AS (SELECT w3, count(*) AS c FROM t GROUP BY ALL),
+c2 AS (SELECT w2, w3, count(*) AS c FROM t WHERE i > 1 GROUP BY ALL),
+c3 AS (SELECT w1, w2, w3, count(*) AS c FROM t WHERE i > 2 GROUP BY ALL),
+s AS (SELECT r, CASE WHEN c3.c >= 2 THEN ln(c3.c / p2.c) WHEN c2.c >= 2 THEN ln(c2.c / p1.c) + CASE WHEN i > 2 THEN ln(0.4) ELSE 0 END
+    ELSE ln(c1.c / n.n) + least(i - 1, 2) * ln(0.4) END AS v,
+  CASE WHEN c3.c >= 2 THEN 3 WHEN c2.c >= 2 THEN 2 ELSE 1 END AS o
+  FROM t CROSS JOIN n JOIN c1 ON t.w3 = c1.w3 LEFT JOIN c2 ON t.w2 = c2.w2 AND t.w3 = c2.w3
+  LEFT JOIN c3 ON t.w1 = c3.w1 AND t.w2 = c3.w2 AND t.w3 = c3.w3 LEFT JOIN c1 p1 ON t.w2 = p1.w3
+  LEFT JOIN c2 p2 ON t.w1 = p2.w2 AND t.w2 = p2.w3)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, round(coalesce(sum(v), 0), 4) AS log_score,
+  count(*) FILTER (o = 1) AS by_one, count(*) FILTER (o = 2) AS by_two, count(*) FILTER (o = 3) AS by_three
+FROM d LEFT JOIN s ON d.r = s.r GROUP BY d.r, d.doc_id, d.w"""
+
+
+@query("op4_backoff_scores", LM_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_lm.score(table(spark, sf_dir, "documents"))
+    hits = [F.get("hits", F.lit(i)).alias(n) for i, n in enumerate(("by_one", "by_two", "by_three"))]
+    return found.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), *hits)
+
+
+@query("op6_chat_repair")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair(table(spark, sf_dir, "conversations"))
