@@ -29,6 +29,15 @@ def stored(df: DataFrame, purpose: str, partition_by: list[str] | None = None) -
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """Rows handed to a Python worker at once: texts can be long, and the session's default of 10,000 of them fills an
+    executor. A smaller setting of the session stays."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, str(rows))
+    return df
+
+
 def text_key(column: str) -> Column:
     """An identifier as text; a missing one counts as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
@@ -44,7 +53,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordIds(dict):
     """Word -> 64-bit hash as one-entry memory; forgets everything once it is large, results stay the same."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         import xxhash
 
         super().__init__()
@@ -67,11 +76,13 @@ _TO_LOWER = _TO_SPACE | {c: chr(c + 32) for c in range(ord("A"), ord("Z") + 1)}
 
 
 def worker_cache(name: str, make):
-    """One object per Python worker and name; workers outlive tasks, so what it has learned is used again."""
+    """An object kept in the Python worker from task to task, so what it has learned is used again; asking for one of
+    another name drops it."""
     home = sys.modules.setdefault("_text_worker_cache", types.ModuleType("_text_worker_cache"))
-    if not hasattr(home, name):
-        setattr(home, name, make())
-    return getattr(home, name)
+    if getattr(home, "name", None) != name:
+        home.kept = None
+        home.name, home.kept = name, make()
+    return home.kept
 
 
 def split_words(text: str | None, lower: bool = False) -> list[str]:

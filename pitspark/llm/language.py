@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, text_key
+from .common import bounded_batches, stored, text_key
 
 DIMENSIONS = 1 << 14
 _SPACE = 32
@@ -97,7 +97,7 @@ def fit(training: DataFrame, sample: int = 4096, landmarks: int = 256, ridge: fl
     evenly, one per language at least. Landmarks are the first of the sample, the languages in turn. Texts without
     letters teach nothing. Only the sample's gram sets, a bit per cell, reach the driver.
     """
-    rows = training.where(F.col("lang").isNotNull())
+    rows = bounded_batches(training).where(F.col("lang").isNotNull())
     names = sorted(r[0] for r in rows.select("lang").distinct().collect())
     if not names:
         return LanguageModel([], np.zeros((DIMENSIONS, 0), np.float32), orders)
@@ -156,5 +156,6 @@ def predict(docs: DataFrame, model: LanguageModel, text_column: str = "text", la
             names, scores = model.predict(texts)
             yield pd.DataFrame({"name": names, "score": scores})
 
+    bounded_batches(docs)
     made = "_guess_of_language"
     return docs.withColumn(made, guess(F.col(text_column))).withColumn(language, F.col(f"{made}.name")).withColumn(score, F.col(f"{made}.score")).drop(made)

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import worker_cache
+from .common import bounded_batches, worker_cache
 
 
 class WordTokens:
@@ -25,7 +25,7 @@ class WordTokens:
     of Latin letters with ASCII punctuation after it is put together from its two parts.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 200_000):
         import re
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -99,7 +99,7 @@ def harmonic_pack(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", te
     Result, a row per piece: ``doc_id, start, length, ids`` (packed little-endian 32-bit), ``doc_tokens, sequence_id,
     offset``. Sequence ids are the partition number times 2^40 plus a counter.
     """
-    slim = docs.select(id_column, text_column)
+    slim = bounded_batches(docs).select(id_column, text_column)
     schema = T.StructType([
         T.StructField("doc_id", slim.schema[id_column].dataType), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
         T.StructField("ids", T.BinaryType()), T.StructField("doc_tokens", T.LongType()), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()),

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import bounded_batches, stored
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math canvas object xmp noframes".split())
@@ -197,7 +197,7 @@ def extract(pages: DataFrame, least: float = 0.2, damping: float = 0.9) -> DataF
     null html gives the empty text, as does a page without text; pages without an address share the empty host.
     Repeated rows are separate results; other columns are ignored; an empty table gives no rows.
     """
-    slim = pages.select("page_id", "url", "html")
+    slim = bounded_batches(pages).select("page_id", "url", "html")
     low = style_tree(slim, damping).where(F.col("importance") < least)
     low = low.groupBy("host").agg(F.collect_set("path").alias("removed"))
     low = stored(low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(31)))), "site-removed")
