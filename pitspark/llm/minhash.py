@@ -4,25 +4,28 @@ A document's MinHash sample is folded into a parity bitmap: each (position, mini
 two bitmaps differ tell how many minima differ, precisely so where similarity is high; pairs of one band whose
 estimate lies clearly under the threshold are not looked at again. The others are confirmed on their shingle sets.
 
-Only components are asked for, so a band's group is never expanded into all pairs: its members are compared with the
-smallest one first, then, while the group still spans several components, with growing sets of other members (pivots)
-until either one component is left or every member has been a pivot. No pair that could join two components is left out.
+Only components are asked for. A band's group is first compared with its most central member (the one that meets most
+others over all bands). Groups that still span several components are cut into blocks; tasks compare the sketches of
+two blocks at a time and put out the likely pairs between different components alone, each member's best ones in a
+first round and all that are left in a second. So every likely pair is confirmed or lies within one component already,
+and a group is never expanded into rows of all its pairs.
 """
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordIds, components, mix64, split_words, stored, window_hashes
+from .common import bounded_batches, WordIds, components, mix64, split_words, stored, window_hashes, worker_cache
 
-PERMUTATIONS, BANDS, BITS = 120, 20, 256
-MARGIN = 0.24  # more than four deviations of the sketch's estimate at similarity 0.85
+PERMUTATIONS, BANDS, BAND_ROWS, BITS = 240, 20, 6, 1024
+BLOCK = 192  # members compared in one task with as many others
+MARGIN = 0.11  # more than four deviations of the sketch's estimate at similarity 0.85
 
 
 def shingle_set(ids: np.ndarray, size: int) -> np.ndarray:
@@ -33,27 +36,27 @@ def shingle_set(ids: np.ndarray, size: int) -> np.ndarray:
 
 
 class Signer:
-    """Band keys and odd sketch of a shingle set."""
+    """Band keys (from the first minima) and odd sketch (of all minima) of a shingle set."""
 
-    def __init__(self, permutations: int = PERMUTATIONS, bands: int = BANDS, bits: int = BITS):
+    def __init__(self):
         rng = np.random.default_rng(20)
-        self.factor = rng.integers(1, 1 << 63, permutations, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.shift = rng.integers(0, 1 << 63, permutations, dtype=np.uint64)
-        self.bands, self.bits = bands, bits
-        self.places = mix64(np.arange(1, permutations + 1, dtype=np.uint64))
-        self.band_ids = np.arange(1, bands + 1, dtype=np.uint64)
+        self.factor = rng.integers(0, 1 << 31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+        self.shift = rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32)
+        self.places = mix64(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64))
+        self.band_ids = np.arange(1, BANDS + 1, dtype=np.uint64)
 
     def __call__(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         low = None
-        for start in range(0, len(shingles), 2048):
-            part = (shingles[start:start + 2048, None] * self.factor + self.shift).min(0)
+        for start in range(0, len(shingles), 1024):
+            x = (shingles[start:start + 1024] >> np.uint64(32)).astype(np.uint32)
+            part = (x[:, None] * self.factor + self.shift).min(0)
             low = part if low is None else np.minimum(low, part)
-        rows = low.reshape(self.bands, -1)
+        low = low.astype(np.uint64)
         keys = self.band_ids.copy()
-        for column in rows.T:
+        for column in low[:BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS).T:
             keys = mix64(keys * np.uint64(0x9E3779B97F4A7C15) + column)
-        bit = mix64(low ^ self.places) % np.uint64(self.bits)
-        parity = (np.bincount(bit.astype(np.int64), minlength=self.bits) & 1).astype(np.uint8)
+        bit = mix64(low ^ self.places) % np.uint64(BITS)
+        parity = (np.bincount(bit.astype(np.int64), minlength=BITS) & 1).astype(np.uint8)
         return keys.view(np.int64), np.packbits(parity, bitorder="little").view(np.int64)
 
 
@@ -67,7 +70,7 @@ def _features(docs: DataFrame, size: int) -> DataFrame:
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, sign = WordIds(), Signer()
+        words, sign = worker_cache("words", WordIds), Signer()
         for batch in batches:
             n, prints, bands, sketches = [], [], [], []
             for text in batch.column(1):
@@ -91,7 +94,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     schema = T.StructType([T.StructField("rep", docs.schema["doc_id"].dataType), T.StructField("shingles", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds()
+        words = worker_cache("words", WordIds)
         for batch in batches:
             sets = [shingle_set(words.of(split_words(t.as_py(), lower=True)), size).view(np.int64) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "shingles"])
@@ -99,13 +102,42 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def estimate(a: Column, b: Column, words: int = BITS // 64) -> Column:
+def estimate(a: Column, b: Column) -> Column:
     """Similarity from the bits in which two odd sketches differ; saturated sketches count as unlike."""
-    apart = sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(words)), F.lit(0))
+    apart = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
     share = 1 - 2 * apart / F.lit(float(BITS))
     return F.when(share > 0, 1 + F.lit(BITS / (4 * PERMUTATIONS)) * F.log(share)).otherwise(F.lit(0.0))
 
 
+def likely_pairs(block: pd.DataFrame, percent: int, best: int | None) -> pd.DataFrame:
+    """Pairs between two blocks (or within one) of different labels whose estimate allows a link; each member's ``best`` ones or all."""
+    first, second = block["bi"].iloc[0], block["bj"].iloc[0]
+    rows, cols = block[block["block"] == first], block[block["block"] == second]
+    x, y = (np.array(d["sketch"].tolist(), np.int64).view(np.uint64).reshape(len(d), -1) for d in (rows, cols))
+    apart = np.zeros((len(rows), len(cols)), np.int32)
+    for i in range(x.shape[1]):
+        apart += np.bitwise_count(x[:, i, None] ^ y[None, :, i])
+    share = 1 - 2 * apart / BITS
+    value = 1 + BITS / (4 * PERMUTATIONS) * np.log(np.maximum(share, 1e-9))
+    n, m = rows["n"].to_numpy()[:, None], cols["n"].to_numpy()[None, :]
+    fits = (value >= percent / 100 - MARGIN) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent)
+    fits &= rows["label"].to_numpy()[:, None] != cols["label"].to_numpy()[None, :]
+    if best is not None:
+        ranked = np.where(fits, -value, np.inf)
+        pick = np.zeros_like(fits)
+        for axis in (0, 1):
+            k = min(best, ranked.shape[axis])
+            np.put_along_axis(pick, np.argpartition(ranked, k - 1, axis).take(range(k), axis), True, axis)
+        fits &= pick
+    i, j = np.nonzero(fits)
+    a, b = rows["rep"].to_numpy()[i], cols["rep"].to_numpy()[j]
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+
+def _compare(percent: int, best: int | None):
+    return lambda block: likely_pairs(block, percent, best)
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = 85, size: int = 5) -> DataFrame:
     """Links documents with ``100 * |A & B| >= percent * |A | B|`` of their distinct ``size``-word shingles.
 
@@ -116,14 +148,16 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     Result, a row per input row: ``doc_id, n_shingles, component_id`` (smallest id reachable), ``kept``.
     """
-    slim = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    slim = bounded_batches(docs).select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     features = stored(_features(slim, size), "minhash-features")
     usable = features.where("n > 0 AND doc_id IS NOT NULL")
     reps = stored(usable.groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "minhash-reps")
     buckets = reps.select("rep", F.explode("bands").alias("key"))
-    crowded = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("lead")).where("members > 1")
-    crowded = stored(crowded, "minhash-crowded")
+    crowded = stored(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "minhash-crowded")
     members = stored(buckets.join(crowded, "key"), "minhash-members")
+    weights = stored(members.groupBy("rep").agg(F.sum("members").alias("weight")), "minhash-weights")
+    leads = members.join(weights, "rep").groupBy("key").agg(F.max(F.struct("weight", "rep"))["rep"].alias("lead"))
+    leads = stored(leads, "minhash-leads")
     involved = members.select("rep").distinct()
     sets = stored(_sets(slim.join(stored(involved.withColumnRenamed("rep", "doc_id"), "minhash-involved"), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text"), size), "minhash-sets")
     sketches = stored(reps.join(involved, "rep").select("rep", "n", "sketch"), "minhash-sketches")
@@ -138,26 +172,25 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         common = likely.join(full["a"], "a").join(full["b"], "b").withColumn("c", F.size(F.array_intersect("ha", "hb")))
         return stored(common.where(F.col("c") * 100 >= (F.col("na") + F.col("nb") - F.col("c")) * percent).select("a", "b"), "minhash-links")
 
-    links = judged(members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct())
+    star = members.join(leads, "key").where("rep <> lead")
+    links = judged(star.select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")).distinct())
     labels = components(links, "minhash-labels")
-    chance = F.pmod(F.xxhash64("key", "rep"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    done, pivots = 1, 32
-    while True:
+    kind = docs.schema[id_column].dataType.simpleString()
+    for best in (4, None):
         known = members.where("members > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        known = stored(known.withColumn("place", chance * F.col("members")), "minhash-known")
+        known = stored(known, "minhash-known")
         mixed = stored(known.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("key"), "minhash-mixed")
-        # a group all of whose members have been pivots is finished
-        active = known.where(F.col("members") > (done if done > 1 else 0)).join(mixed, "key")
-        if active.isEmpty():
+        if mixed.isEmpty():
             break
-        lead = active.where((F.col("place") < pivots) & ((F.col("place") >= done) if done > 1 else F.lit(True)))
-        lead = stored(lead.select("key", F.col("rep").alias("p"), F.col("label").alias("pl")), "minhash-pivots")
-        pairs = active.join(lead, "key").where("label <> pl").select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
-        more = judged(pairs)
+        blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+        active = known.join(mixed, "key").join(sketches, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+        active = active.withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        active = active.select("key", "rep", "label", "n", "sketch", "block", F.least("block", "_other").alias("bi"), F.greatest("block", "_other").alias("bj"))
+        pairs = active.groupBy("key", "bi", "bj").applyInPandas(_compare(percent, best), f"a {kind}, b {kind}")
+        more = judged(pairs.distinct())
         if not more.isEmpty():
             links = links.union(more)
             labels = components(links, "minhash-labels")
-        done, pivots = pivots, pivots * 4
     of_rep = stored(reps.select("print", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("print", F.coalesce("label", "rep").alias("component_id")), "minhash-result")
     out = features.join(of_rep, "print", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
