@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPLIT, WordIds, split_words, stored, window_hashes
+from .common import bounded_batches, SPLIT, WordIds, split_words, stored, window_hashes, worker_cache
 
 PASSAGE, SEED = 50, 34
 
@@ -46,7 +46,7 @@ def _seeds(docs: DataFrame, passage: int, seed: int) -> DataFrame:
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("key", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds()
+        words = worker_cache("words", WordIds)
         for batch in batches:
             ids, counts, keys = [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -66,7 +66,7 @@ def _runs(docs: DataFrame, passage: int, seed: int) -> DataFrame:
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("key", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("more", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds()
+        words = worker_cache("words", WordIds)
         for batch in batches:
             ids, counts, keys, starts, more = [], [], [], [], []
             for doc, text, repeated in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
@@ -153,8 +153,9 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
 
     Result, a row per span: ``doc_id, start, words, later`` (positions in words, from 0).
     """
-    slim = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    alike = equal_neighbours(_seeds(slim, passage, seed))
+    slim = bounded_batches(docs).select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    # written once: range partitioning samples its input before it sorts
+    alike = equal_neighbours(stored(_seeds(slim, passage, seed), "suffix-seeds"))
     holders = alike.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
     runs = equal_neighbours(_runs(slim.join(holders, "doc_id"), passage, seed))
     starts = runs.groupBy("doc_id", "later").agg(F.collect_list("start").alias("starts"), F.collect_list("more").alias("more"))
