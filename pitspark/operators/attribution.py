@@ -61,10 +61,10 @@ def energy_grid(holes: DataFrame, on: list[str], nx: int = 20, ny: int = 20, nz:
                 value: str | None = "kg") -> DataFrame:
     """Gaussian energy field of collar-to-toe segments on a regular grid per group.
 
-    The grid has at most 50 x 50 x 15 nodes, so every hole adds to a bounded number of nodes; the sums combine map
+    The grid has nx x ny x nz nodes, two each way at least, and every hole adds to all of them; the sums combine map
     side and only one row per node is shuffled from each task. Holes alike in every coordinate are merged first.
     """
-    nx, ny, nz = (max(2, min(50, nx)), max(2, min(50, ny)), max(2, min(15, nz)))
+    nx, ny, nz = max(2, nx), max(2, ny), max(2, nz)
     radius = radius if radius > 0 else 30.0
     weight = F.coalesce(value, F.lit(0.0)) if value else F.lit(1.0)
     h = holes.where("x_toe IS NOT NULL").groupBy(*on, "x", "y", "z_collar", "x_toe", "y_toe", "z_toe").agg(F.sum(weight).alias("q"))

@@ -132,12 +132,12 @@ def k_nearest(sites: DataFrame, k: int, on: list[str], xy=("x", "y"), spacing: f
 
 def exact_quantiles(df: DataFrame, value: str, probabilities: list[float], buckets: int = 4096,
                     small: int = 100_000) -> list[float | None]:
-    """Exact linearly interpolated quantiles of a column of any size.
+    """Exact linearly interpolated quantiles of a column of any size; non-finite values are left out.
 
     Each pass counts rows in equal-width buckets (partial aggregates, at most ``buckets`` rows) and keeps only
     the bucket holding the wanted rank, until few enough values are left to sort. Only counts reach the driver.
     """
-    data = df.select(F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
+    data = df.select(F.col(value).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v) AND abs(v) < double('infinity')")
     n, low, high = data.agg(F.count("v"), F.min("v"), F.max("v")).first()
     if not n:
         return [None] * len(probabilities)

@@ -101,3 +101,10 @@ def test_projection_equals_brute_force_with_long_holes(spark):
             if min(p, q, (p + q) / 2) <= 10 + 1e-6 and abs((x - ox) * dx + (y - oy) * dy) <= length / 2:
                 want.add((name, i))
     assert got == want
+
+
+def test_quantiles_leave_out_non_finite_values(spark):
+    from pitspark.operators.spatial import exact_quantiles
+
+    rows = [(float(i),) for i in range(51)] + [(float("inf"),), (float("-inf"),), (float("nan"),), (None,)]
+    assert exact_quantiles(spark.createDataFrame(rows, "v double"), "v", [0.0, 0.5, 1.0], small=10) == [0.0, 25.0, 50.0]
