@@ -6,9 +6,10 @@ estimate lies clearly under the threshold are not looked at again. The others ar
 
 Only components are asked for. A band's group is first compared with its most central member (the one that meets most
 others over all bands). Groups that still span several components are cut into blocks; tasks compare the sketches of
-two blocks at a time and put out the likely pairs between different components alone, each member's best ones in a
-first round and all that are left in a second. So every likely pair is confirmed or lies within one component already,
-and a group is never expanded into rows of all its pairs.
+two blocks at a time and put out the likely pairs between different components alone, each member's best one in a
+first round and all that are left and not yet judged in a second. A pair is compared in the first band that it shares
+only. So every likely pair is confirmed once or lies within one component already, and a group is never expanded into
+rows of all its pairs.
 """
 from __future__ import annotations
 
@@ -110,18 +111,29 @@ def estimate(a: Column, b: Column) -> Column:
 
 
 def likely_pairs(block: pd.DataFrame, percent: int, best: int | None) -> pd.DataFrame:
-    """Pairs between two blocks (or within one) of different labels whose estimate allows a link; each member's ``best`` ones or all."""
+    """Pairs between two blocks (or within one) of different labels whose estimate allows a link and that share no earlier
+    band; each member's ``best`` ones or all. ``na, nb`` are the sizes of their sets."""
     first, second = block["bi"].iloc[0], block["bj"].iloc[0]
     rows, cols = block[block["block"] == first], block[block["block"] == second]
-    x, y = (np.array(d["sketch"].tolist(), np.int64).view(np.uint64).reshape(len(d), -1) for d in (rows, cols))
+
+    def words(name: str) -> list[np.ndarray]:
+        return [np.array(d[name].tolist(), np.int64).view(np.uint64).reshape(len(d), -1) for d in (rows, cols)]
+
+    x, y = words("sketch")
     apart = np.zeros((len(rows), len(cols)), np.int32)
     for i in range(x.shape[1]):
         apart += np.bitwise_count(x[:, i, None] ^ y[None, :, i])
     share = 1 - 2 * apart / BITS
     value = 1 + BITS / (4 * PERMUTATIONS) * np.log(np.maximum(share, 1e-9))
-    n, m = rows["n"].to_numpy()[:, None], cols["n"].to_numpy()[None, :]
-    fits = (value >= percent / 100 - MARGIN) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent)
+    n, m = rows["n"].to_numpy(), cols["n"].to_numpy()
+    fits = (value >= percent / 100 - MARGIN) & (np.minimum(n[:, None], m) * 100 >= np.maximum(n[:, None], m) * percent)
     fits &= rows["label"].to_numpy()[:, None] != cols["label"].to_numpy()[None, :]
+    here = np.uint64(int(block["key"].iloc[0]) % (1 << 64))
+    x, y = words("bands")
+    for band in range(x.shape[1]):
+        if len(x) and x[0, band] == here:  # a key holds its band's number, so all members have it at this place
+            break
+        fits &= x[:, band, None] != y[None, :, band]
     if best is not None:
         ranked = np.where(fits, -value, np.inf)
         pick = np.zeros_like(fits)
@@ -130,8 +142,10 @@ def likely_pairs(block: pd.DataFrame, percent: int, best: int | None) -> pd.Data
             np.put_along_axis(pick, np.argpartition(ranked, k - 1, axis).take(range(k), axis), True, axis)
         fits &= pick
     i, j = np.nonzero(fits)
-    a, b = rows["rep"].to_numpy()[i], cols["rep"].to_numpy()[j]
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+    a, b, na, nb = rows["rep"].to_numpy()[i], cols["rep"].to_numpy()[j], n[i], m[j]
+    swap = a > b
+    pairs = {"a": np.where(swap, b, a), "b": np.where(swap, a, b), "na": np.where(swap, nb, na), "nb": np.where(swap, na, nb)}
+    return pd.DataFrame(pairs).drop_duplicates(["a", "b"])
 
 
 def _compare(percent: int, best: int | None):
@@ -160,23 +174,24 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     leads = stored(leads, "minhash-leads")
     involved = members.select("rep").distinct()
     sets = stored(_sets(slim.join(stored(involved.withColumnRenamed("rep", "doc_id"), "minhash-involved"), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text"), size), "minhash-sets")
-    sketches = stored(reps.join(involved, "rep").select("rep", "n", "sketch"), "minhash-sketches")
+    sketches = stored(reps.join(involved, "rep").select("rep", "n", "sketch", "bands"), "minhash-sketches")
 
-    def judged(pairs: DataFrame) -> DataFrame:
+    def judged(likely: DataFrame) -> DataFrame:
         """The pairs ``a, b`` that the full sets confirm."""
-        s = {x: sketches.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab"}
-        likely = pairs.join(s["a"], "a").join(s["b"], "b")
-        likely = likely.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).where(estimate(F.col("sa"), F.col("sb")) >= percent / 100 - MARGIN)
-        likely = stored(likely.select("a", "b", "na", "nb"), "minhash-likely")
         full = {x: sets.select(F.col("rep").alias(x), F.col("shingles").alias(f"h{x}")) for x in "ab"}
         common = likely.join(full["a"], "a").join(full["b"], "b").withColumn("c", F.size(F.array_intersect("ha", "hb")))
         return stored(common.where(F.col("c") * 100 >= (F.col("na") + F.col("nb") - F.col("c")) * percent).select("a", "b"), "minhash-links")
 
     star = members.join(leads, "key").where("rep <> lead")
-    links = judged(star.select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")).distinct())
+    star = star.select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")).distinct()
+    s = {x: sketches.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab"}
+    likely = star.join(s["a"], "a").join(s["b"], "b")
+    likely = likely.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).where(estimate(F.col("sa"), F.col("sb")) >= percent / 100 - MARGIN)
+    done = stored(likely.select("a", "b", "na", "nb"), "minhash-likely")
+    links = judged(done)
     labels = components(links, "minhash-labels")
     kind = docs.schema[id_column].dataType.simpleString()
-    for best in (4, None):
+    for best in (1, None):
         known = members.where("members > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
         known = stored(known, "minhash-known")
         mixed = stored(known.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("key"), "minhash-mixed")
@@ -185,9 +200,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         blocks = F.ceil(F.col("members") / BLOCK).cast("int")
         active = known.join(mixed, "key").join(sketches, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
         active = active.withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        active = active.select("key", "rep", "label", "n", "sketch", "block", F.least("block", "_other").alias("bi"), F.greatest("block", "_other").alias("bj"))
-        pairs = active.groupBy("key", "bi", "bj").applyInPandas(_compare(percent, best), f"a {kind}, b {kind}")
-        more = judged(pairs.distinct())
+        active = active.select("key", "rep", "label", "n", "sketch", "bands", "block", F.least("block", "_other").alias("bi"), F.greatest("block", "_other").alias("bj"))
+        pairs = active.groupBy("key", "bi", "bj").applyInPandas(_compare(percent, best), f"a {kind}, b {kind}, na long, nb long")
+        fresh = stored(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"), "minhash-likely")
+        more, done = judged(fresh), done.union(fresh)
         if not more.isEmpty():
             links = links.union(more)
             labels = components(links, "minhash-labels")
