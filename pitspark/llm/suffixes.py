@@ -157,7 +157,7 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
     # written once: range partitioning samples its input before it sorts
     alike = equal_neighbours(stored(_seeds(slim, passage, seed), "suffix-seeds"))
     holders = alike.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
-    runs = equal_neighbours(_runs(slim.join(holders, "doc_id"), passage, seed))
+    runs = equal_neighbours(stored(_runs(slim.join(holders, "doc_id"), passage, seed), "suffix-runs"))
     starts = runs.groupBy("doc_id", "later").agg(F.collect_list("start").alias("starts"), F.collect_list("more").alias("more"))
     schema = T.StructType([T.StructField("doc_id", slim.schema["doc_id"].dataType), T.StructField("start", T.LongType()), T.StructField("words", T.LongType()), T.StructField("later", T.BooleanType())])
 
