@@ -322,3 +322,13 @@ def test_pipeline_stages(spark, docs, texts, tmp_path):
         if name == "language_id":
             assert {r["doc_id"] for r in before.collect()} - {r["doc_id"] for r in kept.collect()} <= {i for i, t in enumerate(texts) if not re.search(r"[^\W\d_]", t or "")}
     assert pipeline.run(spark, path).count() > 0
+
+
+def test_shared_smaller_leaves_match_sets():
+    rng = np.random.default_rng(1)
+    leaves = [list(rng.choice(60, 12, replace=False) * 7) for _ in range(50)] + [[]]
+    i, j = np.triu_indices(len(leaves), 1)
+    for leaf in (0, 70, 350, 10**6):
+        want = [any(c < leaf for c in set(leaves[a]) & set(leaves[b])) for a, b in zip(i, j)]
+        assert forest.share_smaller(leaves, leaf, i, j).tolist() == want
+    assert len(forest.share_smaller(leaves, 70, i[:0], j[:0])) == 0
