@@ -20,7 +20,10 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, stored
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math canvas object xmp noframes".split())
+#: Elements whose content is passed over: plain text up to the next end tag, and elements that may hold others of their kind.
+RAW_TEXT = frozenset("script style textarea title iframe xmp noframes".split())
+RAW_NESTED = frozenset("noscript template svg math canvas object".split())
+RAW = RAW_TEXT | RAW_NESTED
 NOISE = frozenset("nav footer aside form header menu dialog button select fieldset head".split()) | RAW
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements that carry text themselves; low importance removes containers, never a paragraph for being repeated.
@@ -32,22 +35,68 @@ NOISE_NAMES = re.compile(
     r"comments?|comment-.*|respond|replies|cookies?|cookie-.*|consent|notice|notices|gdpr|newsletter|subscribe|share|sharing|social|related|widget|popup|modal|"
     r"disclaimer|copyright|legal|complementary|contentinfo|search)$")
 TAG = re.compile(r"<!--.*?(?:-->|$)|<![^>]*(?:>|$)|<\?[^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+RAW_TAG = re.compile(r"<!--|<(/?)(" + "|".join(sorted(RAW)) + r")(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.I)
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW_TEXT}
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 CLASS = re.compile(r"\bclass\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 SPACE = re.compile(r"\s+")
 
 
+class RawEnds:
+    """Where the content of a page's RAW elements ends; every part of the page is searched once, however many there are."""
+
+    def __init__(self, page: str):
+        self.page, self.next, self.spans = page, {}, None
+
+    def text_end(self, tag: str, at: int, attrs: str) -> int:
+        """Behind the next end tag. Without one the rest of the page is content, but a self-closed element and a frame are empty."""
+        if tag not in self.next or self.next[tag] is not None and self.next[tag].start() < at:
+            self.next[tag] = RAW_END[tag].search(self.page, at)
+        if self.next[tag] is None:
+            return at if tag == "iframe" or attrs.endswith("/") else len(self.page)
+        return self.page.find(">", self.next[tag].end()) + 1 or len(self.page)
+
+    def after(self, tag: str, start: int, at: int, attrs: str) -> int:
+        """Position behind the element whose start tag runs from ``start`` to ``at``; one that is never closed is empty."""
+        if tag in RAW_TEXT:
+            return self.text_end(tag, at, attrs)
+        if self.spans is None:
+            self.spans = self.nested()
+        return self.spans.get(start, at)
+
+    def nested(self) -> dict[int, int]:
+        """Start of each closed RAW_NESTED element to the position behind its end tag."""
+        page, at, found = self.page, 0, {}
+        opened: dict[str, list[int]] = {tag: [] for tag in RAW_NESTED}
+        self.next = {}
+        while m := RAW_TAG.search(page, at):
+            at, tag = m.end(), (m[2] or "").lower()
+            if not tag:
+                close = page.find("-->", at)
+                at = close + 3 if close >= 0 else len(page)
+            elif tag in RAW_TEXT:
+                at = at if m[1] else self.text_end(tag, at, m[3])
+            elif m[1]:
+                if opened[tag]:
+                    found[opened[tag].pop()] = at
+            elif not (tag in ("svg", "math") and m[3].endswith("/")):
+                opened[tag].append(m.start())
+        self.next = {}
+        return found
+
+
 def blocks(page: str | None) -> tuple[list[tuple[str, str, bool, bool]], list[tuple[str, str]]]:
     """The page's text blocks ``(path, text, in noise, in article)`` in order, and ``(path, child sequence)`` of its elements.
 
     Missing end tags are supplied: a block element closes an open paragraph, an end tag closes what is open inside it,
-    and an end tag without a start is passed over. Text of script, style and similar elements is left out.
+    and an end tag without a start is passed over. Text of script, style and similar elements is left out; nothing in them
+    counts as a tag or comment of the page. A svg, math, canvas, object, template, noscript or iframe that is never closed is
+    empty; an unclosed script, style, title or textarea takes the rest of the page, as in browsers.
     """
     found: list[tuple[str, str, bool, bool]] = []
     styles: list[tuple[str, str]] = []
     stack: list[list] = [["", "", False, False, []]]  # tag, path, noise, article, children
     text: list[str] = []
-    raw_until = None
 
     def flush() -> None:
         if text:
@@ -63,12 +112,8 @@ def blocks(page: str | None) -> tuple[list[tuple[str, str, bool, bool]], list[tu
             styles.append((path, " ".join(c for i, c in enumerate(children) if not i or c != children[i - 1])))
 
     at, page = 0, page or ""
-    for m in TAG.finditer(page):
-        if raw_until is not None:
-            if not (m[1] and m[2].lower() == raw_until):
-                continue
-            raw_until, at = None, m.end()
-            continue
+    raw_ends = RawEnds(page)
+    while m := TAG.search(page, at):
         if m.start() > at:
             text.append(page[at:m.start()])
         at = m.end()
@@ -114,16 +159,15 @@ def blocks(page: str | None) -> tuple[list[tuple[str, str, bool, bool]], list[tu
                 label += "." + ".".join((c[1] or c[2] or c[3] or "").lower().split())
         if tag not in INLINE:
             parent[4].append(label)
-        if tag in VOID or attrs.endswith("/") and tag not in RAW:
+        if tag in VOID or attrs.endswith("/") and (tag not in RAW or tag in ("svg", "math")):
             continue
         if tag in RAW:
-            raw_until = tag
+            at = raw_ends.after(tag, m.start(), at, attrs)
             continue
         noisy = noisy or tag in NOISE
         article = parent[3] or (tag in ("article", "main") and not noisy)
         stack.append([tag, parent[1] if tag in INLINE else f"{parent[1]}/{label}", noisy, article, []])
-    if raw_until is None:
-        text.append(page[at:])
+    text.append(page[at:])
     flush()
     while len(stack) > 1:
         close()

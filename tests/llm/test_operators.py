@@ -249,6 +249,16 @@ def test_main_text(spark):
     assert got == [(1, whole, len(whole)), (2, "", 0), (3, "", 0), (4, "plain\ntext <b>", 14), (4, "plain\ntext <b>", 14), (5, "", 0)]
 
 
+@pytest.mark.parametrize("before", [
+    "<script>for(i=0;i<n;i++){f(i)}</script>", "<script>if (a <b && c == \"'\") x()</SCRIPT >", "<script><!-- hide\nf()</script>", "<style>/* <!-- */</style>",
+    "<textarea>1 <b</textarea>", "<svg viewBox='0 0 1 1'/>", "<math display='block' />", "<svg><path d='M0'/>", "<canvas width=1>", "<object data='x'><p>", "<template><b>",
+    "<noscript>", "<iframe src='x'>", "<object><object></object>no</object>", "<svg><style>a</style><script>'</svg>' <q</script><text>no</text></svg>", "<!-- <svg> --><svg><g></g></svg>",
+])
+def test_raw_elements_never_swallow_the_article(before):
+    page = f"<html><body>{before}<article><p>Kept.</p><svg><text>no</text></svg></article></body></html>"
+    assert sitestyle.main_text(page, frozenset()) == "Kept."
+
+
 def test_style_tree_removes_a_block_that_all_pages_share(spark):
     page = lambda i: f"<body><article><div class='tools'><p>Print this page</p></div><p>Story number {i} is new.</p></article></body>"
     rows = [(i, f"http://news.x/{i}", page(i)) for i in range(60)]
