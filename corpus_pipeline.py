@@ -14,15 +14,29 @@ from pitspark.llm import language, minhash, mixing, packing, suffixes
 from pitspark.llm.common import stored, table
 from pitspark.llm.queries import tokenizer_path
 
-LEAST_SCORE = 0.25  # under it no language claims the text: every value against the rest lies under -0.5
+UNCLAIMED = 0.5  # score of an output of 0: no language claims a text whose best output is not above it
+LOST = 0.001  # share of the held-out texts of known language that may score under the margin
+LEAST_KNOWN = 100  # held-out texts without which no margin is set
+
+
+def claim_margin(docs: DataFrame, model: language.LanguageModel) -> float:
+    """Score that a text must reach to count as claimed: the ``LOST`` quantile of the labelled documents that the
+    classifier has not seen and names rightly, ``UNCLAIMED`` at least, and just that where they are few."""
+    known = docs.select("doc_id", "text", "lang").where(language.held_out() & F.col("lang").isNotNull())
+    right = language.predict(known, model).where("lang_pred = lang")
+    n, low = right.agg(F.count(F.lit(1)), F.percentile_approx("score", LOST, 100_000)).first()
+    return max(UNCLAIMED, low) if n >= LEAST_KNOWN else UNCLAIMED
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose text a learned language claims; texts that are null or without letters go. The classifier is
-    fitted on the labelled part of ``docs`` that the language query learns from."""
+    """Keeps documents whose text a learned language claims; texts that are null or without letters go, and so do those
+    in a script or language that was not learned and letter junk: all outputs of the classifier lie around or under 0
+    there. It is fitted on the labelled part of ``docs`` that the language query learns from, the margin is set on the
+    other labelled part. Texts close to a learned language may be claimed by it."""
     model = language.fit(docs.select("doc_id", "text", "lang").where(~language.held_out()))
+    margin = claim_margin(docs, model)
     guessed = language.predict(docs, model, language="_lang_pred", score="_lang_score")
-    return guessed.where((F.col("_lang_pred") != "und") & (F.col("_lang_score") >= LEAST_SCORE)).select(*docs.columns)
+    return guessed.where((F.col("_lang_pred") != "und") & (F.col("_lang_score") > UNCLAIMED) & (F.col("_lang_score") >= margin)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

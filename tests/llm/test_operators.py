@@ -334,6 +334,22 @@ def test_pipeline_stages(spark, docs, texts, tmp_path):
     assert pipeline.run(spark, path).count() > 0
 
 
+def test_unclaimed_texts_leave_the_pipeline(spark):
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(2)
+    syllables = {"en": "the ing and er ion of th re ou sh", "de": "der sch ung ein ich und zu keit pf ver", "fr": "eau oi qué ment ré la çon ai eux tre", "es": "ción os ñar que el ía rro do ue ll",
+                 "ru": "ст но ли при ка ват ого жи щь ет", "fi": "kk yy äm ssa juv pöl ppi hta mme vät"}
+    make = lambda lang: " ".join("".join(rng.choice(syllables[lang].split()) for _ in range(rng.randint(1, 4))) for _ in range(60))
+    junk = lambda: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(60))
+    known = [(i, make(lang), lang) for i in range(600) for lang in [("en", "de", "fr", "es")[i % 4]]]
+    strange = [(1000 + i, [make("ru"), make("fi"), junk()][i % 3], None) for i in range(60)]
+    docs = spark.createDataFrame(known + strange, "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in pipeline.known_language(spark, docs, "").collect()}
+    held = {i for i, *_ in known if zlib.crc32(str(i).encode()) % 4 == 2}
+    assert len(held) >= pipeline.LEAST_KNOWN and held <= kept and kept <= {i for i, *_ in known}
+
+
 def test_shared_smaller_leaves_match_sets():
     rng = np.random.default_rng(1)
     leaves = [list(rng.choice(60, 12, replace=False) * 7) for _ in range(50)] + [[]]
