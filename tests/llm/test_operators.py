@@ -123,6 +123,16 @@ def test_near_duplicates_equal_brute_force(docs, texts):
             assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[r["doc_id"]]), expected[r["doc_id"]], expected[r["doc_id"]] == r["doc_id"])
 
 
+def test_bands_find_pairs_at_the_threshold():
+    rng = np.random.default_rng(3)
+    for percent, apart in ((80, 10), (85, 8)):  # 80 of 100 and 84 of 100 common shingles
+        sign, missed = minhash.Signer(minhash.bands_of(percent)), 0
+        for _ in range(3000):
+            x = rng.integers(0, 1 << 63, 100, dtype=np.uint64)
+            missed += not (sign(x[apart:])[0] == sign(x[:-apart])[0]).any()
+        assert missed <= 1
+
+
 def test_groups_whose_members_differ_from_the_lead(spark):
     """Edits of one text: many pairs around the threshold, several rounds of comparison."""
     rng = random.Random(9)
