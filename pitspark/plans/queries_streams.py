@@ -24,18 +24,32 @@ def _(spark, d):
     return tidy(spark.read.parquet(f"{out}/table").select("pozo", "event_id", "rig", "depth_m", "duration_min"))
 
 
-# windows of 30 days counted from the epoch; the newest one stays open behind its watermark
-@query("stream_powder_factor_trend", f"""WITH {PF_SQL}, w AS (SELECT CAST(floor((fecha - DATE '1970-01-01') / 30) AS BIGINT) AS k, pf_vol_kgm3, max(fecha) OVER () AS latest FROM pf)
-    SELECT CAST(DATE '1970-01-01' + CAST(k * 30 AS INTEGER) AS DATE) AS period_start, {r('avg(pf_vol_kgm3)', 'pf_promedio')}, count(*) AS n_pozos FROM w
-    WHERE DATE '1970-01-01' + CAST((k + 1) * 30 AS INTEGER) <= latest - 7 GROUP BY k""")
-def _(spark, d):
+def _trend(spark, d: str):
+    """What the stream emitted, and the holes it read."""
     out = scratch(spark, "trend")
     holes = factors(spark, d).select(F.col("fecha").cast("timestamp").alias("blast_time"), "pf_vol_kgm3")
     holes.write.parquet(f"{out}/holes")
     stream = jobs.powder_factor_trend(spark.readStream.schema(holes.schema).parquet(f"{out}/holes"))
     q = stream.writeStream.format("parquet").outputMode("append").option("path", f"{out}/table").option("checkpointLocation", f"{out}/checkpoint")
     q.trigger(availableNow=True).start().awaitTermination()
-    return tidy(spark.read.schema(stream.schema).parquet(f"{out}/table").select(F.to_date("period_start").alias("period_start"), "pf_promedio", "n_pozos"))
+    return spark.read.schema(stream.schema).parquet(f"{out}/table"), spark.read.schema(holes.schema).parquet(f"{out}/holes")
+
+
+# windows of 30 days counted from the epoch; the newest one stays open behind its watermark
+@query("stream_powder_factor_trend", f"""WITH {PF_SQL}, w AS (SELECT CAST(floor((fecha - DATE '1970-01-01') / 30) AS BIGINT) AS k, pf_vol_kgm3, max(fecha) OVER () AS latest FROM pf)
+    SELECT CAST(DATE '1970-01-01' + CAST(k * 30 AS INTEGER) AS DATE) AS period_start, {r('avg(pf_vol_kgm3)', 'pf_promedio')}, count(*) AS n_pozos FROM w
+    WHERE DATE '1970-01-01' + CAST((k + 1) * 30 AS INTEGER) <= latest - 7 GROUP BY k""")
+def _(spark, d):
+    emitted, _ = _trend(spark, d)
+    return tidy(emitted.select(F.to_date("period_start").alias("period_start"), "pf_promedio", "n_pozos"))
+
+
+# the source is finite: with the windows that the stream leaves open
+@query("stream_powder_factor_trend_whole", f"""WITH {PF_SQL} SELECT CAST(DATE '1970-01-01' + CAST(k * 30 AS INTEGER) AS DATE) AS period_start, {r('avg(pf_vol_kgm3)', 'pf_promedio')}, count(*) AS n_pozos
+    FROM (SELECT CAST(floor((fecha - DATE '1970-01-01') / 30) AS BIGINT) AS k, pf_vol_kgm3 FROM pf WHERE fecha IS NOT NULL) GROUP BY k""")
+def _(spark, d):
+    emitted, holes = _trend(spark, d)
+    return tidy(jobs.whole_trend(holes, emitted).select(F.to_date("period_start").alias("period_start"), "pf_promedio", "n_pozos"))
 
 
 @query("stream_hole_validation", f"""WITH {bridge.RAW_SQL} SELECT 'accepted' AS sink, 'OK' AS error_code, count(*) AS n FROM raw WHERE NOT ({_ANY})

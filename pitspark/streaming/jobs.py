@@ -61,6 +61,12 @@ def powder_factor_trend(holes: DataFrame, time: str = "blast_time", window: str
         F.col("window.start").alias("period_start"), F.col("window.end").alias("period_end"), "pf_promedio", "n_pozos")
 
 
+def whole_trend(holes: DataFrame, emitted: DataFrame, time: str = "blast_time", window: str = "30 days") -> DataFrame:
+    """Windows a finished append stream has emitted, and from all its rows (a batch) those its watermark never passed."""
+    open_ones = powder_factor_trend(holes, time, window).join(emitted.select("period_start"), "period_start", "left_anti")
+    return emitted.unionByName(open_ones)
+
+
 def validate_stream(raw: DataFrame, config: GeometryConfig, accepted_path: str, rejected_path: str, checkpoint: str, bench_height: float | None = None,
                     row_key: str | None = None, trigger: dict | None = None, on_batch: Callable[[int], None] | None = None) -> StreamingQuery:
     """Split a stream of hole rows into accepted holes and rejection records, one folder per batch.

@@ -124,6 +124,16 @@ def test_trend_stream_drops_late_rows(spark, tmp_path):
     assert got[2] == pytest.approx(0.4) and spark.table("trend").count() == 2  # the newest window still waits for its watermark
 
 
+def test_whole_trend_adds_the_open_windows(spark, tmp_path):
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    rows = [("2026-01-05", 0.3), ("2026-01-06", 0.5), ("2026-03-20", 0.4), ("2026-06-20", 0.7), ("2026-06-21", 0.9), (None, 0.1)]
+    spark.createDataFrame(rows, "t string, pf_vol_kgm3 double").selectExpr("CAST(t AS TIMESTAMP) AS blast_time", "pf_vol_kgm3").coalesce(1).write.parquet(src)
+    stream = jobs.powder_factor_trend(spark.readStream.schema("blast_time timestamp, pf_vol_kgm3 double").parquet(src))
+    stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    got = jobs.whole_trend(spark.read.parquet(src), spark.read.schema(stream.schema).parquet(out)).orderBy("period_start").collect()
+    assert [(r["n_pozos"], pytest.approx(r["pf_promedio"])) for r in got] == [(2, 0.4), (1, 0.4), (2, 0.8)]
+
+
 def test_validation_stream_has_two_sinks(spark, tmp_path):
     src = str(tmp_path / "src")
     raw(spark).write.parquet(src)
