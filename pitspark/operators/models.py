@@ -54,8 +54,23 @@ def line_band(model: DataFrame, points: int = 50) -> DataFrame:
 
 
 def with_model(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """Rows with the fields of a single model row as the struct ``m``; a model table never has more than one row here."""
-    return rows.join(F.broadcast(model.limit(1).select(F.struct("*").alias("m"))))
+    """Rows with the fields of their model row as the struct ``m``.
+
+    A model fitted by group (its keys stand before ``n``) is joined on these keys; rows of a group without a model get a
+    null. Without keys the one model row goes to all rows. Several model rows for the same rows are an error.
+    """
+    keys = model.columns[:model.columns.index("n")] if "n" in model.columns else []
+    single = lambda found: F.when(F.size(found) > 1, F.raise_error(F.lit("more than one model row for the same rows"))).otherwise(F.get(found, F.lit(0))).alias("m")
+    if not keys:
+        one = model.limit(2).agg(F.collect_list(F.struct("*")).alias("_found")).where("size(_found) > 0")
+        return rows.join(F.broadcast(one.select(single(F.col("_found")))))
+    missing = [k for k in keys if k not in rows.columns]
+    if missing:
+        raise ValueError(f"rows lack the model's group columns {missing}")
+    named = [F.col(k).alias(f"_model_{k}") for k in keys]
+    per_group = model.groupBy(*named).agg(F.collect_list(F.struct(*model.columns)).alias("_found")).select(*[f"_model_{k}" for k in keys], single(F.col("_found")))
+    on = [F.col(k).eqNullSafe(F.col(f"_model_{k}")) for k in keys]
+    return rows.join(per_group, on, "left").drop(*[f"_model_{k}" for k in keys])
 
 
 def predict_damage(rows: DataFrame, model: DataFrame, pf: str = "target_pf") -> DataFrame:
