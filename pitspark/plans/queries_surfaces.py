@@ -149,6 +149,11 @@ def _(spark, d):
     return tidy(surfaces.height_grid(_tri(spark, d).where("kind = 'design'"), 5.0).select("surface_id", "ix", "iy", "z"))
 
 
+@query("height_grid_as_built")
+def _(spark, d):
+    return tidy(surfaces.height_grid(_tri(spark, d).where("kind = 'topo'"), 5.0).select("surface_id", "ix", "iy", "z"))
+
+
 # --- benches from profiles ------------------------------------------------------------------------------------------
 
 @query("extracted_benches")

@@ -255,3 +255,23 @@ def test_breaklines_of_a_step(spark):
     tri = spark.createDataFrame(rows, "surface_id string, kind string, tri_id long, v0 struct<x:double,y:double,z:double>, v1 struct<x:double,y:double,z:double>, v2 struct<x:double,y:double,z:double>")
     got = {(r["line_kind"], r["a"]["x"]) for r in surfaces.breakline_edges(tri).collect()}
     assert got == {("crest", 5.0), ("toe", 8.0)}
+
+
+def test_as_built_grid_equals_brute_force(spark, folder):
+    import __spark_entry__ as entry
+    from pitspark.plans import bridge
+
+    tri = bridge.surface_triangles(spark, folder).where("kind = 'topo'")
+    got = {(r["surface_id"], r["ix"], r["iy"]): r["z"] for r in entry.queries()["height_grid_as_built"](spark, folder).collect()}
+    want = {}
+    for f in sorted(tri.collect(), key=lambda f: f["tri_id"]):
+        (x0, y0, z0), (x1, y1, z1), (x2, y2, z2) = ((f[v]["x"], f[v]["y"], f[v]["z"]) for v in ("v0", "v1", "v2"))
+        det = (x1 - x0) * (y2 - y0) - (x2 - x0) * (y1 - y0)
+        for ix in range(int(min(x0, x1, x2) // 5), int(max(x0, x1, x2) // 5) + 1):
+            for iy in range(int(min(y0, y1, y2) // 5), int(max(y0, y1, y2) // 5) + 1):
+                a = ((5 * ix - x0) * (y2 - y0) - (x2 - x0) * (5 * iy - y0)) / det if det else -1
+                b = ((x1 - x0) * (5 * iy - y0) - (5 * ix - x0) * (y1 - y0)) / det if det else -1
+                if min(a, b, 1 - a - b) >= -1e-9:
+                    want.setdefault((f["surface_id"], ix, iy), z0 + a * (z1 - z0) + b * (z2 - z0))
+    assert got.keys() == want.keys() and len(got) > 1000
+    assert all(got[k] == pytest.approx(z, abs=0.01) for k, z in want.items())
