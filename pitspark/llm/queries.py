@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, forest, language, minhash, mixing, ngram_lm, packing, pieces, sitestyle, suffixes, topk, whitening
+from . import auction, chat, forest, language, minhash, mixing, ngram_lm, packing, pieces, sitestyle, suffixes, topk, whitening
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,6 +136,55 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.repair(table(spark, sf_dir, "conversations"))
 
 
+
+STRUCTURE_SQL = r"""WITH RECURSIVE
+t256 AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS t
+  FROM (SELECT unnest(range(0, 256)) AS i)),
+raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+kinds AS (SELECT raw.*, xor(list_reduce(list_concat([4294967295], list_transform(range(1, length(k) + 1), lambda i: CAST(ord(substr(k, i, 1)) AS BIGINT))),
+  lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) % 20 AS kind FROM raw CROSS JOIN t256),
+turns AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+  CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, copy
+  FROM (SELECT *, unnest(CASE WHEN kind = 3 THEN [1, 2] WHEN kind = 0 THEN [] ELSE [1] END) AS copy FROM kinds)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, encode(role), encode(text), copy) AS i FROM turns),
+seen AS (SELECT *, substr(role, 1, 1) AS r, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS shown,
+  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS r0 FROM placed),
+rows_ AS (SELECT *, CASE WHEN shown = '' THEN 'b' WHEN again THEN 'd' WHEN shown NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM seen),
+counts AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+  count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+  count(*) FILTER (r0 IS NOT NULL AND r0 || r NOT IN ('su', 'ua', 'au')) AS illegal FROM rows_ GROUP BY conv_id),
+-- from the last turn back: the cheapest (cost, letters) with nothing, a system, a user or an assistant turn before
+best AS (
+  SELECT conv_id, n AS i, [{'c': 0, 'a': ''}, {'c': 4, 'a': 'II'}, {'c': 2, 'a': 'I'}, {'c': 0, 'a': ''}] AS s FROM counts
+  UNION ALL
+  SELECT conv_id, i - 1, [list_min([x[q], {'c': x[nx[q]].c + 2, 'a': 'I' || x[nx[q]].a}, {'c': x[nx[nx[q]]].c + 4, 'a': 'II' || x[nx[nx[q]]].a}]) for q in [1, 2, 3, 4]]
+  FROM (SELECT conv_id, i, nx, [list_min([{'c': s[q].c + 3, 'a': 'D' || s[q].a},
+      {'c': CASE WHEN gone OR nxk[q] = 0 THEN 1000000000 ELSE s[greatest(nxk[q], 1)].c + late END, 'a': 'K' || s[greatest(nxk[q], 1)].a},
+      {'c': CASE WHEN gone THEN 1000000000 ELSE s[nx[q]].c + 2 + late END, 'a': 'R' || s[nx[q]].a}]) for q in [1, 2, 3, 4]] AS x
+    FROM (SELECT b.conv_id, b.i, b.s, [3, 3, 4, 3] AS nx, w.fault IN ('b', 'd') AS gone, CASE WHEN w.fault = 't' THEN 1 ELSE 0 END AS late,
+        CASE w.r WHEN 's' THEN [2, 0, 0, 0] WHEN 'u' THEN [3, 3, 0, 3] WHEN 'a' THEN [0, 0, 4, 0] ELSE [0, 0, 0, 0] END AS nxk
+      FROM best b JOIN rows_ w ON w.conv_id IS NOT DISTINCT FROM b.conv_id AND w.i = b.i))),
+done AS (SELECT conv_id, s[1].c AS cost, s[1].a AS audit FROM best WHERE i = 0),
+letters AS (SELECT conv_id, audit, p, substr(audit, CAST(p AS INTEGER), 1) AS e, length(regexp_replace(substr(audit, 1, CAST(p AS INTEGER)), 'I', '', 'g')) AS i,
+  length(regexp_replace(substr(audit, 1, CAST(p AS INTEGER)), 'D', '', 'g')) AS k FROM (SELECT *, unnest(range(1, length(audit) + 1)) AS p FROM done)),
+heads AS (SELECT l.conv_id FROM letters l JOIN rows_ w ON l.conv_id IS NOT DISTINCT FROM w.conv_id AND l.i = w.i WHERE l.e = 'K' AND l.k = 1 AND w.r = 's'),
+lines AS (SELECT l.conv_id, l.p, CASE WHEN e = 'K' THEN w.role WHEN (k - CASE WHEN EXISTS (SELECT 1 FROM heads h WHERE h.conv_id IS NOT DISTINCT FROM l.conv_id) THEN 1 ELSE 0 END) % 2 = 1
+    THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE w.text END AS line
+  FROM letters l LEFT JOIN rows_ w ON l.conv_id IS NOT DISTINCT FROM w.conv_id AND l.i = w.i AND l.e <> 'I' WHERE e <> 'D'),
+hashes AS (SELECT conv_id, sha256(string_agg(line, chr(10) ORDER BY p)) AS h FROM lines GROUP BY conv_id)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+  LEFT JOIN done d ON d.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN hashes h ON h.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+
+@query("op11_conversation_repair", STRUCTURE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = auction.repair(auction.damage(table(spark, sf_dir, "conversations")), "id", live=F.col("live"))
+    return found.withColumnRenamed("id", "conv_id")
+
+
 def piece_model_path() -> str:
     import public_tokenizers
 
