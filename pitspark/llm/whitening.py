@@ -53,11 +53,11 @@ def tridiagonal(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 def count_below(diagonal: np.ndarray, off: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Eigenvalues of the tridiagonal matrix under each of ``at``: the negative terms of the Sturm sequence there."""
     tiny = np.finfo(float).tiny / EPS
-    term = diagonal[0] - at
+    held = lambda term: np.where(np.abs(term) < tiny, -tiny, term)  # a term of 0 counts as negative
+    term = held(diagonal[0] - at)
     count = (term < 0).astype(int)
     for d, e in zip(diagonal[1:], off):
-        term = np.where(np.abs(term) < tiny, -tiny, term)
-        term = d - at - e * e / term
+        term = held(d - at - e * e / term)
         count += term < 0
     return count
 

@@ -187,6 +187,7 @@ def matrices():
         yield (q * np.r_[np.full(min(4, n), 7.0), np.full(n - min(4, n), 2.0)]) @ q.T
         yield np.outer(a[0], a[0])
         yield np.diag(np.repeat([5.0, 5, 1], n)[:n])
+        yield np.ones((n, n))
         yield a @ np.diag(10.0 ** -np.arange(n)) @ a.T
 
 
