@@ -1,36 +1,50 @@
 """Comparison rows of design and as-built benches, scores and statuses."""
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import (BANCO_ADICIONAL, CUMPLE, DETECTION, EXTRA, FALTA_BANCO, NO_CONSTRUIDO, NO_CUMPLE, SCORING,
+from ..config import (BANCO_ADICIONAL, CUMPLE, DETECTION, EXTRA, FALTA_BANCO, FUERA, NO_CONSTRUIDO, NO_CUMPLE, SCORING,
                       TOLERANCES, Scoring, Tolerances)
+from ..functions.geometry import direction
 from ..functions.status import credit, delta_status, status_rank, tripartite, within_band
-from .matching import match_benches
+from .matching import SECTION_KEYS, paired_sections
 
 BENCH_FIELDS = ("bench_number", "crest_elevation", "crest_distance", "toe_elevation", "toe_distance", "bench_height",
                 "face_angle", "berm_width")
 
 
 def compare(design: DataFrame, topo: DataFrame, tolerances: Tolerances = TOLERANCES, scoring: Scoring = SCORING,
-            threshold: float = DETECTION.match_threshold) -> DataFrame:
+            threshold: float = DETECTION.match_threshold, keys: Sequence[str] = SECTION_KEYS) -> DataFrame:
     """MATCH, MISSING and EXTRA rows of every section with deviations, statuses and scores.
 
-    As-built bench fields travel along as the struct ``bench_real``.
+    ``keys`` tell sections apart (project, pit, survey, section as needed). As-built bench fields travel along as the
+    struct ``bench_real``. The section's mean score comes from its row of arrays, so benches are shuffled once.
     """
-    order = Window.partitionBy("section").orderBy("bench_number")
-    d = design.select("section", F.row_number().over(order).alias("design_pos"), F.col("sector").alias("d_sector"),
-                      F.struct(*[c for c in design.columns if c not in ("section", "sector")]).alias("d"))
-    t = topo.select("section", F.row_number().over(order).alias("topo_pos"), F.col("sector").alias("t_sector"),
-                    F.struct(*[c for c in topo.columns if c not in ("section", "sector")]).alias("t"))
-    pairs = match_benches(design, topo, threshold)
-    left = d.join(pairs.drop("cost"), ["section", "design_pos"], "left")
-    full = left.join(t, ["section", "topo_pos"], "full")
-    return comparison_rows(full, tolerances, scoring)
-
-
-def comparison_rows(full: DataFrame, tolerances: Tolerances, scoring: Scoring) -> DataFrame:
+    sections = paired_sections(design, topo, keys, threshold)
+    no_d, no_t = (F.lit(None).cast(sections.schema[s].dataType.elementType) for s in ("d", "t"))
+    built = F.transform("d", lambda b, i: F.struct(b.alias("d"), F.when(F.get("pairs", i) >= 0, F.get("t", F.get("pairs", i))).otherwise(no_t).alias("t")))
+    extra = F.filter(F.transform("t", lambda b, j: F.struct(F.when(F.array_contains("pairs", j), no_d).alias("d"), F.when(~F.array_contains("pairs", j), b).alias("t"))),
+                     lambda r: r["t"].isNotNull())
+    total = lambda s, r: s + F.when(r["t"].isNull(), 0).otherwise(sum(bench_scores(r["d"]["bench"], r["t"]["bench"], tolerances, scoring).values()))
+    mean = F.aggregate("built", F.lit(0), total) / F.nullif(F.size(F.filter("built", lambda r: r["t"].isNotNull())), F.lit(0))
+    rows = sections.select(*keys, built.alias("built"), extra.alias("extra")).select(
+        *keys, F.bround(F.coalesce(mean, F.lit(0.0)), 1).alias("section_score"), F.explode(F.concat("built", "extra")).alias("r"))
+    return comparison_rows(rows.select(*keys, "section_score", F.col("r.d.bench").alias("d"), F.col("r.t.bench").alias("t")), tolerances, scoring, keys)
+
+
+def bench_scores(d: Column, t: Column, tolerances: Tolerances, scoring: Scoring) -> dict[str, Column]:
+    """Points of a matched pair per parameter."""
+    points = lambda test, n: F.when(test, n).otherwise(0)
+    return {"berm_score": points(F.bround(t["berm_width"], 2) >= tolerances.berm_min, scoring.berm),
+            "angle_score": points(within_band(t["face_angle"] - d["face_angle"], tolerances.face_angle), scoring.angle),
+            "height_score": points(within_band(t["bench_height"] - d["bench_height"], tolerances.bench_height), scoring.height)}
+
+
+def comparison_rows(full: DataFrame, tolerances: Tolerances, scoring: Scoring, keys: Sequence[str] = SECTION_KEYS) -> DataFrame:
+    """Columns of the comparison from rows of keys, section_score and the bench structs ``d`` and ``t``, one of which may be null."""
     both = F.col("d").isNotNull() & F.col("t").isNotNull()
     kind = F.when(both, "MATCH").when(F.col("t").isNull(), "MISSING").otherwise("EXTRA")
     h = F.col("t.bench_height") - F.col("d.bench_height")
@@ -38,14 +52,15 @@ def comparison_rows(full: DataFrame, tolerances: Tolerances, scoring: Scoring) -
     berm = F.bround("t.berm_width", 2)
     wall = F.when(F.col("d.crest_distance") >= F.col("d.toe_distance"), 1.0).otherwise(-1.0)
     berm_ok = berm >= tolerances.berm_min
-    points = lambda test, n: F.when(both & test, n).otherwise(0)
     by_kind = lambda match, missing, extra: F.when(both, match).when(F.col("t").isNull(), missing).otherwise(extra)
     toe = F.coalesce("d.toe_elevation", "t.toe_elevation")
-    score = {"berm_score": points(berm_ok, scoring.berm), "angle_score": points(within_band(a, tolerances.face_angle), scoring.angle),
-             "height_score": points(within_band(h, tolerances.bench_height), scoring.height)}
+    score = {k: F.when(both, v).otherwise(0) for k, v in bench_scores(F.col("d"), F.col("t"), tolerances, scoring).items()}
     has = lambda c: c in full.select("t.*").columns
+    sides = [F.col(f"{s}.sector") for s in ("d", "t") if "sector" in full.select(f"{s}.*").columns]
+    sector = F.coalesce(*sides) if sides else F.lit(None).cast("string")
+    real = F.col("t").dropFields("sector") if sides and "sector" in full.select("t.*").columns else F.col("t")
     rows = full.select(
-        F.coalesce("d_sector", "t_sector").alias("sector"), "section",
+        sector.alias("sector"), *keys,
         F.when(F.col("d").isNull(), 999).otherwise(F.col("d.bench_number")).cast("int").alias("bench_num"),
         kind.alias("type"), F.bround(toe, 0).cast("int").cast("string").alias("level"),
         F.bround("d.bench_height", 2).alias("height_design"), F.bround("t.bench_height", 2).alias("height_real"),
@@ -61,19 +76,16 @@ def comparison_rows(full: DataFrame, tolerances: Tolerances, scoring: Scoring) -
         (F.bround("t.effective_berm_width", 2) if has("effective_berm_width") else F.lit(None).cast("double")).alias("effective_berm"),
         F.bround((F.col("t.crest_distance") - F.col("d.crest_distance")) * wall, 2).alias("delta_crest"),
         F.bround((F.col("t.toe_distance") - F.col("d.toe_distance")) * wall, 2).alias("delta_toe"),
-        F.col("t").alias("bench_real"), *[v.alias(k) for k, v in score.items()])
-    rows = rows.withColumn("bench_score", F.col("berm_score") + F.col("angle_score") + F.col("height_score"))
-    # a section holds at most a few dozen benches, so the mean joins back without a wide window
-    mean = rows.groupBy("section").agg(F.avg(F.when(F.col("type") == "MATCH", F.col("bench_score"))).alias("_m"))
-    rows = rows.join(mean, "section").withColumn("section_score", F.bround(F.coalesce("_m", F.lit(0.0)), 1)).drop("_m")
+        real.alias("bench_real"), *[v.alias(k) for k, v in score.items()], sum(score.values()).alias("bench_score"), "section_score")
     return rows.withColumn("section_status", F.when(F.col("section_score") >= scoring.pass_mark, CUMPLE).otherwise(NO_CUMPLE))
 
 
 def achievement_terms(crest_tol: float = TOLERANCES.crest_toe.pos, toe_tol: float = TOLERANCES.crest_toe.pos) -> list[Column]:
-    """Aggregates behind the design-achievement score: partial credit and strict counts."""
+    """Aggregates behind the design-achievement score: strict counts, and points of partial credit, which are whole or half
+    and so add up exactly in any order."""
     crest, toe, berm = delta_status("delta_crest", crest_tol), delta_status("delta_toe", toe_tol), F.col("berm_status")
-    row = 0.4 * credit(crest) + 0.3 * credit(toe) + 0.3 * credit(berm)
-    return [F.count(F.lit(1)).alias("n_total"), F.sum(row).alias("sum_credit"),
+    row = 40 * credit(crest) + 30 * credit(toe) + 30 * credit(berm)
+    return [F.count(F.lit(1)).alias("n_total"), F.sum(row).alias("points"),
             F.count_if(crest == CUMPLE).alias("n_passing_crest"), F.count_if(toe == CUMPLE).alias("n_passing_toe"),
             F.count_if(berm == CUMPLE).alias("n_passing_berm")]
 
@@ -85,30 +97,26 @@ def achievement_score(comparisons: DataFrame, group: list[str] | None = None, **
     return agg.select(*(group or []), "n_total", "n_passing_crest", "n_passing_toe", "n_passing_berm",
                       pct("n_passing_crest").alias("crest_pct"), pct("n_passing_toe").alias("toe_pct"),
                       pct("n_passing_berm").alias("berm_pct"),
-                      F.coalesce(F.when(F.col("n_total") > 0, F.bround(F.col("sum_credit") / F.col("n_total") * 100.0, 0)),
+                      F.coalesce(F.when(F.col("n_total") > 0, F.bround(F.col("points") / F.col("n_total"), 0)),
                                  F.lit(0.0)).cast("int").alias("score_0_100"))
 
 
-def worst_status(comparisons: DataFrame) -> DataFrame:
+def worst_status(comparisons: DataFrame, keys: Sequence[str] = SECTION_KEYS) -> DataFrame:
     """Worst of the three statuses per section."""
     rank = F.greatest(*[status_rank(f"{p}_status") for p in ("height", "angle", "berm")])
-    top = comparisons.groupBy("section").agg(F.max(rank).alias("r"))
-    from ..config import FUERA
-
-    return top.select("section", F.when(F.col("r") == 3, NO_CUMPLE).when(F.col("r") == 2, FUERA).when(F.col("r") == 1, CUMPLE).alias("worst_status"))
+    top = comparisons.groupBy(*keys).agg(F.max(rank).alias("r"))
+    return top.select(*keys, F.when(F.col("r") == 3, NO_CUMPLE).when(F.col("r") == 2, FUERA).when(F.col("r") == 1, CUMPLE).alias("worst_status"))
 
 
-def deviated_features(comparisons: DataFrame, sections: DataFrame, min_delta: float = 0.5) -> DataFrame:
+def deviated_features(comparisons: DataFrame, sections: DataFrame, min_delta: float = 0.5, keys: Sequence[str] = SECTION_KEYS) -> DataFrame:
     """Crest and toe points of MATCH rows that deviate more than ``min_delta``, with world coordinates."""
     one = lambda name: F.struct(F.lit(name).alias("feature"), F.col(f"delta_{name}").alias("delta"),
                                 F.col(f"bench_real.{name}_distance").alias("distance_m"))
     rows = comparisons.where((F.col("type") == "MATCH") & F.col("bench_real").isNotNull()).select(
-        "section", "bench_num", F.explode(F.array(one("crest"), one("toe"))).alias("f")).select("section", "bench_num", "f.*")
-    from ..functions.geometry import direction
-
+        *keys, "bench_num", F.explode(F.array(one("crest"), one("toe"))).alias("f")).select(*keys, "bench_num", "f.*")
     dx, dy = direction("azimuth")
-    return rows.where(F.abs("delta") > min_delta).join(sections, "section").select(
-        *[c for c in ("pit",) if c in sections.columns], "section", "bench_num", "feature",
+    return rows.where(F.abs("delta") > min_delta).join(sections, list(keys)).select(
+        *[c for c in ("pit",) if c in sections.columns and c not in keys], *keys, "bench_num", "feature",
         F.bround("delta", 3).alias("delta_m"), "distance_m",
         (F.col("origin_x") + dx * F.col("distance_m")).alias("fx"), (F.col("origin_y") + dy * F.col("distance_m")).alias("fy"))
 
@@ -133,23 +141,23 @@ def filter_benches(benches: DataFrame, numbers=(), show_spill: bool = True) -> D
     return benches
 
 
-def apply_edits(benches: DataFrame, edits: DataFrame) -> DataFrame:
+def apply_edits(benches: DataFrame, edits: DataFrame, keys: Sequence[str] = SECTION_KEYS) -> DataFrame:
     """Benches after user edits of crest and toe; derived geometry of edited sections is recomputed.
 
-    ``edits`` has section, bench_number and any of the four crest/toe columns; NULL keeps the old value. The berm
+    ``edits`` has the keys, bench_number and any of the four crest/toe columns; NULL keeps the old value. The berm
     lies in front of the lower bench, as in the extraction.
     """
     moved = ("crest_distance", "crest_elevation", "toe_distance", "toe_elevation")
-    new = edits.select("section", "bench_number", F.lit(True).alias("_edited"), *[
+    new = edits.select(*keys, "bench_number", F.lit(True).alias("_edited"), *[
         (F.col(c) if c in edits.columns else F.lit(None).cast("double")).alias(f"_{c}") for c in moved])
-    out = benches.join(new, ["section", "bench_number"], "left").withColumns({c: F.coalesce(f"_{c}", c) for c in moved})
+    out = benches.join(new, [*keys, "bench_number"], "left").withColumns({c: F.coalesce(f"_{c}", c) for c in moved})
     dx, dz = F.abs(F.col("toe_distance") - F.col("crest_distance")), F.col("crest_elevation") - F.col("toe_elevation")
     edited = F.coalesce("_edited", F.lit(False))
     angle = F.when(dx > 0.01, F.abs(F.degrees(F.atan2(dz, dx)))).otherwise(90.0)
     out = out.withColumns({"bench_height": F.when(edited, F.abs(dz)).otherwise(F.col("bench_height")),
                            "face_angle": F.when(edited, angle).otherwise(F.col("face_angle"))})
-    w = Window.partitionBy("section").orderBy("bench_number")
+    w = Window.partitionBy(*keys).orderBy("bench_number")
     gap = F.abs(F.col("crest_distance") - F.lag("toe_distance").over(w))
-    touched = F.max(edited.cast("int")).over(Window.partitionBy("section")) == 1
+    touched = F.max(edited.cast("int")).over(Window.partitionBy(*keys)) == 1
     out = out.withColumn("berm_width", F.when(touched & gap.isNotNull(), gap).otherwise(F.col("berm_width")))
     return out.select(*benches.columns)

@@ -1,6 +1,8 @@
 """Damage models and advice: fits as aggregates, predictions and recommendations as columns."""
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from ..config import ADVISOR, BACKBREAK, NO_CUMPLE
 from ..functions import stats
 from ..functions.numeric import clamp, finite, ratio
+from ..session import cut_lineage
 
 APPLICABLE, CAUTION, INSUFFICIENT = "APPLICABLE", "CAUTION", "INSUFFICIENT_DATA"
 
@@ -53,29 +56,37 @@ def line_band(model: DataFrame, points: int = 50) -> DataFrame:
     return grid.select("x", y.alias("y"), (y - half).alias("low"), (y + half).alias("high"))
 
 
-def with_model(rows: DataFrame, model: DataFrame) -> DataFrame:
+FEW_MODELS = 100_000
+
+
+def with_model(rows: DataFrame, model: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     """Rows with the fields of their model row as the struct ``m``.
 
-    A model fitted by group (its keys stand before ``n``) is joined on these keys; rows of a group without a model get a
-    null. Without keys the one model row goes to all rows. Several model rows for the same rows are an error.
+    ``group`` names the columns the model was fitted by: its rows are joined on them, rows of a group without a model get a
+    null. Without a group the one model row goes to all rows (to none where there is no model). Several model rows for the
+    same rows are an error. Model rows are written once and counted; up to ``FEW_MODELS`` go to every task, so that rows of
+    one group are not brought together.
     """
-    keys = model.columns[:model.columns.index("n")] if "n" in model.columns else []
+    group = list(group)
     single = lambda found: F.when(F.size(found) > 1, F.raise_error(F.lit("more than one model row for the same rows"))).otherwise(F.get(found, F.lit(0))).alias("m")
-    if not keys:
-        one = model.limit(2).agg(F.collect_list(F.struct("*")).alias("_found")).where("size(_found) > 0")
+    fields = F.collect_list(F.struct(*model.columns)).alias("_found")
+    if not group:
+        one = model.limit(2).agg(fields).where("size(_found) > 0")
         return rows.join(F.broadcast(one.select(single(F.col("_found")))))
-    missing = [k for k in keys if k not in rows.columns]
-    if missing:
-        raise ValueError(f"rows lack the model's group columns {missing}")
-    named = [F.col(k).alias(f"_model_{k}") for k in keys]
-    per_group = model.groupBy(*named).agg(F.collect_list(F.struct(*model.columns)).alias("_found")).select(*[f"_model_{k}" for k in keys], single(F.col("_found")))
-    on = [F.col(k).eqNullSafe(F.col(f"_model_{k}")) for k in keys]
-    return rows.join(per_group, on, "left").drop(*[f"_model_{k}" for k in keys])
-
-
-def predict_damage(rows: DataFrame, model: DataFrame, pf: str = "target_pf") -> DataFrame:
+    for name, df in (("rows", rows), ("model", model)):
+        if lacking := [k for k in group if k not in df.columns]:
+            raise ValueError(f"the {name} lack the group columns {lacking}")
+    per_group = cut_lineage(model.groupBy(*[F.col(k).alias(f"_model_{k}") for k in group]).agg(fields))
+    few = per_group.count() <= FEW_MODELS
+    named = per_group.select(*[f"_model_{k}" for k in group], single(F.col("_found")))
+    on = [F.col(k).eqNullSafe(F.col(f"_model_{k}")) for k in group]
+    return rows.join(F.broadcast(named) if few else named, on, "left").drop(*[f"_model_{k}" for k in group])
+
+
+def predict_damage(rows: DataFrame, model: DataFrame, pf: str = "target_pf", group: Sequence[str] = ()) -> DataFrame:
+    """Predicted damage and its uncertainty; 0 for a model without confidence, null without a model."""
     known = F.col("m.confidence") != "INSUFFICIENT"
-    return with_model(rows, model).withColumns({
+    return with_model(rows, model, group).withColumns({
         "predicted_damage": F.when(known, F.col("m.beta0") + F.col("m.beta1") * F.col(pf)).otherwise(0.0),
         "uncertainty_m": F.when(known, F.col("m.std_err_beta1") * F.abs(F.col(pf) - F.col("m.mean_pf"))).otherwise(0.0)}).drop("m")
 
@@ -181,13 +192,14 @@ def feasibility(pct: Column, target: Column, optimum: Column) -> Column:
             .when(F.abs(pct) > ADVISOR.max_change_pct, CAUTION).otherwise(APPLICABLE))
 
 
-def recommend_pf(rows: DataFrame, model: DataFrame, current: str = "current_pf", target_m: float = ADVISOR.target_overbreak_m) -> DataFrame:
+def recommend_pf(rows: DataFrame, model: DataFrame, current: str = "current_pf", target_m: float = ADVISOR.target_overbreak_m,
+                 group: Sequence[str] = ()) -> DataFrame:
     """Powder factor that would bring the damage to the target, change, feasibility and message."""
     m = lambda f: F.col(f"m.{f}")
     cur = F.col(current)
     signal = (m("confidence") != "INSUFFICIENT") & (m("n") >= ADVISOR.min_samples) & (F.abs(m("beta1")) > 1e-9)
     wanted = F.when(signal, (target_m - m("beta0")) / m("beta1"))
-    out = with_model(rows, model).withColumns({"_want": wanted, "predicted_current_damage": m("beta0") + m("beta1") * cur})
+    out = with_model(rows, model, group).withColumns({"_want": wanted, "predicted_current_damage": m("beta0") + m("beta1") * cur})
     out = out.withColumn("target_pf", F.coalesce("_want", cur)).withColumn("delta_pf", F.col("target_pf") - cur)
     pct = F.coalesce(F.when(F.abs(cur) >= 1e-9, F.col("delta_pf") / cur * 100.0), F.lit(0.0))
     out = out.withColumn("delta_pf_pct", pct)
@@ -222,11 +234,15 @@ def charge_change(recommended: DataFrame) -> DataFrame:
 
 
 def recommend_by_group(section_table: DataFrame, model: DataFrame, group: str = "sector", pf: str = "pf_vol_avg_kgm3",
-                       target_m: float = ADVISOR.target_overbreak_m) -> DataFrame:
-    """One recommendation per group from its mean powder factor; the design optimum where it has none."""
+                       target_m: float = ADVISOR.target_overbreak_m, model_per_group: bool = False) -> DataFrame:
+    """One recommendation per group from its mean powder factor; the design optimum where it has none.
+
+    ``model_per_group``: the model has a row per value of ``group``."""
     means = section_table.groupBy(F.col(group).alias("group_value")).agg(
         F.count(pf).alias("n_wells"), F.coalesce(F.avg(pf), F.lit(ADVISOR.pf_optimal)).alias("current_pf"))
-    return recommend_pf(means, model, "current_pf", target_m).withColumnRenamed("predicted_current_damage", "current_damage_pred")
+    if model_per_group:
+        model = model.withColumnRenamed(group, "group_value")
+    return recommend_pf(means, model, "current_pf", target_m, ["group_value"] if model_per_group else ()).withColumnRenamed("predicted_current_damage", "current_damage_pred")
 
 
 def validate_recommendation(recommended: DataFrame, max_pct: float = ADVISOR.max_change_pct, min_pf: float = ADVISOR.pf_min_operational,
@@ -245,7 +261,7 @@ def validate_recommendation(recommended: DataFrame, max_pct: float = ADVISOR.max
 
 
 def recommend_burden(rows: DataFrame, model: DataFrame, current: str = "current_burden", target_m: float = ADVISOR.target_overbreak_m,
-                     min_samples: int = 12, min_features: int = 3) -> DataFrame:
+                     min_samples: int = 12, min_features: int = 3, group: Sequence[str] = ()) -> DataFrame:
     """Burden that would bring the damage to the target with the other predictors at their means.
 
     Needs a model with enough samples and features; a target outside half to twice the burden asks for caution.
@@ -257,7 +273,7 @@ def recommend_burden(rows: DataFrame, model: DataFrame, current: str = "current_
     slope = F.coalesce(m("coefficients")["burden"], F.lit(0.0))
     qualifies = (m("n") >= min_samples) & (F.size(m("features_used")) >= min_features) & (m("confidence") != "INSUFFICIENT")
     signal = qualifies & (F.abs(slope) > 1e-9)
-    out = with_model(rows, model).withColumns({
+    out = with_model(rows, model, group).withColumns({
         "_want": F.when(signal, (target_m - m("beta0") - others) / slope),
         "predicted_current_damage": F.when(qualifies, m("beta0") + others + slope * cur).otherwise(0.0)})
     out = out.withColumn("target_burden", F.coalesce("_want", cur)).withColumn("delta_burden", F.col("target_burden") - cur)
@@ -307,7 +323,7 @@ def explain_failures(comparisons: DataFrame, context: DataFrame | None) -> DataF
     return out.select("section", "bench_num", "bench_score", "geometry_issues", "blast_causes", "recommendations", severity.alias("severity"))
 
 
-def predict_backbreak(designs: DataFrame, model: DataFrame | None = None, alpha: float = 0.05, b=BACKBREAK) -> DataFrame:
+def predict_backbreak(designs: DataFrame, model: DataFrame | None = None, alpha: float = 0.05, b=BACKBREAK, group: Sequence[str] = ()) -> DataFrame:
     """Back-break per design row: the multivariate model with its interval, else the empirical rule.
 
     Reads burden_m, spacing_m, pf_kgm3, stemming_m and, where present, rock_factor and bench_height_m. Broken inputs
@@ -340,7 +356,7 @@ def predict_backbreak(designs: DataFrame, model: DataFrame | None = None, alpha:
     result = empirical
     if model is not None:
         # the quantile belongs to the model row: worked out once, not per design
-        df = with_model(df, model.withColumn("tq", stats.t_quantile(1 - alpha / 2, F.greatest("dof", F.lit(1)).cast("double"))))
+        df = with_model(df, model.withColumn("tq", stats.t_quantile(1 - alpha / 2, F.greatest("dof", F.lit(1)).cast("double"))), group)
         m = lambda f: F.col(f"m.{f}")
         feature = {"pf_vol": pf, "burden": burden, "spacing_burden_ratio": F.coalesce(ratio(spacing, burden), F.lit(1.0)), "stemming": stem}
         shape, error = m("beta0"), F.lit(0.0)

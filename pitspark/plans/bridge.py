@@ -178,6 +178,46 @@ BENCHES_SQL = (
     "topo AS (SELECT " + ", ".join(f"{d or f} AS {n}" for n, f, d in _TOPO) + f" FROM {_PARTS_SQL} WHERE {_HAS_TOPO})"
 )
 
+# Low benches 4.5 m apart with as-built ones up to half a bench off, in sections that go by the same name in every pit.
+_LOW = {
+    "pit": ("p_partkey div 200", "p_partkey // 200"),
+    "section": ("concat('C-', (p_partkey div 8) % 25)", "concat('C-', (p_partkey // 8) % 25)"),
+    "crest_elevation": ("4000.0D - 4.5D * (p_partkey % 8)", "4000.0::DOUBLE - 4.5::DOUBLE * (p_partkey % 8)"),
+    "toe_elevation": ("3995.5D - 4.5D * (p_partkey % 8)", "3995.5::DOUBLE - 4.5::DOUBLE * (p_partkey % 8)"),
+    "crest_distance": ("(p_partkey % 8) * 3.25D", "(p_partkey % 8) * 3.25::DOUBLE"),
+    "toe_distance": ("(p_partkey % 8) * 3.25D + 1.5D", "(p_partkey % 8) * 3.25::DOUBLE + 1.5::DOUBLE"),
+}
+_LOW_OFF = {
+    "crest_elevation": (" + ((p_partkey * 11) % 53 - 26) / 8.0D", " + ((p_partkey * 11) % 53 - 26) / 8.0::DOUBLE"),
+    "toe_elevation": (" + ((p_partkey * 23) % 47 - 23) / 8.0D", " + ((p_partkey * 23) % 47 - 23) / 8.0::DOUBLE"),
+    "crest_distance": (" + ((p_partkey * 17) % 61 - 30) / 16.0D", " + ((p_partkey * 17) % 61 - 30) / 16.0::DOUBLE"),
+    "toe_distance": (" + ((p_partkey * 19) % 59 - 29) / 16.0D", " + ((p_partkey * 19) % 59 - 29) / 16.0::DOUBLE"),
+}
+
+
+def _low(columns: tuple, off: dict) -> list[tuple[str, str, str]]:
+    """The bench columns with low benches in place of the usual geometry, and the pit in front."""
+    joined = lambda n: tuple(a + b for a, b in zip(_LOW[n], off.get(n, ("", ""))))
+    return [("pit", *_LOW["pit"])] + [(n, *joined(n)) if n in _LOW else (n, f, d or f) for n, f, d in columns]
+
+
+_LOW_DESIGN, _LOW_TOPO = _low(_DESIGN, {}), _low(_TOPO, _LOW_OFF)
+_HAS_LOW_DESIGN, _HAS_LOW_TOPO = "p_size % 6 <> 0", "p_size % 5 <> 0"
+
+
+def low_design_benches(spark: SparkSession, folder: str) -> DataFrame:
+    return _parts(spark, folder).where(_HAS_LOW_DESIGN).selectExpr(*[f"{f} AS {n}" for n, f, _ in _LOW_DESIGN])
+
+
+def low_topo_benches(spark: SparkSession, folder: str) -> DataFrame:
+    return _parts(spark, folder).where(_HAS_LOW_TOPO).selectExpr(*[f"{f} AS {n}" for n, f, _ in _LOW_TOPO])
+
+
+LOW_BENCHES_SQL = (
+    "design AS (SELECT " + ", ".join(f"{d} AS {n}" for n, _, d in _LOW_DESIGN) + f" FROM {_PARTS_SQL} WHERE {_HAS_LOW_DESIGN}), "
+    "topo AS (SELECT " + ", ".join(f"{d} AS {n}" for n, _, d in _LOW_TOPO) + f" FROM {_PARTS_SQL} WHERE {_HAS_LOW_TOPO})"
+)
+
 _DRILL = (
     ("event_id", "event_id", None),
     ("pit", "event_id div 1000", "event_id // 1000"),

@@ -1,11 +1,14 @@
 """Blast against geotechnics: section, level and pattern tables, trends and outliers."""
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import BLAST
 from ..operators.compliance import achievement_terms
+from ..operators.matching import SECTION_KEYS
 from ..operators.spatial import exact_quantiles
 
 PF_COLUMNS = ("pf_vol_kgm3", "pf_g_per_ton", "pf_g_per_ton_net", "pf_g_per_ton_inf")
@@ -26,12 +29,12 @@ def powder_factor_by_group(projected: DataFrame, group: list[str]) -> DataFrame:
 
 
 def signed_deviations(comparisons: DataFrame, group: list[str] | None = None) -> DataFrame:
-    """Mean and count of positive and negative crest deviations per section.
+    """Mean and count of positive and negative crest deviations per section (or other ``group``).
 
     Sections without any crest deviation fall back to the toe, then to absolute height, then absolute angle
     deviations, which all count as positive.
     """
-    group = group or ["section"]
+    group = list(group or SECTION_KEYS)
     plus = lambda c: F.avg(F.when(F.col(c) > 0, F.col(c)))
     minus = lambda c: F.avg(F.when(F.col(c) < 0, F.col(c)))
     n_plus = lambda c: F.count_if(F.col(c) > 0)
@@ -55,23 +58,27 @@ def signed_deviations(comparisons: DataFrame, group: list[str] | None = None) ->
 
 
 def section_correlation(projected: DataFrame, sections: DataFrame, comparisons: DataFrame,
-                        rock_density: float = BLAST.rock_density_tm3, sector_density: dict[str, float] | None = None) -> DataFrame:
+                        rock_density: float = BLAST.rock_density_tm3, sector_density: dict[str, float] | None = None,
+                        keys: Sequence[str] = SECTION_KEYS) -> DataFrame:
     """One row per section: hole counts, kg, powder factors and signed deviations; every section is kept.
 
+    ``keys`` tell sections apart and stand in all three tables.
+
     ``sector_density`` overrides the rock density of its sectors; the mass-based factors scale with it.
     """
     rho = F.lit(float(rock_density))
     for sector, value in (sector_density or {}).items():
         rho = F.when(F.col("sector") == sector, F.lit(float(value))).otherwise(rho)
-    pf = powder_factor_by_group(projected, ["section"])
-    dev = signed_deviations(comparisons)
-    base = sections.select("section", "sector").withColumn("rock_density_used", rho)
-    joined = base.join(pf, "section", "left").join(dev, "section", "left")
+    keys = list(keys)
+    pf = powder_factor_by_group(projected, keys)
+    dev = signed_deviations(comparisons, keys)
+    base = sections.select(*keys, "sector").withColumn("rock_density_used", rho)
+    joined = base.join(pf, keys, "left").join(dev, keys, "left")
     scale = F.lit(float(rock_density)) / F.col("rock_density_used")
     zero = lambda c: F.coalesce(c if not isinstance(c, str) else F.col(c), F.lit(0.0))
     count = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     return joined.select(
-        "section", "sector", count("n_wells").alias("num_wells"), zero("kg_total").alias("total_kg"),
+        *keys, "sector", count("n_wells").alias("num_wells"), zero("kg_total").alias("total_kg"),
         zero("mean_abs_deviation").alias("mean_abs_deviation"),
         zero("avg_over").alias("avg_over_break"), zero("avg_under").alias("avg_under_break"),
         count("n_over").alias("n_over"), count("n_under").alias("n_under"),
@@ -92,7 +99,8 @@ def _signed_means(df: DataFrame, group: list[str]) -> DataFrame:
     return df.groupBy(*group).agg(*out)
 
 
-def level_correlation(projected: DataFrame, comparisons: DataFrame, reach: float = BLAST.correlation_radius_m) -> DataFrame:
+def level_correlation(projected: DataFrame, comparisons: DataFrame, reach: float = BLAST.correlation_radius_m,
+                      keys: Sequence[str] = SECTION_KEYS) -> DataFrame:
     """Per bench level: projected holes with collars near the level, and crest and toe deviations.
 
     Powder factors are the mean of the section means, as in the section table. Holes are reduced to one row per
@@ -100,14 +108,14 @@ def level_correlation(projected: DataFrame, comparisons: DataFrame, reach: float
     """
     levels = comparisons.select("level", F.col("level").try_cast("double").alias("_z")).distinct()
     kg = F.coalesce("kg", F.lit(0.0))
-    pre = projected.groupBy("section", "z_collar").agg(
+    pre = projected.groupBy(*keys, "z_collar").agg(
         F.count(F.lit(1)).alias("n"), F.sum(kg).alias("kg"), F.sum("pf_vol_kgm3").alias("v"), F.count("pf_vol_kgm3").alias("nv"),
         F.sum("pf_area_kgm2").alias("a"), F.count("pf_area_kgm2").alias("na"), F.sum("energy_mj").alias("e"))
     bucket = lambda c: F.floor(F.col(c) / reach)
     near = (
         levels.where("_z IS NOT NULL").withColumn("_b", F.explode(F.array(bucket("_z") - 1, bucket("_z"), bucket("_z") + 1)))
         .join(pre.withColumn("_b", bucket("z_collar")), "_b").where(F.abs(F.col("z_collar") - F.col("_z")) <= reach))
-    per_section = near.groupBy("level", "section").agg(
+    per_section = near.groupBy("level", *keys).agg(
         F.sum("n").alias("n"), F.sum("kg").alias("kg"), F.sum("e").alias("e"),
         (F.sum("v") / F.nullif(F.sum("nv"), F.lit(0))).alias("v"), (F.sum("a") / F.nullif(F.sum("na"), F.lit(0))).alias("a"))
     blast = per_section.groupBy("level").agg(
@@ -120,25 +128,26 @@ def level_correlation(projected: DataFrame, comparisons: DataFrame, reach: float
         "pf_vol_avg_kgm3", "pf_area_avg_kgm2", F.coalesce("energy_total_mj", F.lit(0.0)).alias("energy_total_mj"))
 
 
-def pattern_correlation(holes: DataFrame, projected: DataFrame, comparisons: DataFrame, section_table: DataFrame) -> DataFrame:
+def pattern_correlation(holes: DataFrame, projected: DataFrame, comparisons: DataFrame, section_table: DataFrame,
+                        keys: Sequence[str] = SECTION_KEYS) -> DataFrame:
     """Per blast pattern: kg, powder factor, deviations of the sections it projects into, achievement score."""
-    kg = F.coalesce("kg", F.lit(0.0))
+    keys, kg = list(keys), F.coalesce("kg", F.lit(0.0))
     base = holes.where("malla IS NOT NULL").groupBy("malla").agg(F.count(F.lit(1)).alias("num_pozos"), F.sum(kg).alias("total_kg"))
-    per = projected.where("malla IS NOT NULL").groupBy("malla", "section").agg(
+    per = projected.where("malla IS NOT NULL").groupBy("malla", *keys).agg(
         F.avg("pf_vol_kgm3").alias("v"), F.coalesce(F.sum("energy_mj"), F.lit(0.0)).alias("e"))
     blast = per.groupBy("malla").agg(F.avg("v").alias("pf_vol_avg_kgm3"), F.sum("e").alias("energy_total_mj"))
-    links = per.select("malla", "section")
+    links = per.select("malla", *keys)
     # comparisons shrink to one row of sums per section before they fan out to patterns
     signed = lambda c, test: F.when(test, F.col(c))
-    sums = comparisons.groupBy("section").agg(
+    sums = comparisons.groupBy(*keys).agg(
         *[f(signed(c, F.col(c) > 0 if s == "over" else F.col(c) < 0)).alias(f"{n}_{c}_{s}")
           for c in ("delta_crest", "delta_toe") for s in ("over", "under") for n, f in (("s", F.sum), ("n", F.count))],
         *achievement_terms())
-    fanned = links.join(sums, "section").groupBy("malla").agg(
+    fanned = links.join(sums, keys).groupBy("malla").agg(
         *[F.coalesce(F.sum(f"s_{c}_{s}") / F.nullif(F.sum(f"n_{c}_{s}"), F.lit(0)), F.lit(0.0)).alias(
             f"avg_dev_{c.removeprefix('delta_')}_{s}") for c in ("delta_crest", "delta_toe") for s in ("over", "under")],
-        F.bround(F.sum("sum_credit") / F.sum("n_total") * 100.0, 0).cast("int").alias("score_pct"))
-    over = links.join(section_table.select("section", "avg_over_break"), "section").groupBy("malla").agg(
+        F.bround(F.sum("points") / F.sum("n_total"), 0).cast("int").alias("score_pct"))
+    over = links.join(section_table.select(*keys, "avg_over_break"), keys).groupBy("malla").agg(
         F.avg("avg_over_break").alias("avg_overbreak"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
     return base.join(blast, "malla", "left").join(fanned, "malla", "left").join(over, "malla", "left").select(
@@ -147,9 +156,9 @@ def pattern_correlation(holes: DataFrame, projected: DataFrame, comparisons: Dat
         zero("energy_total_mj"), F.coalesce("score_pct", F.lit(0)).alias("score_pct"))
 
 
-def section_areas(section_table: DataFrame, areas: DataFrame) -> DataFrame:
+def section_areas(section_table: DataFrame, areas: DataFrame, keys: Sequence[str] = SECTION_KEYS) -> DataFrame:
     """Section table with the areas between design and as-built profiles; only sections with both profiles."""
-    return section_table.join(areas.select("section", "area_topo_below", "area_topo_above"), "section")
+    return section_table.join(areas.select(*keys, "area_topo_below", "area_topo_above"), list(keys))
 
 
 def monthly_trend(holes: DataFrame, damage: str | None = None) -> DataFrame:

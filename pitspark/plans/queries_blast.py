@@ -308,33 +308,37 @@ _SIGNED = ", ".join(f"coalesce(avg(CASE WHEN delta_{c} {o} 0 THEN delta_{c} END)
                     for c in ("crest", "toe") for o, n in ((">", "over"), ("<", "under")))
 
 
+# means of two-decimal deviations: at 11 places no mean of up to 1024 values lies half-way between two roundings
+_MEANS = {f"avg_dev_{c}_{s}": 11 for c in ("crest", "toe") for s in ("over", "under")}
+
+
 @query("level_correlation", f"""WITH {PF_SQL}, {S}, {projected_sql(15)}, {COMPS_SQL}, lv AS (SELECT level, {_SIGNED} FROM comps GROUP BY level),
     per AS (SELECT level, section, count(*) AS n, sum(kg) AS kg, avg(pf_vol_kgm3) AS v, avg(pf_area_kgm2) AS a, sum(energy_mj) AS e
       FROM lv JOIN proj ON abs(z_collar - CAST(level AS DOUBLE)) <= 15 GROUP BY level, section),
     bl AS (SELECT level, sum(n) AS n, sum(kg) AS kg, avg(v) AS v, avg(a) AS a, sum(e) AS e FROM per GROUP BY level)
-    SELECT lv.level, CAST(coalesce(n, 0) AS BIGINT) AS num_pozos, {r('coalesce(kg, 0)', 'total_kg', 2)}, {rs('avg_dev_crest_over, avg_dev_crest_under, avg_dev_toe_over, avg_dev_toe_under')},
+    SELECT lv.level, CAST(coalesce(n, 0) AS BIGINT) AS num_pozos, {r('coalesce(kg, 0)', 'total_kg', 2)}, {rs('avg_dev_crest_over, avg_dev_crest_under, avg_dev_toe_over, avg_dev_toe_under', 11)},
     {r('v', 'pf_vol_avg_kgm3')}, {r('a', 'pf_area_avg_kgm2')}, {r('coalesce(e, 0)', 'energy_total_mj', 2)} FROM lv LEFT JOIN bl ON lv.level = bl.level""")
 def _(spark, d):
-    return tidy(correlation.level_correlation(projected(spark, d), comparisons(spark, d)), total_kg=2, energy_total_mj=2)
+    return tidy(correlation.level_correlation(projected(spark, d), comparisons(spark, d)), total_kg=2, energy_total_mj=2, **_MEANS)
 
 
 _CREDIT = "CASE WHEN abs({c}) <= 1 THEN 1.0 WHEN abs({c}) <= 1.5 THEN 0.5 ELSE 0 END"
-ROW_CREDIT = (f"(0.4::DOUBLE * {_CREDIT.format(c='delta_crest')} + 0.3::DOUBLE * {_CREDIT.format(c='delta_toe')} + "
-              "0.3::DOUBLE * CASE berm_status WHEN 'CUMPLE' THEN 1.0 WHEN 'FUERA DE TOLERANCIA' THEN 0.5 ELSE 0 END)")
+ROW_CREDIT = (f"(40.0::DOUBLE * {_CREDIT.format(c='delta_crest')} + 30.0::DOUBLE * {_CREDIT.format(c='delta_toe')} + "
+              "30.0::DOUBLE * CASE berm_status WHEN 'CUMPLE' THEN 1.0 WHEN 'FUERA DE TOLERANCIA' THEN 0.5 ELSE 0 END)")
 
 
 @query("pattern_correlation", f"""WITH {CORR_SQL}, base AS (SELECT malla, count(*) AS num_pozos, sum(kg) AS total_kg FROM pf GROUP BY malla),
     per AS (SELECT malla, section, avg(pf_vol_kgm3) AS v, coalesce(sum(energy_mj), 0) AS e FROM proj GROUP BY malla, section),
     bl AS (SELECT malla, avg(v) AS v, sum(e) AS e FROM per GROUP BY malla),
-    fan AS (SELECT malla, {_SIGNED}, CAST(round_even(avg({ROW_CREDIT}) * 100, 0) AS INTEGER) AS score_pct FROM per JOIN comps ON per.section = comps.section GROUP BY malla),
+    fan AS (SELECT malla, {_SIGNED}, CAST(round_even(avg({ROW_CREDIT}), 0) AS INTEGER) AS score_pct FROM per JOIN comps ON per.section = comps.section GROUP BY malla),
     ov AS (SELECT malla, avg(avg_over_break) AS o FROM per JOIN corr ON per.section = corr.section GROUP BY malla)
-    SELECT base.malla, num_pozos, {r('total_kg', digits=3)}, {', '.join(r(f'coalesce({c}, 0)', c) for c in ('avg_dev_crest_over', 'avg_dev_crest_under', 'avg_dev_toe_over', 'avg_dev_toe_under'))},
+    SELECT base.malla, num_pozos, {r('total_kg', digits=3)}, {', '.join(r(f'coalesce({c}, 0)', c, 11) for c in ('avg_dev_crest_over', 'avg_dev_crest_under', 'avg_dev_toe_over', 'avg_dev_toe_under'))},
     {r('coalesce(o, 0)', 'avg_overbreak')}, {r('v', 'pf_vol_avg_kgm3')}, {r('coalesce(e, 0)', 'energy_total_mj', 2)}, coalesce(score_pct, 0) AS score_pct
     FROM base LEFT JOIN bl USING (malla) LEFT JOIN fan USING (malla) LEFT JOIN ov USING (malla)""")
 def _(spark, d):
     p, c = projected(spark, d), comparisons(spark, d)
     t = correlation.section_correlation(p, bridge.sections(spark, d), c)
-    return tidy(correlation.pattern_correlation(factors(spark, d), p, c, t), total_kg=3, energy_total_mj=2)
+    return tidy(correlation.pattern_correlation(factors(spark, d), p, c, t), total_kg=3, energy_total_mj=2, **_MEANS)
 
 
 @query("monthly_trend", f"""WITH {PF_SQL}, m AS (SELECT strftime(fecha, '%Y-%m') AS mes, avg(pf_vol_kgm3) AS pf, avg({_SUB}) AS dm, count(*) AS n FROM pf GROUP BY 1),

@@ -11,7 +11,7 @@ from ..operators import stability
 from ..operators.matching import match_benches, reconciliation_gaps
 from . import bridge, reports
 from .queries_blast import CORR_SQL, ROW_CREDIT, comparisons, section_table
-from .registry import COMPS_SQL, query, r, rs, tidy
+from .registry import COMPS_SQL, comps_sql, query, r, rs, tidy
 
 B, C = bridge.BENCHES_SQL, COMPS_SQL
 ROW = ("sector, section, bench_num, type, level, height_design, height_real, height_dev, height_status, angle_design, angle_real, angle_dev, "
@@ -46,6 +46,73 @@ def _(spark, d):
     return tidy(reconciliation_gaps(bridge.design_benches(spark, d), bridge.topo_benches(spark, d)))
 
 
+# --- low benches: several as-built benches within the match threshold, sections of one name in every pit --------
+
+_LOW_KEYS = ("pit", "section")
+# from the last design bench on: for each first as-built bench taken so far the best pairing, as counts, cost and partners
+_ALIGNED = bridge.LOW_BENCHES_SQL + """,
+    dn AS (SELECT *, (crest_elevation + toe_elevation) / 2 AS mz, (crest_distance + toe_distance) / 2 AS mx,
+      row_number() OVER (PARTITION BY pit, section ORDER BY bench_number) AS pos, count(*) OVER (PARTITION BY pit, section) AS n FROM design),
+    tn AS (SELECT *, (crest_elevation + toe_elevation) / 2 AS mz, (crest_distance + toe_distance) / 2 AS mx,
+      row_number() OVER (PARTITION BY pit, section ORDER BY bench_number) AS pos FROM topo),
+    cand AS (SELECT d.pit, d.section, d.pos AS i, t.pos AS j, sqrt(1.5 * ((d.mz - t.mz) * (d.mz - t.mz)) + (d.mx - t.mx) * (d.mx - t.mx)) AS c, abs(d.mz - t.mz) AS gap
+      FROM dn d JOIN tn t ON d.pit = t.pit AND d.section = t.section WHERE abs(d.mz - t.mz) < 8),
+    best(pit, section, i, j, pairs, cost, taken) AS (
+      SELECT DISTINCT pit, section, n + 1, 100000::BIGINT, 0, 0.0::DOUBLE, []::BIGINT[] FROM dn
+      UNION ALL
+      SELECT pit, section, i, j, pairs, cost, taken FROM (
+        SELECT b.pit, b.section, b.i - 1 AS i, o.j, o.pairs, o.cost, o.taken FROM best b, LATERAL (
+          SELECT b.j AS j, b.pairs AS pairs, b.cost AS cost, list_prepend(100000::BIGINT, b.taken) AS taken
+          UNION ALL SELECT c.j, b.pairs + 1, c.c + b.cost, list_prepend(c.j, b.taken) FROM cand c
+            WHERE c.pit = b.pit AND c.section = b.section AND c.i = b.i - 1 AND c.j < b.j) o WHERE b.i > 1)
+      QUALIFY row_number() OVER (PARTITION BY pit, section, j ORDER BY pairs DESC, cost, taken) = 1),
+    aligned AS (SELECT pit, section, taken FROM best WHERE i = 1 QUALIFY row_number() OVER (PARTITION BY pit, section ORDER BY pairs DESC, cost, taken) = 1),
+    paired AS (SELECT a.pit, a.section, a.i, a.j, c.c AS cost FROM (SELECT pit, section, unnest(range(1, len(taken) + 1)) AS i, unnest(taken) AS j FROM aligned) a
+      JOIN cand c ON c.pit = a.pit AND c.section = a.section AND c.i = a.i AND c.j = a.j WHERE c.c < 8)"""
+_LOW_JOIN = ("(SELECT d.*, p.j FROM dn d LEFT JOIN paired p ON p.pit = d.pit AND p.section = d.section AND p.i = d.pos) d "
+             "FULL JOIN tn t ON t.pit = d.pit AND t.section = d.section AND t.pos = d.j")
+
+
+def _low(spark, d):
+    return bridge.low_design_benches(spark, d), bridge.low_topo_benches(spark, d)
+
+
+@query("bench_matching_low", f"""WITH RECURSIVE {_ALIGNED} SELECT pit, section, CAST(i AS INTEGER) AS design_pos, CAST(j AS INTEGER) AS topo_pos, {r('cost')} FROM paired""")
+def _(spark, d):
+    return tidy(match_benches(*_low(spark, d), keys=_LOW_KEYS))
+
+
+@query("comparison_rows_low", f"WITH RECURSIVE {comps_sql('pit, section', _ALIGNED, _LOW_JOIN)} SELECT pit, {_ROW_SQL} FROM comps")
+def _(spark, d):
+    return ops.compare(*_low(spark, d), keys=_LOW_KEYS).select("pit", *ROW.split(", "))
+
+
+@query("worst_status_low", f"""WITH RECURSIVE {comps_sql('pit, section', _ALIGNED, _LOW_JOIN)}, w AS (SELECT pit, section, greatest({', '.join(
+    "max(CASE " + p + "_status WHEN 'NO CUMPLE' THEN 3 WHEN 'FUERA DE TOLERANCIA' THEN 2 WHEN 'CUMPLE' THEN 1 ELSE 0 END)" for p in ('height', 'angle', 'berm'))}) AS k FROM comps GROUP BY pit, section)
+    SELECT pit, section, CASE k WHEN 3 THEN 'NO CUMPLE' WHEN 2 THEN 'FUERA DE TOLERANCIA' WHEN 1 THEN 'CUMPLE' END AS worst_status FROM w""")
+def _(spark, d):
+    return ops.worst_status(ops.compare(*_low(spark, d), keys=_LOW_KEYS), _LOW_KEYS)
+
+
+# design benches in order, each with the list of as-built benches claimed so far
+@query("reconciliation_gaps_low", f"""WITH RECURSIVE {_ALIGNED},
+    claim(pit, section, i, claimed, mine) AS (
+      SELECT DISTINCT pit, section, 0::BIGINT, []::BIGINT[], NULL::BIGINT FROM dn
+      UNION ALL
+      SELECT k.pit, k.section, k.i + 1, CASE WHEN o.j IS NULL THEN k.claimed ELSE list_append(k.claimed, o.j) END, o.j
+      FROM claim k JOIN dn d ON d.pit = k.pit AND d.section = k.section AND d.pos = k.i + 1,
+        LATERAL (SELECT arg_min(c.j, c.gap * 1000000 + c.j / 1000.0) AS j FROM cand c WHERE c.pit = k.pit AND c.section = k.section AND c.i = k.i + 1 AND NOT list_contains(k.claimed, c.j)) o),
+    p AS (SELECT k.pit, k.section, least(d.crest_distance, d.toe_distance, t.crest_distance, t.toe_distance) AS d0, greatest(d.crest_distance, d.toe_distance, t.crest_distance, t.toe_distance) AS d1,
+      d.bench_height AS hd, t.bench_height AS ht, t.section IS NULL AS gone FROM claim k JOIN dn d ON d.pit = k.pit AND d.section = k.section AND d.pos = k.i
+      LEFT JOIN tn t ON t.pit = k.pit AND t.section = k.section AND t.pos = k.mine)
+    SELECT pit, section, {r('d0', 'd_start')}, {r('d1', 'd_end')}, {r('hd', 'expected_bench_height')}, {r('coalesce(ht, 0)', 'actual_height')}, {r('coalesce(ht, 0) - hd', 'delta_h')},
+    CASE WHEN gone THEN 'missing_crest' WHEN ht > hd THEN 'overbreak' ELSE 'extra_material' END AS location,
+    CASE WHEN gone OR abs(ht - hd) > 3 THEN 'severe' WHEN abs(ht - hd) > 2.25 THEN 'moderate' ELSE 'minor' END AS severity
+    FROM p WHERE gone OR abs(ht - hd) > 1.5""")
+def _(spark, d):
+    return tidy(reconciliation_gaps(*_low(spark, d), keys=_LOW_KEYS))
+
+
 @query("tripartite_status", f"""WITH {B} SELECT section, bench_number, CASE WHEN abs(v) <= CASE WHEN v < 0 THEN 3 ELSE 2 END THEN 'CUMPLE'
     WHEN abs(v) <= 1.5 * CASE WHEN v < 0 THEN 3 ELSE 2 END THEN 'FUERA DE TOLERANCIA' ELSE 'NO CUMPLE' END AS status FROM (SELECT *, face_angle - 70 AS v FROM topo)""")
 def _(spark, d):
@@ -61,7 +128,7 @@ _ACH = f"""count(*) AS n_total, count(*) FILTER (abs(delta_crest) <= 1) AS n_pas
     count(*) FILTER (berm_status = 'CUMPLE') AS n_passing_berm, CAST(round_even(count(*) FILTER (abs(delta_crest) <= 1) * 100.0::DOUBLE / count(*), 0) AS INTEGER) AS crest_pct,
     CAST(round_even(count(*) FILTER (abs(delta_toe) <= 1) * 100.0::DOUBLE / count(*), 0) AS INTEGER) AS toe_pct,
     CAST(round_even(count(*) FILTER (berm_status = 'CUMPLE') * 100.0::DOUBLE / count(*), 0) AS INTEGER) AS berm_pct,
-    CAST(round_even(avg({ROW_CREDIT}) * 100, 0) AS INTEGER) AS score_0_100"""
+    CAST(round_even(avg({ROW_CREDIT}), 0) AS INTEGER) AS score_0_100"""
 
 
 @query("achievement_score", f"WITH {C} SELECT {_ACH} FROM comps")

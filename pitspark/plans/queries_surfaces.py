@@ -189,8 +189,8 @@ def _(spark, d):
     """Surfaces to comparison rows, end to end."""
     b, _ = profiles.extract_benches(_profiles(spark, d))
     b = cut_lineage(b)
-    side = lambda kind: b.where(F.col("kind") == kind).drop("kind", "surface_id")
-    return tidy(compare(side("design"), side("topo")).drop("bench_real"), 4)
+    side = lambda kind: b.where(F.col("kind") == kind).drop("kind")
+    return tidy(compare(side("design"), side("topo"), keys=("surface_id", "section")).drop("bench_real"), 4)
 
 
 def _grid_side(kind: str) -> str:

@@ -21,8 +21,12 @@ def _pick(match: str, missing: str, extra: str) -> str:
     return f"CASE WHEN d.section IS NULL THEN {extra} WHEN t.section IS NULL THEN {missing} ELSE {match} END"
 
 
-COMPS_SQL = bridge.BENCHES_SQL + f""", comps0 AS (
-SELECT coalesce(d.sector, t.sector) AS sector, coalesce(d.section, t.section) AS section,
+def comps_sql(keys: str = "section", benches: str = bridge.BENCHES_SQL,
+              joined: str = "design d FULL JOIN topo t ON d.section = t.section AND d.bench_number = t.bench_number") -> str:
+    """The table ``comps`` of comparison rows; ``joined`` is the full join of the paired benches ``d`` and ``t``."""
+    key_list = ", ".join(f"coalesce(d.{k}, t.{k}) AS {k}" for k in keys.split(", "))
+    return benches + f""", comps0 AS (
+SELECT coalesce(d.sector, t.sector) AS sector, {key_list},
   CASE WHEN d.section IS NULL THEN 999 ELSE d.bench_number END AS bench_num, {_KIND} AS type,
   CAST(CAST(round_even(coalesce(d.toe_elevation, t.toe_elevation), 0) AS INTEGER) AS VARCHAR) AS level,
   round_even(d.bench_height, 2) AS height_design, round_even(t.bench_height, 2) AS height_real,
@@ -46,12 +50,15 @@ SELECT coalesce(d.sector, t.sector) AS sector, coalesce(d.section, t.section) AS
   CASE WHEN d.section IS NOT NULL AND t.section IS NOT NULL AND round_even(t.berm_width, 2) >= 6 THEN 60 ELSE 0 END AS berm_score,
   CASE WHEN d.section IS NOT NULL AND t.section IS NOT NULL AND abs(t.face_angle - d.face_angle) <= 5 THEN 10 ELSE 0 END AS angle_score,
   CASE WHEN d.section IS NOT NULL AND t.section IS NOT NULL AND abs(t.bench_height - d.bench_height) <= CASE WHEN t.bench_height < d.bench_height THEN 1.0 ELSE 1.5 END THEN 30 ELSE 0 END AS height_score
-FROM design d FULL JOIN topo t ON d.section = t.section AND d.bench_number = t.bench_number),
+FROM {joined}),
 comps1 AS (SELECT *, berm_score + angle_score + height_score AS bench_score FROM comps0),
-comps AS (SELECT *, coalesce(round_even(avg(CASE WHEN type = 'MATCH' THEN bench_score END) OVER (PARTITION BY section), 1), 0) AS section_score,
-  CASE WHEN coalesce(round_even(avg(CASE WHEN type = 'MATCH' THEN bench_score END) OVER (PARTITION BY section), 1), 0) >= 70 THEN 'CUMPLE' ELSE 'NO CUMPLE' END AS section_status
+comps AS (SELECT *, coalesce(round_even(avg(CASE WHEN type = 'MATCH' THEN bench_score END) OVER (PARTITION BY {keys}), 1), 0) AS section_score,
+  CASE WHEN coalesce(round_even(avg(CASE WHEN type = 'MATCH' THEN bench_score END) OVER (PARTITION BY {keys}), 1), 0) >= 70 THEN 'CUMPLE' ELSE 'NO CUMPLE' END AS section_status
   FROM comps1)"""
 
+
+COMPS_SQL = comps_sql()
+
 ENERGY_SQL = ("CASE product WHEN 'ANFO' THEN 3.72::DOUBLE WHEN 'Heavy ANFO' THEN 3.4::DOUBLE WHEN 'Pirex-930' THEN 3.05::DOUBLE "
               "WHEN 'pirex-950 plus' THEN 3.15::DOUBLE WHEN 'Emuline 8000' THEN 3.05::DOUBLE END")
 DENSITY_SQL = ("CASE product WHEN 'ANFO' THEN 0.8::DOUBLE WHEN 'Heavy ANFO' THEN 1.05::DOUBLE WHEN 'Pirex-930' THEN 1.2::DOUBLE "

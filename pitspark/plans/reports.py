@@ -1,11 +1,14 @@
 """Report tables over comparison rows. The five compliance percentages differ on purpose in what they divide by."""
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CUMPLE, FUERA, NO_CUMPLE, TOLERANCES, Tolerances
 from ..functions.status import is_passing
+from ..operators.matching import SECTION_KEYS
 from ..operators.stability import assess, section_health
 
 PARAMETERS = ("height", "angle", "berm")
@@ -61,12 +64,12 @@ def bench_sheet(comparisons: DataFrame) -> DataFrame:
         F.bround(F.abs(b("crest_elevation") - b("toe_elevation")), 1).alias("toe_height"))
 
 
-def interramp_table(section_params: DataFrame) -> DataFrame:
+def interramp_table(section_params: DataFrame, keys: Sequence[str] = SECTION_KEYS) -> DataFrame:
     """Inter-ramp and overall angles of design and as-built side by side, joined on the section."""
     side = lambda kind, name: section_params.where(F.col("kind") == kind).select(
-        "section", *(["sector"] if kind == "design" else []),
+        *keys, *(["sector"] if kind == "design" else []),
         F.bround("inter_ramp_angle", 1).alias(f"inter_ramp_{name}"), F.bround("overall_angle", 1).alias(f"overall_{name}"))
-    return side("design", "design").join(side("topo", "real"), "section")
+    return side("design", "design").join(side("topo", "real"), list(keys))
 
 
 def hole_sheet(holes: DataFrame) -> DataFrame:
@@ -74,9 +77,9 @@ def hole_sheet(holes: DataFrame) -> DataFrame:
                         ((F.col("z_collar") - F.col("bench_height_m")) - F.col("z_toe")).alias("pasadura_m"))
 
 
-def global_kpi(comparisons: DataFrame) -> DataFrame:
+def global_kpi(comparisons: DataFrame, keys: Sequence[str] = SECTION_KEYS) -> DataFrame:
     """Mean of the section means of bench scores, and how many sections reach 70."""
-    per = comparisons.where("type = 'MATCH'").groupBy("section").agg(F.avg("bench_score").alias("s"))
+    per = comparisons.where("type = 'MATCH'").groupBy(*keys).agg(F.avg("bench_score").alias("s"))
     return per.agg(F.coalesce(F.avg("s"), F.lit(0.0)).alias("global_score"), F.count_if(F.col("s") >= 70).alias("n_pass"),
                    F.count_if(F.col("s") < 70).alias("n_fail"))
 
@@ -258,16 +261,17 @@ def filter_values(comparisons: DataFrame) -> DataFrame:
     return comparisons.select(F.explode(cells).alias("c")).select("c.*").where("value IS NOT NULL").distinct()
 
 
-def unified_table(comparisons: DataFrame, section_table: DataFrame, tolerances: Tolerances = TOLERANCES, project: dict[str, str] | None = None) -> DataFrame:
+def unified_table(comparisons: DataFrame, section_table: DataFrame, tolerances: Tolerances = TOLERANCES, project: dict[str, str] | None = None,
+                  keys: Sequence[str] = SECTION_KEYS) -> DataFrame:
     """One wide row per compared bench with geometry, status, tolerances and the blast figures of its section."""
     project = project or {}
     b = lambda f, n: F.bround(F.col(f"bench_real.{f}"), n)
     blast = section_table.select(
-        "section", F.col("num_wells").alias("n_pozos"), F.nullif(F.bround("pf_vol_avg_kgm3", 3), F.lit(0.0)).alias("pf_vol_kgm3"),
+        *keys, F.col("num_wells").alias("n_pozos"), F.nullif(F.bround("pf_vol_avg_kgm3", 3), F.lit(0.0)).alias("pf_vol_kgm3"),
         F.nullif(F.bround("pf_g_per_ton_avg", 1), F.lit(0.0)).alias("pf_g_ton"), F.nullif(F.bround("total_kg", 0), F.lit(0.0)).alias("kg_total"),
         F.nullif(F.bround("avg_over_break", 2), F.lit(0.0)).alias("over_break_m"), F.nullif(F.bround("avg_under_break", 2), F.lit(0.0)).alias("under_break_m"))
     wide = comparisons.select(
-        F.lit(project.get("project", "N/A")).alias("proyecto"), F.lit(project.get("operation", "N/A")).alias("operacion"), "section", "sector",
+        F.lit(project.get("project", "N/A")).alias("proyecto"), F.lit(project.get("operation", "N/A")).alias("operacion"), *keys, "sector",
         F.col("bench_num").alias("banco_num"), F.col("level").alias("nivel"), F.col("type").alias("tipo"),
         F.col("height_design").alias("altura_design_m"), F.col("angle_design").alias("angulo_design_deg"), F.col("berm_design").alias("berma_design_m"),
         F.col("height_real").alias("altura_real_m"), F.col("angle_real").alias("angulo_real_deg"), F.col("berm_real").alias("berma_real_m"),
@@ -279,4 +283,4 @@ def unified_table(comparisons: DataFrame, section_table: DataFrame, tolerances:
         F.lit(tolerances.bench_height.pos).alias("tol_altura_pos"), F.lit(tolerances.bench_height.neg).alias("tol_altura_neg"),
         F.lit(tolerances.face_angle.pos).alias("tol_angulo_pos"), F.lit(tolerances.face_angle.neg).alias("tol_angulo_neg"),
         F.lit(tolerances.berm_min).alias("berma_minima"))
-    return wide.join(blast, "section", "left")
+    return wide.join(blast, list(keys), "left")

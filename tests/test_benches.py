@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pitspark.operators import compliance, deviations, profiles, surfaces
-from pitspark.operators.matching import assign, keep_non_crossing, match_benches
+from pitspark.operators.matching import align, match_benches, nearest_free, pair_cost, reconciliation_gaps
 
 KEYS = ["kind", "section"]
 FACE = 15 / math.tan(math.radians(70))
@@ -119,53 +119,110 @@ def test_reconciled_round_trip(spark):
     assert len(legacy) >= 8
 
 
-def brute(cost, blocked):
-    n, m = cost.shape
-    best = None
-    small = range(n) if n <= m else range(m)
-    for perm in itertools.permutations(range(max(n, m)), len(small)):
-        pairs = [(i, p) if n <= m else (p, i) for i, p in zip(small, perm)]
-        total = sum(1e9 if blocked[a, b] else cost[a, b] for a, b in pairs)
-        best = total if best is None or total < best else best
-    return best
+def best_alignment(design, topo, limit):
+    """All pairings without crossing: most pairs, least cost, earliest partners."""
+    def ways(i, j):
+        if i == len(design):
+            return [(0, 0.0, ())]
+        found = [(n, c, (99, *w)) for n, c, w in ways(i + 1, j)]
+        for k in range(j, len(topo)):
+            if abs(design[i][0] - topo[k][0]) < limit:
+                own = pair_cost(design[i][0] - topo[k][0], design[i][1] - topo[k][1])
+                found += [(n - 1, own + c, (k, *w)) for n, c, w in ways(i + 1, k + 1)]
+        return [min(found)]
+
+    _, _, taken = min(ways(0, 0))
+    return [k if k < 99 and pair_cost(design[i][0] - topo[k][0], design[i][1] - topo[k][1]) < limit else -1 for i, k in enumerate(taken)]
 
 
 @pytest.mark.parametrize("seed", range(25))
-def test_assignment_is_optimal(seed):
+def test_alignment_is_the_best_without_crossing(seed):
     rng = np.random.default_rng(seed)
-    n, m = rng.integers(1, 6, 2)
-    cost = rng.uniform(0, 10, (n, m))
-    blocked = rng.uniform(size=(n, m)) < 0.4
-    pairs = assign(cost, blocked)
-    assert len({a for a, _ in pairs}) == len({b for _, b in pairs}) == len(pairs)
-    total = sum(cost[a, b] for a, b in pairs) + 1e9 * (min(n, m) - len(pairs))
-    assert total == pytest.approx(brute(cost, blocked))
+    for _ in range(40):
+        n, m = rng.integers(0, 8, 2)
+        make = lambda k: [(float(z), float(x)) for z, x in zip(rng.integers(0, 25, k) * rng.choice([1, 0.5]), rng.integers(0, 12, k))]
+        d, t = make(n), make(m)
+        got = align(d, t, 8)
+        assert got == best_alignment(d, t, 8)
+        used = [j for j in got if j >= 0]
+        assert used == sorted(set(used))
+
+
+def test_alignment_of_close_and_equal_benches():
+    assert align([(100.0, 0.0), (96.0, 4.0)], [(98.0, 2.0)], 8) == [0, -1]  # equally far: the first one
+    assert align([(100.0, 0.0), (96.0, 4.0), (92.0, 8.0)], [(96.5, 4.0), (92.5, 8.0)], 8) == [-1, 0, 1]
+    assert align([(100.0, 0.0)], [(100.0, 9.0)], 8) == [-1]  # same level, too far along
+    assert align([], [(1.0, 1.0)], 8) == [] and align([(1.0, 1.0)], [], 8) == [-1]
+    assert align([(float("nan"), 0.0), (5.0, 0.0)], [(5.0, 0.0)], 8) == [-1, 0]
+    long = [(-4.0 * i, 3.0 * i) for i in range(300)]
+    assert align(long, long, 8) == list(range(300))
+
+
+def test_nearest_free_benches_in_design_order():
+    assert nearest_free([100.0, 96.0, 92.0], [97.0, 93.0], 8) == [0, 1, -1]
+    assert nearest_free([100.0, 99.0], [99.5], 8) == [0, -1]
+    assert nearest_free([100.0], [92.0], 8) == [-1] and nearest_free([float("nan")], [1.0], 8) == [-1]
 
 
-def test_non_crossing_rule():
-    assert keep_non_crossing([(0, 2, 1.0), (1, 1, 5.0), (2, 3, 1.0)]) == [(0, 2, 1.0), (2, 3, 1.0)]
-    assert keep_non_crossing([(0, 2, 5.0), (1, 1, 1.0), (2, 3, 1.0)]) == [(1, 1, 1.0), (2, 3, 1.0)]
+BENCH = "pit int, section string, bench_number int, crest_elevation double, toe_elevation double, crest_distance double, toe_distance double, bench_height double"
 
 
-def test_banded_matching_equals_whole_section(spark):
-    rng = np.random.default_rng(11)
+def close_benches(spark, seed=11, sections=12):
+    rng = np.random.default_rng(seed)
     rows = {"d": [], "t": []}
-    for s in range(12):
+    for s in range(sections):
         for side in rows:
-            for k in range(rng.integers(2, 7)):
-                z, x = float(4000 - 6 * k + rng.normal(0, 3)), float(10 * k + rng.normal(0, 4))
-                rows[side].append((f"S{s}", k + 1, z + 5, z - 5, x - 2, x + 2))
-    schema = "section string, bench_number int, crest_elevation double, toe_elevation double, crest_distance double, toe_distance double"
+            for k in range(rng.integers(0 if s == 0 else 2, 9)):
+                z, x = float(4000 - rng.integers(3, 7) * k + rng.normal(0, 2)), float(3 * k + rng.normal(0, 2))
+                rows[side].append((s // 4, f"S{s % 4}", k + 1, z + 2, z - 2, x - 1, x + 1, float(rng.uniform(1, 9))))
+    return rows, [spark.createDataFrame(rows[k], BENCH) for k in ("d", "t")]
+
+
+def test_sections_of_one_name_in_several_pits_stay_apart(spark):
+    rows, (design, topo) = close_benches(spark)
+    keys = ("pit", "section")
     got = {}
-    for r in match_benches(*[spark.createDataFrame(rows[k], schema) for k in ("d", "t")]).collect():
-        got.setdefault(r["section"], []).append((r["design_pos"] - 1, r["topo_pos"] - 1))
-    for s in range(12):
-        d, t = ([r for r in rows[k] if r[0] == f"S{s}"] for k in ("d", "t"))
-        dz = np.array([[(a[2] + a[3] - b[2] - b[3]) / 2 for b in t] for a in d])
-        dx = np.array([[(a[4] + a[5] - b[4] - b[5]) / 2 for b in t] for a in d])
-        cost = np.sqrt(1.5 * dz**2 + dx**2)
-        pairs = [(a, b, cost[a, b]) for a, b in assign(cost, abs(dz) >= 8) if cost[a, b] < 8]
-        assert sorted(got.get(f"S{s}", [])) == [(a, b) for a, b, _ in keep_non_crossing(pairs)]
+    for r in match_benches(design, topo, keys=keys).collect():
+        got.setdefault((r["pit"], r["section"]), {})[r["design_pos"] - 1] = (r["topo_pos"] - 1, r["cost"])
+    gaps = {}
+    for r in reconciliation_gaps(design, topo, keys=keys).collect():
+        gaps.setdefault((r["pit"], r["section"]), []).append((r["location"], round(r["delta_h"], 9)))
+    for key in {r[:2] for k in rows for r in rows[k]}:
+        d, t = ([r for r in rows[k] if r[:2] == key] for k in ("d", "t"))
+        mid = lambda b: ((b[3] + b[4]) / 2, (b[5] + b[6]) / 2)
+        want = best_alignment([mid(b) for b in d], [mid(b) for b in t], 8)
+        assert got.get(key, {}) == {i: (j, pair_cost(mid(d[i])[0] - mid(t[j])[0], mid(d[i])[1] - mid(t[j])[1])) for i, j in enumerate(want) if j >= 0}
+        free, expected = list(range(len(t))), []
+        for b in d:
+            near = sorted((abs(mid(t[j])[0] - mid(b)[0]), j) for j in free)
+            if not near or near[0][0] >= 8:
+                expected.append(("missing_crest", round(-b[7], 9)))
+                continue
+            free.remove(near[0][1])
+            delta = t[near[0][1]][7] - b[7]
+            if abs(delta) > 1.5:
+                expected.append(("overbreak" if delta > 0 else "extra_material", round(delta, 9)))
+        assert sorted(gaps.get(key, [])) == sorted(expected)
+
+
+def test_every_bench_of_close_sections_appears_once(spark):
+    rows, (design, topo) = close_benches(spark, 5)
+    add = lambda df: df.withColumns({"face_angle": F.lit(70.0), "berm_width": F.lit(9.0), "sector": F.lit("N")})
+    out = compliance.compare(add(design), add(topo), keys=("pit", "section")).collect()
+    kinds = {k: sum(r["type"] == k for r in out) for k in ("MATCH", "MISSING", "EXTRA")}
+    assert kinds["MATCH"] + kinds["MISSING"] == len(rows["d"]) and kinds["MATCH"] + kinds["EXTRA"] == len(rows["t"])
+    assert all(kinds.values()) and {r["bench_num"] for r in out if r["type"] == "EXTRA"} == {999}
+    for key in {(r["pit"], r["section"]) for r in out}:
+        scores = {r["section_score"] for r in out if (r["pit"], r["section"]) == key}
+        match = [r["bench_score"] for r in out if (r["pit"], r["section"]) == key and r["type"] == "MATCH"]
+        assert scores == {round(sum(match) / len(match), 1) if match else 0.0}
+
+
+def test_comparison_is_one_shuffle_and_one_python_node(spark, folder):
+    from pitspark.plans import bridge
+
+    plan = compliance.compare(bridge.design_benches(spark, folder), bridge.topo_benches(spark, folder))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 1 and plan.count("ArrowEvalPython") == 1
 
 
 def test_comparison_invariants(spark, folder):

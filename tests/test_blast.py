@@ -295,7 +295,7 @@ def test_rows_meet_the_model_of_their_group(spark):
     rows = [(g, 0.1 * i, slope * 0.1 * i + (i % 2) * 0.01) for g, slope in (("A", 2.0), ("B", 5.0), (None, 1.0)) for i in range(1, 13)]
     fitted = models.fit_line(spark.createDataFrame(rows, "sector string, x double, y double"), "x", "y", ["sector"])
     asked = spark.createDataFrame([("A", 1.0), ("B", 1.0), (None, 1.0), ("C", 1.0)], "sector string, target_pf double")
-    got = {r["sector"]: r["predicted_damage"] for r in models.predict_damage(asked, fitted).collect()}
+    got = {r["sector"]: r["predicted_damage"] for r in models.predict_damage(asked, fitted, group=["sector"]).collect()}
     assert {k: round(v) for k, v in got.items()} == {"A": 2, "B": 5, None: 1, "C": 0}
     with pytest.raises(Exception, match="more than one model row"):
         models.predict_damage(asked, fitted.drop("sector")).collect()
