@@ -470,7 +470,18 @@ def _(spark, d):
     return tidy(stability.rock_mass_lookup(q, bridge.rock_mass(spark, d)).select("section", "bench_num", "level_text", "rock_id", "rock_rmr"))
 
 
-@query("suggested_face_angles")
+_T = "tan(radians({d}))"
+_FS = f"(a * {_T} + (a + b) / {_T})"
+_HALF = "greatest(5, least(89, {f}(turn * 2) / 2))::DOUBLE"
+
+
+@query("suggested_face_angles", f"""WITH {bridge.ROCK_SQL}, s AS (SELECT rock_id, sector, rmr, 10.0::DOUBLE + rock_id % 11 AS height_m, CAST(greatest(0, least(100, rmr - 5)) AS DOUBLE) AS g FROM rock),
+    f AS (SELECT *, {_SLOPE} AS m, ({' + '.join(_Y)}) AS sy FROM s),
+    k AS (SELECT *, CASE WHEN g > 0 THEN greatest(0, (sy - m * {_SX}::DOUBLE) / 9 * 100 * 1000) * 0.001 ELSE 0 END / (27.0 * height_m) AS a,
+      tan(CASE WHEN g > 0 THEN greatest(radians(15), least(radians(60), CASE WHEN m > 0 THEN atan(m) ELSE radians(30) END)) ELSE radians(30) END) AS b FROM f),
+    t AS (SELECT *, CASE WHEN a > 0 THEN degrees(atan(sqrt((a + b) / a))) ELSE 90 END AS turn FROM k),
+    l AS (SELECT *, CASE WHEN {_FS.format(d=_HALF.format(f='floor'))} <= {_FS.format(d=_HALF.format(f='ceil'))} THEN {_HALF.format(f='floor')} ELSE {_HALF.format(f='ceil')} END AS low FROM t)
+    SELECT rock_id, sector, rmr, height_m, {r(f"CASE WHEN {_FS.format(d='5.0::DOUBLE')} < 1.3 THEN 30 WHEN {_FS.format(d='low')} >= 1.3 THEN low ELSE degrees(atan(2 * (a + b) / (1.3 + sqrt(greatest(1.69 - 4 * a * (a + b), 0))))) END", 'suggested_angle_deg')} FROM l""")
 def _(spark, d):
     rows = bridge.rock_mass(spark, d).select("rock_id", "sector", "rmr", (F.lit(10.0) + F.col("rock_id") % 11).alias("height_m"))
     return tidy(stability.suggest_face_angle(rows))

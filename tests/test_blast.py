@@ -55,6 +55,10 @@ def test_auto_map():
     assert m.columns["X"] == "Easting" and m.columns["Y"] == "northing" and m.columns["Z_collar"] == "Elevatoin"
     assert m.confidence["Z_collar"][0] == "fuzzy" and m.columns["Az"] == "Azimuth (deg)" and m.columns["Esp"] is None and not m.missing_required
     assert columns.validate_mapping({"X": "a", "Y": "a"}) and not columns.validate_mapping(m.columns)
+    assert {(f.code, f.field, f.source) for f in columns.validate_mapping({**m.columns, "Len": None, "Esp": "Burden"})} == {
+        ("REQUIRED_FIELD_UNMAPPED", "Len", None), ("COLUMN_USED_AGAIN", "Esp", "Burden")}
+    best = columns.auto_map(["Azimut", "Azimuth", "azimuth ", "Lengthh", "Length x"])
+    assert best.columns["Az"] == "Azimut" and best.columns["Len"] == "Lengthh" and "Lengthh" not in best.missing_required and "X" in best.missing_required
     assert columns.find_column(["LATITUD_GEO"], ["Latitud_Geo"]) == "LATITUD_GEO"
 
 
