@@ -53,6 +53,64 @@ def test_dxf_faces_and_polylines(spark, tmp_path):
     assert [(r["x"], r["y"]) for r in readers.read_dxf_polyline(spark, str(lines)).orderBy("pos").collect()] == [(7.0, 8.0), (9.0, 9.5)]
 
 
+def many_facets(n):
+    return [((i, i * 0.5, 0), (i + 1, 0, i), (0, 1, 2 + i)) for i in range(n)]
+
+
+@pytest.mark.parametrize("size", [60, 61, 97, 250, 1000])
+def test_ranges_of_a_file_give_every_record_once(spark, tmp_path, size):
+    facets, small = many_facets(37), {"rangeBytes": size, "pieceBytes": 23 if size < 90 else 64}
+    want = sorted(tuple(float(c) for v in f for c in v) for f in facets)
+    flat = lambda r: tuple(c for k in range(3) for c in r[f"v{k}"])
+    (tmp_path / "b.stl").write_bytes(binary_stl(facets))
+    text = "solid endfacets\n" + "".join("  facet normal 0 0 1\r\n outer loop\n" + "".join(f"\tvertex {x} {y}  {z}\n" for x, y, z in f) + "endloop\n endfacet\n" for f in facets) + "endsolid s\n"
+    (tmp_path / "t.stl").write_text(text)
+    tri, bad = readers.read_stl(spark, str(tmp_path), **small)
+    assert tri.rdd.getNumPartitions() > 4 and bad.count() == 0
+    for name in ("b.stl", "t.stl"):
+        rows = tri.where(F.col("path").endswith(name)).orderBy("tri_id").collect()
+        assert sorted(map(flat, rows)) == want and len({r["tri_id"] for r in rows}) == 37
+        assert [flat(r) for r in rows] == [tuple(float(c) for v in f for c in v) for f in facets]
+    quads = [face(f[0], f[1], f[2], (9, 9, i)) for i, f in enumerate(facets)]
+    blocks = "0\nSECTION\n2\nBLOCKS\n0\n3DFACE\n10\n1\n0\nENDSEC\n"
+    lines = [("LWPOLYLINE", [p for k in range(9) for p in ((10, k), (20, -k))]), ("POLYLINE", [(70, 0)]), *[("VERTEX", [(10, k), (20, 0)]) for k in range(12)], ("SEQEND", [(8, 0)]),
+             ("VERTEX", [(10, 77), (20, 77)]), ("POLYLINE", []), ("VERTEX", [(10, 5), (20, 6)]), ("SEQEND", [])]
+    (tmp_path / "m.dxf").write_text(blocks + dxf(*quads[:20], *lines, *quads[20:]).replace("\n", "\r\n"), newline="")
+    got = readers.read_dxf_faces(spark, str(tmp_path), **small).orderBy("tri_id").collect()
+    assert len(got) == 74 and [flat(r) for r in got[::2]] == [tuple(float(c) for v in f for c in v) for f in facets]
+    found = {}
+    for r in readers.read_dxf_polylines(spark, str(tmp_path), **small).orderBy("polyline", "pos").collect():
+        found.setdefault((r["kind"], r["polyline"]), []).append((r["pos"], r["x"], r["y"]))
+    assert list(found.values()) == [[(k, float(k), float(-k)) for k in range(9)], [(k, float(k), 0.0) for k in range(12)], [(0, 5.0, 6.0)]]
+
+
+def test_bad_mesh_files_are_reported(spark, tmp_path):
+    (tmp_path / "empty.stl").write_bytes(b"")
+    (tmp_path / "none.stl").write_bytes(b" " * 80 + bytes(4))
+    (tmp_path / "half.stl").write_text("solid x\nfacet normal 0 0 1\nvertex 1 2 3\nvertex 1 2 nope\nvertex 1 2 3\nendfacet\nfacet\nvertex 0 0 0\nvertex 1 0 0\nvertex 0 1 0\nendfacet\n")
+    tri, bad = readers.read_stl(spark, str(tmp_path))
+    assert tri.count() == 1 and {(r["path"].split("/")[-1], r["problem"]) for r in bad.collect()} == {("empty.stl", "EMPTY"), ("none.stl", "NO_FACETS"), ("half.stl", "BROKEN_FACETS")}
+    only, none = readers.read_stl(spark, str(tmp_path / "half.stl"))
+    assert only.count() == 1 and none.count() == 1
+    assert readers.read_dxf_faces(spark, str(tmp_path)).count() == 0
+
+
+def test_polyline_files_keep_apart_and_in_order(spark, tmp_path):
+    for name, n in (("a", 3000), ("b", 5)):
+        (tmp_path / f"{name}.csv").write_text("id,label,from,to\n" + "".join(f"{i},L{i},{i * 2},{-i}\n" for i in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = readers.read_polyline_csv(spark, str(tmp_path)).collect()
+        lines = readers.read_reference_lines(spark, str(tmp_path / "b.csv")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    got = {}
+    for r in sorted(rows, key=lambda r: (r["path"], r["pos"])):
+        got.setdefault(r["path"].split("/")[-1], []).append((r["pos"], r["x"], r["y"]))
+    assert got == {f"{name}.csv": [(i, float(i), float(i * 2)) for i in range(n)] for name, n in (("a", 3000), ("b", 5))}
+    assert lines == []
+
+
 def test_csv_readers(spark, tmp_path):
     (tmp_path / "d.csv").write_text("Pozo,Tiempo Inicial,Tiempo Final,Prof. por Operador,Coord. Norte [m],Coord. Este [m],Equipo\nH-1,02/01/2026 08:00,02/01/2026 08:20,17,5,4,R1\nH-2,bad,02/01/2026 09:00,x,1,2,R1\n")
     r = readers.read_drilling_csv(spark, str(tmp_path / "d.csv")).orderBy("pozo").collect()
