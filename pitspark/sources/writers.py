@@ -1,29 +1,27 @@
 """Writers: per-section results, extraction cache, diagnostics bundle, exchange files."""
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def save_by_partition(df: DataFrame, path: str, partitions: list[str]) -> None:
-    """Replace only the partitions present in ``df``; all others stay."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
+from .store import KeyedStore
 
 
-def save_results(comparisons: DataFrame, path: str) -> None:
-    """Comparison rows, one partition per section."""
-    save_by_partition(comparisons, path, ["section"])
+def save_results(comparisons: DataFrame, path: str, keys: Sequence[str] = ("section",)) -> int:
+    """Comparison rows of the sections in ``comparisons`` replace what is stored for them; all others stay."""
+    return KeyedStore(comparisons.sparkSession, path, keys).replace(comparisons)
 
 
-def save_extraction(benches: DataFrame, path: str) -> None:
-    """Extracted benches, one partition per section and kind."""
-    save_by_partition(benches, path, ["section", "kind"])
+def save_extraction(benches: DataFrame, path: str, keys: Sequence[str] = ("section", "kind")) -> int:
+    """Extracted benches, unique per section and kind (and session, where ``keys`` name it)."""
+    return KeyedStore(benches.sparkSession, path, keys).replace(benches)
 
 
-def read_results(spark: SparkSession, path: str, section: str | None = None) -> DataFrame:
-    """Stored rows; a section reads only its own partition."""
-    df = spark.read.parquet(path)
-    return df if section is None else df.where(F.col("section") == section)
+def read_results(spark: SparkSession, path: str, section: str | None = None, keys: Sequence[str] = ("section",)) -> DataFrame:
+    """Stored rows; a section reads only its own bucket."""
+    return KeyedStore(spark, path, keys).read(**({} if section is None else {"section": section}))
 
 
 def write_diagnostics(report, path: str, warnings: DataFrame | None = None, spatial: DataFrame | None = None, config: dict | None = None) -> list[str]:

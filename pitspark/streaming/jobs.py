@@ -1,50 +1,93 @@
 """Streaming forms of three batch jobs: last drilling event, powder-factor trend, hole validation."""
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators.columns import GeometryConfig
 from ..operators.drilling import last_event_per_hole
 from ..operators.holes import process_holes
-from ..sources.writers import save_by_partition
+from ..sources.store import KeyedStore
 
-BUCKETS = 64
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+NO_DATA_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def upsert_last_events(events: DataFrame, table: str, checkpoint: str, buckets: int = BUCKETS, trigger: dict | None = None) -> StreamingQuery:
-    """Keep a table of the last event per hole up to date from a stream of drilling events.
+class LastEvent(StatefulProcessor):
+    """State of a hole: when its last event ended, and that event's number. Events that are later come out, others do not."""
 
-    Re-drills may arrive any time later, so the current table itself is the state: a batch is reduced to one event
-    per hole, merged with the buckets it touches, and only those buckets are rewritten. Keeping the latest event is
-    idempotent, so a replayed batch gives the same table.
+    def __init__(self, columns: list[str], kind: str, keep_ms: int | None):
+        self.columns, self.kind, self.keep_ms = columns, kind, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", f"tiempo_final {self.kind}, event_id long", self.keep_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        known = self.last.get() if self.last.exists() else None
+        best, found = (known[0], -known[1]) if known else None, None
+        for pdf in rows:
+            row = pdf.sort_values(["tiempo_final", "event_id"], ascending=[False, True]).iloc[[0]]
+            order = (row["tiempo_final"].iloc[0].to_pydatetime().replace(tzinfo=None), -int(row["event_id"].iloc[0]))
+            if best is None or order > (best[0].replace(tzinfo=None), best[1]):
+                best, found = order, row
+        if found is not None:
+            self.last.update((best[0], -best[1]))
+            yield found[self.columns]
+
+    def close(self) -> None:
+        pass
+
+
+def last_event_changes(events: DataFrame, keep_days: float | None = None) -> DataFrame:
+    """Stream of the events that are, on arrival, their hole's last one; to be written in update mode.
+
+    A re-drill may arrive at any time, so rows are not held against a watermark. The state is one short row per hole; with
+    ``keep_days`` it is given up that long after the hole's last change. A hole whose state is gone gives a change for
+    whatever comes next, which ``current_last_events`` puts in its place.
     """
+    kind = dict(events.dtypes)["tiempo_final"]
+    processor = LastEvent(events.columns, kind, None if keep_days is None else int(keep_days * 86_400_000))
+    usable = events.where("pozo IS NOT NULL AND tiempo_final IS NOT NULL")
+    return usable.groupBy("pozo").transformWithStateInPandas(processor, events.schema, "Update", "None" if keep_days is None else "ProcessingTime")
+
+
+def upsert_last_events(events: DataFrame, table: str, checkpoint: str, keep_days: float | None = None, trigger: dict | None = None) -> StreamingQuery:
+    """Keeps the changes of the last event per hole under ``table``, one folder per batch.
+
+    A batch writes only the holes it changes. Its folder is overwritten when it is replayed, and the state of the replay is
+    that of the first run, so the changes are the same. ``current_last_events`` reads the table they add up to.
+    """
+    conf = events.sparkSession.conf
+    # state that expires would keep batches without data going for ever; it goes with the next batch that has some
+    needed = {STATE_STORE: ROCKS} | ({} if keep_days is None else {NO_DATA_BATCHES: "false"})
+    before = {k: conf.get(k) for k in needed}
+
+    def keep(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/batch={epoch}")
+
+    writer = last_event_changes(events, keep_days).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint)
+    try:
+        for k, v in needed.items():
+            conf.set(k, v)
+        return writer.trigger(**(trigger or {"availableNow": True})).start()
+    finally:
+        for k, v in before.items():
+            conf.set(k, v)
+
+
+def current_last_events(spark: SparkSession, table: str) -> DataFrame:
+    """The last event of every hole from the changes kept so far."""
+    return last_event_per_hole(spark.read.parquet(table).drop("batch"))
+
 
-    def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        bucket = F.pmod(F.xxhash64("pozo"), F.lit(buckets)).cast("int")
-        new = last_event_per_hole(batch).withColumn("bucket", bucket)
-        touched = [r[0] for r in new.select("bucket").distinct().collect()]
-        if not touched:
-            return
-        try:
-            old = spark.read.parquet(table).where(F.col("bucket").isin(touched))
-            both = old.drop("bucket").unionByName(new.drop("bucket"))
-        except Exception as missing:
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            both = new.drop("bucket")
-        merged = last_event_per_hole(both).withColumn("bucket", bucket)
-        # the result is written to a side folder first: Spark cannot overwrite the files it reads
-        stage = f"{table}__stage"
-        merged.write.mode("overwrite").parquet(stage)
-        save_by_partition(spark.read.parquet(stage), table, ["bucket"])
-
-    writer = events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
-    return writer.trigger(**(trigger or {"availableNow": True})).start()
+def compact_last_events(spark: SparkSession, table: str, into: str) -> int:
+    """Puts the current last events into a keyed store, for readers that want one row per hole; returns its version."""
+    return KeyedStore(spark, into, ["pozo"]).replace(current_last_events(spark, table))
 
 
 def last_events_changelog(events: DataFrame, late: str = "1 day") -> DataFrame:
@@ -63,8 +106,9 @@ def powder_factor_trend(holes: DataFrame, time: str = "blast_time", window: str
 
 def whole_trend(holes: DataFrame, emitted: DataFrame, time: str = "blast_time", window: str = "30 days") -> DataFrame:
     """Windows a finished append stream has emitted, and from all its rows (a batch) those its watermark never passed."""
-    open_ones = powder_factor_trend(holes, time, window).join(emitted.select("period_start"), "period_start", "left_anti")
-    return emitted.unionByName(open_ones)
+    done = emitted.agg(F.max("period_end").alias("_done"))  # windows end in order, so the open ones begin here or later
+    later = holes.join(F.broadcast(done)).where(F.col("_done").isNull() | (F.col(time) >= F.col("_done"))).drop("_done")
+    return emitted.unionByName(powder_factor_trend(later, time, window))
 
 
 def validate_stream(raw: DataFrame, config: GeometryConfig, accepted_path: str, rejected_path: str, checkpoint: str, bench_height: float | None = None,
