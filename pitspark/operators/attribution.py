@@ -1,6 +1,10 @@
 """Which holes explain a deviated crest or toe; energy density along a profile; energy field on a grid."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,38 +61,92 @@ def energy_density(points: DataFrame, holes: DataFrame, on: list[str], radius: f
     return points.join(found, [*on, "fx", "fy"], "left").withColumn("energy", F.coalesce("energy", F.lit(0.0)))
 
 
+ENDS = ("x", "y", "z_collar", "x_toe", "y_toe", "z_toe")
+BOX = ("x0", "x1", "y0", "y1", "z0", "z1")
+#: Beyond this share of d² / (2 r²) the gaussian is 0.0 in double precision.
+VANISHES = 746.0
+TILE = 1024  # nodes worked out together
+TERMS = 2_000_000  # hole and node terms held at once
+KEPT_NODES = 4_000_000  # partial sums held by a task
+
+
+def _tiles(nodes: np.ndarray) -> list[tuple[slice, np.ndarray, np.ndarray]]:
+    """Runs of nodes with their lowest and highest corner."""
+    cuts = [slice(at, at + TILE) for at in range(0, len(nodes), TILE)]
+    return [(c, nodes[c].min(0), nodes[c].max(0)) for c in cuts]
+
+
+def add_energy(sums: np.ndarray, nodes: np.ndarray, ends: np.ndarray, q: np.ndarray, radius: float) -> None:
+    """Adds the holes' terms (collar and toe in a row of ``ends``) to the nodes' sums; terms that are exactly 0 are passed over
+    by whole tiles."""
+    collar, axis = ends[:, :3], ends[:, 3:] - ends[:, :3]
+    length2 = (axis * axis).sum(1)
+    length2[length2 == 0] = 1e-6
+    low, high = np.minimum(ends[:, :3], ends[:, 3:]), np.maximum(ends[:, :3], ends[:, 3:])
+    for cut, first, last in _tiles(nodes):
+        apart = np.maximum(0.0, np.maximum(low - last, first - high))
+        near = np.flatnonzero((apart * apart).sum(1) <= VANISHES * 2.0 * radius * radius)
+        step = max(1, TERMS // max(1, len(nodes[cut])))
+        for at in range(0, len(near), step):
+            some = near[at:at + step]
+            w = nodes[cut][None, :, :] - collar[some][:, None, :]
+            v = axis[some][:, None, :]
+            t = np.clip((w * v).sum(2) / length2[some][:, None], 0.0, 1.0)
+            gap = w - t[:, :, None] * v
+            d2 = np.maximum((gap * gap).sum(2), 1e-4)
+            sums[cut] += q[some] @ np.exp(-d2 / (2.0 * radius * radius))
+
+
 def energy_grid(holes: DataFrame, on: list[str], nx: int = 20, ny: int = 20, nz: int = 5, radius: float = 30.0,
                 value: str | None = "kg") -> DataFrame:
     """Gaussian energy field of collar-to-toe segments on a regular grid per group.
 
-    The grid has nx x ny x nz nodes, two each way at least, and every hole adds to all of them; the sums combine map
-    side and only one row per node is shuffled from each task. Holes alike in every coordinate are merged first.
+    The grid has nx x ny x nz nodes, two each way at least. Holes stay where they are: every task sums the terms of its own
+    holes node by node and gives one row per node of the groups it met, which are added up afterwards. Holes without all
+    six coordinates count for nothing.
     """
     nx, ny, nz = max(2, nx), max(2, ny), max(2, nz)
-    radius = radius if radius > 0 else 30.0
-    weight = F.coalesce(value, F.lit(0.0)) if value else F.lit(1.0)
-    h = holes.where("x_toe IS NOT NULL").groupBy(*on, "x", "y", "z_collar", "x_toe", "y_toe", "z_toe").agg(F.sum(weight).alias("q"))
+    radius = float(radius) if radius > 0 else 30.0
+    weight = F.coalesce(F.col(value), F.lit(0.0)) if value else F.lit(1.0)
+    h = holes.select(*on, *[F.col(c).cast("double").alias(c) for c in ENDS], weight.cast("double").alias("q")).dropna(subset=[*ENDS, *on])
     box = h.groupBy(*on).agg(*[f(c).alias(n) for n, f, c in (
         ("x0", F.min, "x"), ("x1", F.max, "x"), ("y0", F.min, "y"), ("y1", F.max, "y"), ("z0", F.min, "z_toe"), ("z1", F.max, "z_collar"))])
     for a in "xyz":
         flat = F.col(f"{a}1") - F.col(f"{a}0") < 1e-9
         box = box.withColumn("_flat", flat).withColumn(f"{a}0", F.when(F.col("_flat"), F.col(f"{a}0") - radius).otherwise(F.col(f"{a}0"))).withColumn(
             f"{a}1", F.when(F.col("_flat"), F.col(f"{a}1") + radius).otherwise(F.col(f"{a}1"))).drop("_flat")
-    node = lambda a, n: F.col(f"{a}0") + F.col(f"i{a}") * ((F.col(f"{a}1") - F.col(f"{a}0")) / (n - 1))
-    full = h.join(box, on)
-    for a, n in (("x", nx), ("y", ny), ("z", nz)):
-        full = full.withColumn(f"i{a}", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    full = full.withColumns({"gx": node("x", nx), "gy": node("y", ny), "gz": node("z", nz)})
-    v = [F.col("x_toe") - F.col("x"), F.col("y_toe") - F.col("y"), F.col("z_toe") - F.col("z_collar")]
-    w = [F.col("gx") - F.col("x"), F.col("gy") - F.col("y"), F.col("gz") - F.col("z_collar")]
-    dot = lambda a, b: a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
-    long2 = F.when(dot(v, v) == 0, 1e-6).otherwise(dot(v, v))
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(w, v) / long2))
-    gap = [a - t * b for a, b in zip(w, v)]
-    d2 = F.greatest(dot(gap, gap), F.lit(1e-4))
-    return full.groupBy(*on, "ix", "iy", "iz").agg(
-        F.first("gx").alias("x"), F.first("gy").alias("y"), F.first("gz").alias("z"),
-        F.sum(F.col("q") * F.exp(-d2 / (2.0 * radius * radius))).alias("energy"))
+
+    def steps(low: float, high: float, n: int) -> np.ndarray:
+        return low + np.arange(n) * ((high - low) / (n - 1))
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+
+        def out() -> Iterator[pd.DataFrame]:
+            for key, (_, energy) in sums.items():
+                yield pd.DataFrame({**{k: [v] * len(energy) for k, v in zip(on, key)}, "node": np.arange(len(energy)), "energy": energy})
+            sums.clear()
+
+        for pdf in batches:
+            for key, part in pdf.groupby(on, sort=False):
+                if key not in sums:
+                    x0, x1, y0, y1, z0, z1 = part[list(BOX)].iloc[0]
+                    axes = np.meshgrid(steps(x0, x1, nx), steps(y0, y1, ny), steps(z0, z1, nz), indexing="ij")
+                    nodes = np.stack([a.ravel() for a in axes], axis=1)
+                    sums[key] = (nodes, np.zeros(len(nodes)))
+                nodes, energy = sums[key]
+                add_energy(energy, nodes, part[list(ENDS)].to_numpy(float), part["q"].to_numpy(float), radius)
+            if len(sums) * nx * ny * nz > KEPT_NODES:
+                yield from out()
+        yield from out()
+
+    kinds = {f.name: f.dataType.simpleString() for f in h.schema.fields}
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in on) + ", node int, energy double"
+    summed = h.join(box, on).mapInPandas(partial, schema).groupBy(*on, "node").agg(F.sum("energy").alias("energy"))
+    place = {"ix": F.floor(F.col("node") / (ny * nz)), "iy": F.floor(F.col("node") / nz) % ny, "iz": F.col("node") % nz}
+    out = summed.withColumns({k: v.cast("int") for k, v in place.items()}).join(box, on)
+    spot = lambda a, n: (F.col(f"{a}0") + F.col(f"i{a}") * ((F.col(f"{a}1") - F.col(f"{a}0")) / (n - 1))).alias(a)
+    return out.select(*on, "ix", "iy", "iz", spot("x", nx), spot("y", ny), spot("z", nz), "energy")
 
 
 def energy_map(grid: DataFrame, on: list[str]) -> DataFrame:

@@ -202,21 +202,35 @@ def _(spark, d):
 _GN = lambda a, n: f"{a}0 + i{a} * (({a}1 - {a}0) / {n - 1})"
 
 
-@query("energy_grid", f"""WITH {H}, bx AS (SELECT pit, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z_toe) AS z0, max(z_collar) AS z1 FROM holes GROUP BY pit),
-    g AS (SELECT *, {_GN('x', 6)} AS gx, {_GN('y', 6)} AS gy, {_GN('z', 3)} AS gz FROM bx, (SELECT unnest(range(6)) AS ix), (SELECT unnest(range(6)) AS iy), (SELECT unnest(range(3)) AS iz)),
-    t AS (SELECT g.pit, ix, iy, iz, kg, gx - x AS wx, gy - y AS wy, gz - z_collar AS wz, x_toe - x AS vx, y_toe - y AS vy, z_toe - z_collar AS vz FROM g JOIN holes h ON g.pit = h.pit),
-    u AS (SELECT *, greatest(0, least(1, (wx * vx + wy * vy + wz * vz) / (vx * vx + vy * vy + vz * vz))) AS k FROM t)
-    SELECT pit, CAST(ix AS INTEGER) AS ix, CAST(iy AS INTEGER) AS iy, CAST(iz AS INTEGER) AS iz,
-    {r('sum(kg * exp(-greatest(power(wx - k * vx, 2) + power(wy - k * vy, 2) + power(wz - k * vz, 2), 0.0001) / 1800))', 'energy', 4)} FROM u GROUP BY pit, ix, iy, iz""")
+def _field_sql(nx: int, ny: int, nz: int, value: str = "kg") -> str:
+    """The energy ``e`` of every node, each from all holes of its pit."""
+    return f"""{H}, bx AS (SELECT pit, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z_toe) AS z0, max(z_collar) AS z1 FROM holes GROUP BY pit),
+    g AS (SELECT *, {_GN('x', nx)} AS gx, {_GN('y', ny)} AS gy, {_GN('z', nz)} AS gz FROM bx, (SELECT unnest(range({nx})) AS ix), (SELECT unnest(range({ny})) AS iy), (SELECT unnest(range({nz})) AS iz)),
+    t AS (SELECT g.pit, ix, iy, iz, gx, gy, {value} AS q, gx - x AS wx, gy - y AS wy, gz - z_collar AS wz, x_toe - x AS vx, y_toe - y AS vy, z_toe - z_collar AS vz FROM g JOIN holes h ON g.pit = h.pit),
+    u AS (SELECT *, greatest(0, least(1, (wx * vx + wy * vy + wz * vz) / (vx * vx + vy * vy + vz * vz))) AS k FROM t),
+    field AS (SELECT pit, ix, iy, iz, any_value(gx) AS x, any_value(gy) AS y,
+      sum(q * exp(-greatest(power(wx - k * vx, 2) + power(wy - k * vy, 2) + power(wz - k * vz, 2), 0.0001) / 1800)) AS e FROM u GROUP BY pit, ix, iy, iz)"""
+
+
+_NODES = f"pit, CAST(ix AS INTEGER) AS ix, CAST(iy AS INTEGER) AS iy, CAST(iz AS INTEGER) AS iz, {r('e', 'energy', 4)}"
+
+
+@query("energy_grid", f"WITH {_field_sql(6, 6, 3)} SELECT {_NODES} FROM field")
 def _(spark, d):
     return tidy(attribution.energy_grid(bridge.holes(spark, d), ["pit"], 6, 6, 3).select("pit", "ix", "iy", "iz", "energy"), 4)
 
 
-@query("energy_map", f"""WITH {H}, bx AS (SELECT pit, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z_toe) AS z0, max(z_collar) AS z1 FROM holes GROUP BY pit),
-    g AS (SELECT *, {_GN('x', 6)} AS gx, {_GN('y', 6)} AS gy, {_GN('z', 3)} AS gz FROM bx, (SELECT unnest(range(6)) AS ix), (SELECT unnest(range(6)) AS iy), (SELECT unnest(range(3)) AS iz)),
-    t AS (SELECT g.pit, ix, iy, gx, gy, kg, gx - x AS wx, gy - y AS wy, gz - z_collar AS wz, x_toe - x AS vx, y_toe - y AS vy, z_toe - z_collar AS vz FROM g JOIN holes h ON g.pit = h.pit),
-    u AS (SELECT *, greatest(0, least(1, (wx * vx + wy * vy + wz * vz) / (vx * vx + vy * vy + vz * vz))) AS k FROM t),
-    m AS (SELECT pit, ix, iy, any_value(gx) AS x, any_value(gy) AS y, sum(kg * exp(-greatest(power(wx - k * vx, 2) + power(wy - k * vy, 2) + power(wz - k * vz, 2), 0.0001) / 1800)) AS e FROM u GROUP BY pit, ix, iy)
+@query("energy_grid_default", f"WITH {_field_sql(20, 20, 5)} SELECT {_NODES} FROM field")
+def _(spark, d):
+    return tidy(attribution.energy_grid(bridge.holes(spark, d), ["pit"]).select("pit", "ix", "iy", "iz", "energy"), 4)
+
+
+@query("hole_density_grid", f"WITH {_field_sql(10, 10, 4, '1')} SELECT {_NODES} FROM field")
+def _(spark, d):
+    return tidy(attribution.energy_grid(bridge.holes(spark, d), ["pit"], 10, 10, 4, value=None).select("pit", "ix", "iy", "iz", "energy"), 4)
+
+
+@query("energy_map", f"""WITH {_field_sql(6, 6, 3)}, m AS (SELECT pit, ix, iy, any_value(x) AS x, any_value(y) AS y, sum(e) AS e FROM field GROUP BY pit, ix, iy)
     SELECT pit, CAST(ix AS INTEGER) AS ix, CAST(iy AS INTEGER) AS iy, {r('x', digits=4)}, {r('y', digits=4)}, {r('e', 'energy', 4)}, {r('max(e) OVER (PARTITION BY pit)', 'e_max', 4)} FROM m""")
 def _(spark, d):
     return tidy(attribution.energy_map(attribution.energy_grid(bridge.holes(spark, d), ["pit"], 6, 6, 3), ["pit"]), 4)

@@ -182,6 +182,34 @@ def test_attribution_ranks_by_charge_over_distance(spark):
     assert attribution.nest_attribution(attribution.attribute_holes(f, h, ["pit"]), ["pit"]).first()["top_holes"][0]["hole_id"] == "H2"
 
 
+def test_energy_grid_equals_the_plain_sum(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [("A", *map(float, rng.uniform(0, 3000, 2)), 100.0, *map(float, rng.uniform(0, 3000, 2)), 85.0, float(rng.uniform(1, 9))) for _ in range(60)]
+    rows += [("A", 5.0, 5.0, 100.0, 5.0, 5.0, 100.0, 3.0)] * 4 + [("B", 7.0, 8.0, 90.0, 7.0, 8.0, 80.0, None), ("B", 7.0, 8.0, 90.0, 7.0, 8.0, 80.0, 2.0), ("A", 1.0, 1.0, 1.0, None, 1.0, 1.0, 5.0)]
+    holes = spark.createDataFrame(rows, "pit string, x double, y double, z_collar double, x_toe double, y_toe double, z_toe double, kg double").repartition(5)
+    monkeypatch.setattr(attribution, "TILE", 7)
+    monkeypatch.setattr(attribution, "TERMS", 50)
+    for shape in ((5, 4, 3), (2, 2, 2), (11, 3, 2)):
+        got = {(r["pit"], r["ix"], r["iy"], r["iz"]): (r["x"], r["y"], r["z"], r["energy"]) for r in attribution.energy_grid(holes, ["pit"], *shape, radius=12.0).collect()}
+        assert len(got) == 2 * shape[0] * shape[1] * shape[2]
+        for pit in "AB":
+            h = np.array([r[1:] for r in rows if r[0] == pit and r[4] is not None], float)
+            h[np.isnan(h[:, 6]), 6] = 0.0
+            low, high = np.r_[h[:, :2].min(0), h[:, 5].min()], np.r_[h[:, :2].max(0), h[:, 2].max()]
+            flat = high - low < 1e-9
+            low, high = np.where(flat, low - 12.0, low), np.where(flat, high + 12.0, high)
+            for (p, *at), (x, y, z, e) in got.items():
+                if p != pit:
+                    continue
+                spot = low + np.array(at) * (high - low) / (np.array(shape) - 1)
+                assert np.allclose(spot, (x, y, z))
+                v, w = h[:, 3:6] - h[:, :3], spot - h[:, :3]
+                t = np.clip((w * v).sum(1) / np.where((v * v).sum(1) == 0, 1e-6, (v * v).sum(1)), 0, 1)
+                d2 = np.maximum(((w - t[:, None] * v) ** 2).sum(1), 1e-4)
+                assert e == pytest.approx(float((h[:, 6] * np.exp(-d2 / 288)).sum()), rel=1e-9, abs=1e-300)
+    assert attribution.energy_grid(holes.limit(0), ["pit"]).count() == 0
+
+
 def test_energy_density_zero_far_away(spark):
     h = spark.createDataFrame([("H1", 0.0, 0.0, 100.0, "M", 0)], "hole_id string, x double, y double, kg double, malla string, pit int")
     p = spark.createDataFrame([(0, 10.0, 0.0), (0, 500.0, 0.0), (0, 0.0, 0.0)], "pit int, fx double, fy double")
