@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import DETECTION
 from ..functions.geometry import direction
 from ..functions.numeric import clamp
+from ..session import cut_lineage
 from .spatial import cell, components
 
 SURFACE = ["surface_id", "kind"]
@@ -224,6 +225,66 @@ def chain(segments: DataFrame, keys: list[str]) -> DataFrame:
     return named.join(part, named["_a"] == part["node"]).drop("_a", "_b", "node")
 
 
+def _ranked(arcs: DataFrame) -> DataFrame:
+    """List ranking by pointer doubling of arcs (id, next, start, end): each round doubles the arcs that a row has seen ahead.
+
+    Result: id, last (the arc its chain ends with; null on a ring), ahead (arcs after it), stop (the chain's last point), low
+    (the smallest (start, end) seen, on a ring that of the whole ring). Rounds: the logarithm of the longest chain. It is
+    done when no arc newly sees its chain's end (one just out of sight would have) and no smallest arc changes.
+    """
+    rows = cut_lineage(arcs.select("id", F.coalesce("next", "id").alias("to"), F.when(F.col("next").isNull(), 0).otherwise(1).cast("long").alias("ahead"),
+                                   F.col("next").isNull().alias("done"), F.col("end").alias("stop"), F.struct("start", "end").alias("low")))
+    while True:
+        seen = rows.select(*[F.col(c).alias(f"_{c}") for c in ("id", "to", "ahead", "done", "stop", "low")])
+        jumped = rows.join(seen, F.col("to") == F.col("_id"))
+        moved = ~F.col("done") & (F.col("_done") | (F.col("_low") < F.col("low")))
+        rows = cut_lineage(jumped.select(
+            "id", F.when(F.col("done"), F.col("to")).otherwise(F.col("_to")).alias("to"), F.when(F.col("done"), F.col("ahead")).otherwise(F.col("ahead") + F.col("_ahead")).alias("ahead"),
+            (F.col("done") | F.col("_done")).alias("done"), F.when(F.col("done"), F.col("stop")).otherwise(F.col("_stop")).alias("stop"), F.least("low", "_low").alias("low"), moved.alias("moved")))
+        if rows.where("moved").isEmpty():
+            return rows.select("id", F.when(F.col("done"), F.col("to")).alias("last"), "ahead", "stop", "low")
+
+
+def ordered_polylines(segments: DataFrame, keys: list[str]) -> DataFrame:
+    """Segments (keys, a, b) in drawing order: keys, polyline, pos (from 0), a, b, closed, is_last.
+
+    Lines end where a point has one or more than two segments; a ring starts at its smallest point towards the smaller
+    neighbour, an open line at the smaller one of its ends. Repeated segments count once. ``polyline`` is a number of no
+    further meaning.
+    """
+    # places in the order of writing give every segment a number
+    single = cut_lineage(segments.select(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct().withColumn("seg", F.monotonically_increasing_id()))
+    way = lambda i, u, v: F.struct((F.col("seg") * 2 + i).alias("id"), F.col(u).alias("start"), F.col(v).alias("end"))
+    arcs = single.select(*keys, "seg", F.explode(F.array(way(0, "a", "b"), way(1, "b", "a"))).alias("w")).select(*keys, "seg", "w.*")
+    # two arcs leave a point in the middle of a line; who comes in against the one goes on with the other
+    leaving = arcs.groupBy(*keys, "start").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("i"), F.max("id").alias("j")).where("n = 2")
+    turn = lambda c, d: F.struct(F.col(c).bitwiseXOR(F.lit(1)).alias("came"), F.col(d).alias("next"))
+    onward = leaving.select(F.explode(F.array(turn("i", "j"), turn("j", "i"))).alias("t")).select("t.*")
+    linked = cut_lineage(arcs.join(onward, F.col("id") == F.col("came"), "left").select("id", "next", "start", "end"))
+    ranked = _ranked(linked)
+    # of the two directions of an open line the one that ends at the larger point, of a ring's the one with the smaller low
+    half = ranked.withColumn("seg", F.shiftright("id", 1))
+    chosen = cut_lineage(half.groupBy("seg").agg(
+        F.max(F.when(F.col("last").isNotNull(), F.struct("stop", F.struct("last", "ahead", "id").alias("r")))).alias("o"), F.min(F.when(F.col("last").isNull(), F.struct("low", "id"))).alias("c")))
+    opened = chosen.where("o IS NOT NULL").select("o.r.id", F.col("o.r.last").alias("polyline"), F.col("o.r.ahead").alias("ahead"), F.lit(False).alias("closed"))
+    ring = chosen.where("o IS NULL").select("c.id", "c.low").join(linked, "id")
+    if not ring.isEmpty():
+        first = ring.where((F.col("start") == F.col("low.start")) & (F.col("end") == F.col("low.end"))).select(F.col("id").alias("_first"))
+        cut = ring.join(first, F.col("next") == F.col("_first"), "left").select("id", F.when(F.col("_first").isNull(), F.col("next")).alias("next"), "start", "end")
+        opened = opened.unionByName(_ranked(cut).select("id", F.col("last").alias("polyline"), "ahead", F.lit(True).alias("closed")))
+    sizes = opened.groupBy("polyline").agg(F.max("ahead").alias("most"))
+    placed = opened.join(sizes, "polyline").select("id", "polyline", (F.col("most") - F.col("ahead")).alias("pos"), "closed", (F.col("ahead") == 0).alias("is_last"))
+    directed = arcs.select(*keys, "id", F.col("start").alias("a"), F.col("end").alias("b"))
+    return directed.join(placed, "id").select(*keys, "polyline", "pos", "a", "b", "closed", "is_last")
+
+
+def polyline_points(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Points of ordered polylines: keys, polyline, closed, pos, point; the last point of a ring is its first one again."""
+    point = lambda pos, p: F.struct(pos.alias("pos"), F.col(p).alias("point"))
+    ends = F.array_compact(F.array(point(F.col("pos"), "a"), F.when(F.col("is_last"), point(F.col("pos") + 1, "b"))))
+    return lines.select(*keys, "polyline", "closed", F.explode(ends).alias("p")).select(*keys, "polyline", "closed", "p.pos", "p.point")
+
+
 def contour_segments(triangles: DataFrame, interval: float = 15.0) -> DataFrame:
     """Contour pieces per facet and level; a corner on a level counts as above it."""
     z = lambda f: f(*[F.col(f"{v}.z") for v in CORNERS])

@@ -123,6 +123,25 @@ def _(spark, d):
     return _lines(_tri(spark, d).where("kind = 'topo'"))
 
 
+# the wall folds along whole grid columns, in the as-built surface too; lines run from the first row of vertices on
+@query("breakline_points", f"""WITH c AS (SELECT o_orderkey // 1000 AS pit, (o_orderkey % 1000) % 40 AS i, (o_orderkey % 1000) // 40 AS j FROM orders
+      WHERE (o_orderkey % 1000) % 40 BETWEEN 1 AND 38 AND (o_orderkey % 1000) // 40 < 24),
+    v AS (SELECT pit, i, j FROM c UNION SELECT pit, i, j + 1 FROM c), k AS (SELECT *, pit * 1000 + j * 40 + i AS key, unnest(['design', 'topo']) AS kind FROM v)
+    SELECT concat('pit-', pit) AS surface_id, kind, CASE WHEN i % 2 = 0 THEN 'crest' ELSE 'toe' END AS line_kind, CAST(row_number() OVER (PARTITION BY pit, kind, i ORDER BY j) - 1 AS BIGINT) AS pos,
+    {r('(i // 2) * 14.5 + (i % 2) * 5.5', 'x')}, {r('j * 12', 'y')}, {r("4000.0 - 15 * ((i + 1) // 2) + CASE WHEN kind = 'topo' THEN ((key * 7) % 11 - 5) / 10.0::DOUBLE ELSE 0 END", 'z')} FROM k""")
+def _(spark, d):
+    keys = ["surface_id", "kind", "line_kind"]
+    lines = surfaces.ordered_polylines(surfaces.breakline_edges(_tri(spark, d)), keys)
+    return tidy(surfaces.polyline_points(lines, keys).select(*keys, "pos", "point.x", "point.y", "point.z"))
+
+
+@query("contour_points")
+def _(spark, d):
+    keys = ["surface_id", "kind", "elevation"]
+    lines = surfaces.ordered_polylines(surfaces.contour_segments(_tri(spark, d), 10.0), keys)
+    return tidy(surfaces.polyline_points(lines, keys).select(*keys, "closed", "pos", "point.x", "point.y"))
+
+
 # a facet with one corner exactly on the level and the others below touches it in a point, which is no segment
 @query("contour_segments", f"""WITH {T}, lv0 AS (SELECT CAST(3600 + 10 * unnest(range(60)) AS DOUBLE) AS lv), e AS (SELECT surface_id, lv, (z0 >= lv)::INTEGER + (z1 >= lv)::INTEGER + (z2 >= lv)::INTEGER AS na,
     greatest(z0, z1, z2) AS top FROM tri JOIN lv0 ON lv >= least(z0, z1, z2) AND lv <= greatest(z0, z1, z2) WHERE kind = 'topo')

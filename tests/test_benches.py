@@ -205,6 +205,34 @@ def test_sections_of_one_name_in_several_pits_stay_apart(spark):
         assert sorted(gaps.get(key, [])) == sorted(expected)
 
 
+def test_polylines_in_drawing_order(spark):
+    rng = np.random.default_rng(2)
+    point = lambda x, y: (float(x), float(y))
+    line = [point(3 * i, (i * 7) % 5) for i in range(41)]
+    ring = [point(100 + 9 * math.cos(0.3 * i), 9 * math.sin(0.3 * i)) for i in range(20)]
+    small = [point(200, 0), point(201, 0), point(200, 1)]
+    star = [[point(300, 0), point(300 + 5 * math.cos(a), 5 * math.sin(a)), point(300 + 9 * math.cos(a), 9 * math.sin(a))] for a in (0.1, 2.1, 4.1)]
+    wanted, pieces = [], []
+    for key, shape, closed in (("A", line, False), ("A", ring, True), ("B", ring, True), ("B", small, True), *[("A", s, False) for s in star], ("B", line[:2], False)):
+        path = shape + shape[:1] if closed else shape
+        pieces += [(key, *((p, q) if rng.random() < 0.5 else (q, p))) for p, q in zip(path, path[1:])]
+        if closed:
+            at = shape.index(min(shape))
+            turned = shape[at:] + shape[:at]
+            turned = turned if turned[1] < turned[-1] else turned[:1] + turned[:0:-1]
+            wanted.append((key, True, turned + turned[:1]))
+        else:
+            wanted.append((key, False, shape if shape[0] < shape[-1] else shape[::-1]))
+    pieces += [pieces[0], (pieces[1][0], pieces[1][2], pieces[1][1]), ("A", point(5, 5), point(5, 5))]
+    df = spark.createDataFrame(pieces, "k string, a struct<x:double,y:double>, b struct<x:double,y:double>").repartition(5)
+    lines = surfaces.ordered_polylines(df, ["k"])
+    got = {}
+    for r in surfaces.polyline_points(lines, ["k"]).orderBy("polyline", "pos").collect():
+        got.setdefault((r["k"], r["closed"], r["polyline"]), []).append(tuple(r["point"]))
+    assert sorted((k, c, p) for (k, c, _), p in got.items()) == sorted(wanted)
+    assert surfaces.ordered_polylines(df.limit(0), ["k"]).count() == 0
+
+
 def test_every_bench_of_close_sections_appears_once(spark):
     rows, (design, topo) = close_benches(spark, 5)
     add = lambda df: df.withColumns({"face_angle": F.lit(70.0), "berm_width": F.lit(9.0), "sector": F.lit("N")})
