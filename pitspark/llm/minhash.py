@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from .common import bounded_batches, WordIds, components, mix64, split_words, stored, window_hashes, worker_cache
 
 PERMUTATIONS, BANDS, BAND_ROWS, BITS = 240, 20, 6, 1024
-BLOCK = 192  # members compared in one task with as many others
+BLOCK, VOLUME = 384, 400_000  # members, and shingles of their sets, that are compared in one task with as many others
 MARGIN = 0.11  # more than four deviations of the sketch's estimate at similarity 0.85
 
 
@@ -99,16 +99,17 @@ def _features(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """``rep, shingles``."""
-    schema = T.StructType([T.StructField("rep", docs.schema["doc_id"].dataType), T.StructField("shingles", T.ArrayType(T.LongType()))])
+    """``rep`` (the set's fingerprint), ``shingles``."""
+    import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = worker_cache("words", WordIds)
         for batch in batches:
-            sets = [shingle_set(words.of(split_words(t.as_py(), lower=True)), size).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "shingles"])
+            sets = [shingle_set(words.of(split_words(t.as_py(), lower=True)), size) for t in batch.column(0)]
+            prints = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(prints, pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["rep", "shingles"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.select("text").mapInArrow(run, "rep binary, shingles array<long>")
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -118,9 +119,12 @@ def estimate(a: Column, b: Column) -> Column:
     return F.when(share > 0, 1 + F.lit(BITS / (4 * PERMUTATIONS)) * F.log(share)).otherwise(F.lit(0.0))
 
 
-def likely_pairs(block: pd.DataFrame, percent: int, best: int | None) -> pd.DataFrame:
-    """Pairs between two blocks (or within one) of different labels whose estimate allows a link and that share no earlier
-    band; each member's ``best`` ones or all. ``na, nb`` are the sizes of their sets."""
+def block_links(block: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links ``a, b`` that join the labels of two blocks (or of one), confirmed on the full sets.
+
+    Pairs of different labels whose estimate allows a link and that share no earlier band are taken from the most alike
+    on; a pair whose labels earlier links have joined is passed over. So there are fewer links than members, and the
+    labels they join are those that all linked pairs of the blocks would join."""
     first, second = block["bi"].iloc[0], block["bj"].iloc[0]
     rows, cols = block[block["block"] == first], block[block["block"] == second]
 
@@ -135,88 +139,96 @@ def likely_pairs(block: pd.DataFrame, percent: int, best: int | None) -> pd.Data
     value = 1 + BITS / (4 * PERMUTATIONS) * np.log(np.maximum(share, 1e-9))
     n, m = rows["n"].to_numpy(), cols["n"].to_numpy()
     fits = (value >= percent / 100 - MARGIN) & (np.minimum(n[:, None], m) * 100 >= np.maximum(n[:, None], m) * percent)
-    fits &= rows["label"].to_numpy()[:, None] != cols["label"].to_numpy()[None, :]
+    label = {name: k for k, name in enumerate(block["label"].unique())}
+    p, q = (np.array([label[v] for v in d["label"]], np.int64) for d in (rows, cols))
+    fits &= p[:, None] != q[None, :]
     here = np.uint64(int(block["key"].iloc[0]) % (1 << 64))
     x, y = words("bands")
     for band in range(x.shape[1]):
         if len(x) and x[0, band] == here:  # a key holds its band's number, so all members have it at this place
             break
         fits &= x[:, band, None] != y[None, :, band]
-    if best is not None:
-        ranked = np.where(fits, -value, np.inf)
-        pick = np.zeros_like(fits)
-        for axis in (0, 1):
-            k = min(best, ranked.shape[axis])
-            np.put_along_axis(pick, np.argpartition(ranked, k - 1, axis).take(range(k), axis), True, axis)
-        fits &= pick
     i, j = np.nonzero(fits)
-    a, b, na, nb = rows["rep"].to_numpy()[i], cols["rep"].to_numpy()[j], n[i], m[j]
-    swap = a > b
-    pairs = {"a": np.where(swap, b, a), "b": np.where(swap, a, b), "na": np.where(swap, nb, na), "nb": np.where(swap, na, nb)}
-    return pd.DataFrame(pairs).drop_duplicates(["a", "b"])
+    order = np.argsort(-value[i, j], kind="stable")
+    root = np.arange(len(label))
+
+    def top(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
 
+    links = []
+    a, b, sa, sb = rows["rep"].to_numpy(), cols["rep"].to_numpy(), rows["shingles"].to_numpy(), cols["shingles"].to_numpy()
+    for r, c in zip(i[order], j[order]):
+        u, v = top(p[r]), top(q[c])
+        if u != v:
+            common = len(np.intersect1d(sa[r], sb[c], assume_unique=True))
+            if common * 100 >= (n[r] + m[c] - common) * percent:
+                root[u] = v
+                links.append((min(a[r], b[c]), max(a[r], b[c])))
+    return pd.DataFrame({"a": [u for u, _ in links], "b": [v for _, v in links]})
 
-def _compare(percent: int, best: int | None):
-    return lambda block: likely_pairs(block, percent, best)
+
+def _compare(percent: int):
+    return lambda block: block_links(block, percent)
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = 85, size: int = 5) -> DataFrame:
     """Links documents with ``100 * |A & B| >= percent * |A | B|`` of their distinct ``size``-word shingles.
 
     Words are runs of characters other than ASCII white space, A-Z folded. A text with fewer words is one shingle; a
-    null or wordless text has none and links with nothing. Rows with equal ids are one document; a row without an id
-    links with nothing. Other columns are ignored; an empty table gives no rows. Documents with equal sets are one
-    representative (the smallest id) while candidates are searched. ``percent`` should be 80 or more for the bands.
+    null or wordless text has none and links with nothing. A row without an id links with nothing; rows with equal ids are
+    compared each by its own text. Other columns are ignored; an empty table gives no rows. Equal sets, told by a 128-bit
+    fingerprint, are one representative while candidates are searched. ``percent`` is 80 or more, for the bands.
     A pair just at the threshold that no other document links is missed by the bands with chance 0.008 % at 85 and
     0.0005 % at 80 (``bands_of``).
 
     Result, a row per input row: ``doc_id, n_shingles, component_id`` (smallest id reachable), ``kept``.
     """
+    if not 80 <= percent <= 100:
+        raise ValueError("the bands are made for similarities of 80 to 100 percent")
     slim = bounded_batches(docs).select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     features = stored(_features(slim, size, percent), "minhash-features")
     usable = features.where("n > 0 AND doc_id IS NOT NULL")
-    reps = stored(usable.groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "minhash-reps")
-    buckets = reps.select("rep", F.explode("bands").alias("key"))
-    crowded = stored(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "minhash-crowded")
-    members = stored(buckets.join(crowded, "key"), "minhash-members")
+    reps = stored(usable.groupBy(F.col("print").alias("rep")).agg(
+        F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "minhash-reps")
+    buckets = reps.select("rep", "n", F.explode("bands").alias("key"))
+    crowded = stored(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("volume")).where("members > 1"), "minhash-crowded")
+    members = stored(buckets.drop("n").join(crowded, "key"), "minhash-members")
     weights = stored(members.groupBy("rep").agg(F.sum("members").alias("weight")), "minhash-weights")
     leads = members.join(weights, "rep").groupBy("key").agg(F.max(F.struct("weight", "rep"))["rep"].alias("lead"))
     leads = stored(leads, "minhash-leads")
-    involved = members.select("rep").distinct()
-    sets = stored(_sets(slim.join(stored(involved.withColumnRenamed("rep", "doc_id"), "minhash-involved"), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text"), size), "minhash-sets")
-    sketches = stored(reps.join(involved, "rep").select("rep", "n", "sketch", "bands"), "minhash-sketches")
-
-    def judged(likely: DataFrame) -> DataFrame:
-        """The pairs ``a, b`` that the full sets confirm."""
-        full = {x: sets.select(F.col("rep").alias(x), F.col("shingles").alias(f"h{x}")) for x in "ab"}
-        common = likely.join(full["a"], "a").join(full["b"], "b").withColumn("c", F.size(F.array_intersect("ha", "hb")))
-        return stored(common.where(F.col("c") * 100 >= (F.col("na") + F.col("nb") - F.col("c")) * percent).select("a", "b"), "minhash-links")
+    sketches = stored(reps.join(weights.select("rep"), "rep"), "minhash-sketches")
+    wanted = sketches.select(F.col("first_id").alias("doc_id")).distinct()
+    sets = _sets(slim.join(wanted, "doc_id"), size).join(sketches.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
+    sets = stored(sets, "minhash-sets")
 
     star = members.join(leads, "key").where("rep <> lead")
     star = star.select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")).distinct()
     s = {x: sketches.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab"}
     likely = star.join(s["a"], "a").join(s["b"], "b")
     likely = likely.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).where(estimate(F.col("sa"), F.col("sb")) >= percent / 100 - MARGIN)
-    done = stored(likely.select("a", "b", "na", "nb"), "minhash-likely")
-    links = judged(done)
+    likely = stored(likely.select("a", "b", "na", "nb"), "minhash-likely")
+    full = {x: sets.select(F.col("rep").alias(x), F.col("shingles").alias(f"h{x}")) for x in "ab"}
+    common = likely.join(full["a"], "a").join(full["b"], "b").withColumn("c", F.size(F.array_intersect("ha", "hb")))
+    links = stored(common.where(F.col("c") * 100 >= (F.col("na") + F.col("nb") - F.col("c")) * percent).select("a", "b"), "minhash-links")
     labels = components(links, "minhash-labels")
-    kind = docs.schema[id_column].dataType.simpleString()
-    for best in (1, None):
-        known = members.where("members > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        known = stored(known, "minhash-known")
-        mixed = stored(known.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("key"), "minhash-mixed")
-        if mixed.isEmpty():
-            break
-        blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-        active = known.join(mixed, "key").join(sketches, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+    # what the links to each group's lead have not joined is compared block by block
+    known = members.where("members > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    known = stored(known, "minhash-known")
+    mixed = stored(known.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("key"), "minhash-mixed")
+    if not mixed.isEmpty():
+        blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("volume") / VOLUME)).cast("int")
+        active = known.join(mixed, "key").join(sketches.select("rep", "n", "sketch", "bands"), "rep").join(sets, "rep")
+        active = active.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
         active = active.withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        active = active.select("key", "rep", "label", "n", "sketch", "bands", "block", F.least("block", "_other").alias("bi"), F.greatest("block", "_other").alias("bj"))
-        pairs = active.groupBy("key", "bi", "bj").applyInPandas(_compare(percent, best), f"a {kind}, b {kind}, na long, nb long")
-        fresh = stored(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"), "minhash-likely")
-        more, done = judged(fresh), done.union(fresh)
+        active = active.select("key", "rep", "label", "n", "sketch", "bands", "shingles", "block", F.least("block", "_other").alias("bi"), F.greatest("block", "_other").alias("bj"))
+        more = stored(active.groupBy("key", "bi", "bj").applyInPandas(_compare(percent), "a binary, b binary"), "minhash-links")
         if not more.isEmpty():
-            links = links.union(more)
-            labels = components(links, "minhash-labels")
-    of_rep = stored(reps.select("print", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("print", F.coalesce("label", "rep").alias("component_id")), "minhash-result")
+            labels = components(links.union(more), "minhash-labels")
+    joined = reps.select("rep", "first_id").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    smallest = joined.groupBy("label").agg(F.min("first_id").alias("component_id"))
+    of_rep = stored(joined.join(smallest, "label").select(F.col("rep").alias("print"), "component_id"), "minhash-result")
     out = features.join(of_rep, "print", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -7,7 +7,9 @@ each other: no shuffle, no sort, and memory for one open sequence per class.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+import sys
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +19,10 @@ from pyspark.sql import types as T
 
 from .common import bounded_batches, worker_cache
 
+LONGEST_KEPT = 64  # characters of a run that is remembered
+if array("I").itemsize != 4 or sys.byteorder != "little":
+    raise ImportError("token ids are packed as this machine's unsigned integers, which must be little-endian and of 32 bits")
+
 
 class WordTokens:
     """Token ids, as packed little-endian 32-bit integers, of texts cut at plain spaces.
@@ -32,38 +38,40 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.most, self.runs, self.parts = most, {}, {}
+        self.runs, self.parts = Remembered(most, self._run), Remembered(most, self._encode)
         self.two = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)").fullmatch
 
     def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _part(self, text: str) -> bytes:
-        found = self.parts.get(text)
-        if found is None:
-            if len(self.parts) >= self.most:
-                self.parts.clear()
-            found = self.parts[text] = self._encode(text)
-        return found
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _run(self, run: str) -> bytes:
         cut = self.two(run)
         if cut and "<|" not in run:
-            return self._part(cut[1].lower()) + (self._part(cut[2]) if cut[2] else b"")
+            return self.parts[cut[1].lower()] + (self.parts[cut[2]] if cut[2] else b"")
         return self._encode(run) if run else b""
 
     def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        runs, known = text.replace("\n", " ").split(" "), self.runs
-        out = list(map(known.get, runs))
-        if None in out:
-            if len(known) >= self.most:
-                known.clear()
-            for i, found in enumerate(out):
-                if found is None:
-                    out[i] = known[runs[i]] = self._run(runs[i])
-        return b"".join(out)
+        return b"".join(map(self.runs.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
+
+
+class Remembered(dict):
+    """Values of ``make`` for short texts, in two generations of ``most`` each: a full young one becomes the old one, and what is
+    used again moves over."""
+
+    def __init__(self, most: int, make: Callable[[str], bytes]):
+        super().__init__()
+        self.most, self.make, self.old = most, make, {}
+
+    def __missing__(self, text: str) -> bytes:
+        found = self.old.get(text)
+        if found is None:
+            found = self.make(text)
+        if len(text) <= LONGEST_KEPT:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[text] = found
+        return found
 
 
 def cut_plan(length: int, capacity: int, slack: float) -> list[tuple[int, int]]:
@@ -87,14 +95,15 @@ def powers(length: int) -> list[int]:
 
 
 def harmonic_pack(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column: str = "text", end_id: int = 1,
-                  capacity: int = 2048, slack: float = 1 / 64) -> DataFrame:
+                  capacity: int = 2048, slack: float = 1 / 64, remembered: int = 200_000) -> DataFrame:
     """Packs all documents into sequences of at most ``capacity`` tokens.
 
     A document's tokens are its ids without special tokens, then ``end_id``; a null or empty text has the end id alone.
     Full sequences of a document stand by themselves; the rest is cut by ``cut_plan``. What is still open at a worker's
     end is laid end to end into sequences of full capacity and a last few whose lengths are powers of two, which need
     no padding. ``capacity`` must be a power of two. Repeated rows and repeated or null document ids are packed as
-    separate documents; other columns are ignored; an empty table gives no rows.
+    separate documents; other columns are ignored; an empty table gives no rows. ``remembered``: distinct runs (and parts of
+    runs) of up to 64 characters whose ids a worker keeps in each of two generations, about 200 bytes apiece.
 
     Result, a row per piece: ``doc_id, start, length, ids`` (packed little-endian 32-bit), ``doc_tokens, sequence_id,
     offset``. Sequence ids are the partition number times 2^40 plus a counter.
@@ -106,7 +115,7 @@ def harmonic_pack(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", te
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = worker_cache("tokens_" + tokenizer, lambda: WordTokens(tokenizer))
+        encode = worker_cache(f"tokens {remembered} {tokenizer}", lambda: WordTokens(tokenizer, remembered))
         plans = [cut_plan(n, capacity, slack) for n in range(capacity)]
         end, sequence = np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId() << 40
         bins: dict[int, list] = {}  # class -> [sequence id, tokens so far, pieces]

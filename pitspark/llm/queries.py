@@ -30,7 +30,7 @@ def tokenizer_path() -> str:
 
 @query("op1_harmonic_packing")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.harmonic_pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    pieces = packing.harmonic_pack(table(spark, sf_dir, "documents"), tokenizer_path(), remembered=500_000)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
