@@ -149,6 +149,44 @@ def test_groups_whose_members_differ_from_the_lead(spark):
     assert got == expected
 
 
+def test_rows_of_one_id_are_compared_by_their_own_texts(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(200)) for c in "ab")
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, "z " + b), (5, None), (None, a)]
+    got = sorted(map(str, ((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())))
+    assert got == sorted(map(str, [(1, 196, 1, True), (1, 196, 1, True), (2, 197, 1, False), (3, 197, 1, False), (4, 197, 1, False), (5, 0, 5, True), (None, 196, None, True)]))
+    with pytest.raises(ValueError):
+        minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=70)
+
+
+def test_block_links_are_a_forest_over_all_confirmed_pairs():
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    base = np.unique(rng.integers(0, 2**62, 300)).astype(np.uint64)
+    members, sign = [], minhash.Signer(minhash.bands_of(85))
+    for k in range(70):
+        own = base.copy()
+        own[rng.choice(len(own), rng.integers(0, 40), replace=False)] = rng.integers(0, 2**62, 1)[0] + np.arange(1, dtype=np.uint64)
+        own = np.unique(own)
+        bands, sketch = sign(own)
+        members.append((bytes([k]) * 16, own, len(own), bands, sketch))
+    key = -1  # shared by no band, so that no pair is left to an earlier one
+    block = pd.DataFrame([{"key": key, "rep": r, "label": members[k // 2 * 2][0], "n": n, "sketch": sk, "bands": b, "shingles": s.view(np.int64), "block": k % 2, "bi": 0, "bj": 1}
+                          for k, (r, s, n, b, sk) in enumerate(members)])
+    links = minhash.block_links(block, 85)
+    assert len(links) < 35 and set(links.columns) == {"a", "b"}
+    by = {r: set(s.tolist()) for r, s, *_ in members}
+    alike = lambda a, b: 100 * len(by[a] & by[b]) >= 85 * len(by[a] | by[b])
+    assert all(alike(a, b) for a, b in zip(links["a"], links["b"]))
+    label, names = {m[0]: members[k // 2 * 2][0] for k, m in enumerate(members)}, [m[0] for m in members]
+    bands = {m[0]: set(m[3].tolist()) for m in members}
+    joined = components_of(sorted(set(label.values())), lambda u, v: any({label[a], label[b]} == {u, v} for a, b in zip(links["a"], links["b"])))
+    # every pair between the blocks that the operator may link is joined (pairs that share a band are another group's)
+    wanted = components_of(sorted(set(label.values())), lambda u, v: any(
+        {label[names[i]], label[names[j]]} == {u, v} and alike(names[i], names[j]) and not bands[names[i]] & bands[names[j]] for i in range(0, 70, 2) for j in range(1, 70, 2)))
+    assert joined == wanted
+
+
 def expected_spans(texts, n=50):
     where, words = {}, {i: WORD.findall(t or "") for i, t in enumerate(texts)}
     for d, w in words.items():
