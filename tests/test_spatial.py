@@ -108,3 +108,19 @@ def test_quantiles_leave_out_non_finite_values(spark):
 
     rows = [(float(i),) for i in range(51)] + [(float("inf"),), (float("-inf"),), (float("nan"),), (None,)]
     assert exact_quantiles(spark.createDataFrame(rows, "v double"), "v", [0.0, 0.5, 1.0], small=10) == [0.0, 25.0, 50.0]
+
+
+@pytest.mark.parametrize("ring", [[(0, 0), (100, 0), (100, 100), (0, 100)], [(0, 0), (100, 0), (100, 100), (60, 100), (50, 20), (40, 100), (0, 100)]])
+def test_cells_of_many_sites_equal_those_of_each_alone(ring):
+    from pitspark.operators import influence
+
+    rng = np.random.default_rng(len(ring))
+    corners = [(float(x), float(y), -1) for x, y in ring]
+    sites = rng.uniform(-10, 110, (300, 2))
+    sites[:60] = np.round(sites[:60] / 10) * 10  # a lattice, with equal distances and some repeated sites
+    sites = np.concatenate([sites, rng.normal(50, 0.5, (60, 2))])
+    cells, reach = influence.cells_among(sites[:, 0], sites[:, 1], corners, sites)
+    for i, (x, y) in enumerate(sites):
+        cell, far = influence._cell(x, y, list(corners), sites)
+        assert cells.areas()[i] == pytest.approx(influence._shoelace(cell) if cell else 0.0, rel=1e-9, abs=1e-9)
+        assert reach[i] == pytest.approx(far, rel=1e-12) and cells.touches()[i] == any(p[2] < 0 for p in cell)
