@@ -200,8 +200,12 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     leads = members.join(weights, "rep").groupBy("key").agg(F.max(F.struct("weight", "rep"))["rep"].alias("lead"))
     leads = stored(leads, "minhash-leads")
     sketches = stored(reps.join(weights.select("rep"), "rep"), "minhash-sketches")
-    wanted = sketches.select(F.col("first_id").alias("doc_id")).distinct()
-    sets = _sets(slim.join(wanted, "doc_id"), size).join(sketches.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
+    # narrow tables of their own, so that their true size decides whether the texts have to move
+    wanted = stored(sketches.select(F.col("first_id").alias("doc_id")).distinct(), "minhash-wanted")
+    involved = stored(sketches.select("rep"), "minhash-involved")
+    sets = _sets(slim.join(wanted, "doc_id"), size).join(involved, "rep", "left_semi")
+    if not features.join(wanted, "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")).where("times > 1").isEmpty():
+        sets = sets.dropDuplicates(["rep"])  # an id with several rows gives a set for each
     sets = stored(sets, "minhash-sets")
 
     star = members.join(leads, "key").where("rep <> lead")
