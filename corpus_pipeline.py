@@ -5,13 +5,14 @@ of ``docs``. Documents are told apart by ``doc_id``. Extra columns are carried a
 """
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitspark.llm import language, minhash, mixing, packing, suffixes
-from pitspark.llm.common import stored, table
+from pitspark.llm.common import collecting, delete_paths, free_name, stored, table
 from pitspark.llm.queries import tokenizer_path
 
 UNCLAIMED = 0.5  # score of an output of 0: no language claims a text whose best output is not above it
@@ -35,8 +36,9 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     other labelled part. Texts close to a learned language may be claimed by it."""
     model = language.fit(docs.select("doc_id", "text", "lang").where(~language.held_out()))
     margin = claim_margin(docs, model)
-    guessed = language.predict(docs, model, language="_lang_pred", score="_lang_score")
-    return guessed.where((F.col("_lang_pred") != "und") & (F.col("_lang_score") > UNCLAIMED) & (F.col("_lang_score") >= margin)).select(*docs.columns)
+    named, scored = free_name(docs, "_lang_pred"), free_name(docs, "_lang_score")
+    guessed = language.predict(docs, model, language=named, score=scored)
+    return guessed.where((F.col(named) != "und") & (F.col(scored) > UNCLAIMED) & (F.col(scored) >= margin)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,13 +46,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     an id are one document, of which one row stays (the smallest text). Documents without an id all stay. The bands miss a
     pair at 0.80 with chance 0.0005 %."""
     found = minhash.near_duplicates(docs, percent=80)
-    kept = stored(found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")), "pipeline-kept")
-    rows = docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id") == F.col("_kept"))
-    single = rows.where("_rows = 1").select(*docs.columns)
+    owner, times = free_name(docs, "_kept"), free_name(docs, "_rows")
+    kept = stored(found.where("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(owner)).agg(F.count(F.lit(1)).alias(times)), "pipeline-kept")
+    rows = docs.join(kept, F.col("doc_id") == F.col(owner))
+    single = rows.where(F.col(times) == 1).select(*docs.columns)
     alone = docs.where("doc_id IS NULL")
-    if kept.where("_rows > 1").isEmpty():
+    if kept.where(F.col(times) > 1).isEmpty():
         return single.unionByName(alone)
-    several = rows.where("_rows > 1").groupBy("doc_id").agg(F.min(F.struct(F.col("text"), F.struct(*docs.columns).alias("row")))["row"].alias("row")).select("row.*")
+    several = rows.where(F.col(times) > 1).groupBy("doc_id").agg(F.min(F.struct(F.col("text"), F.struct(*docs.columns).alias("row")))["row"].alias("row")).select("row.*")
     return single.unionByName(several.select(*docs.columns)).unionByName(alone)
 
 
@@ -61,10 +64,11 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each document as often as the mix of sources asks for: not at all, or up to three times."""
-    mixed = mixing.mix(docs).groupBy("doc_id", "source").agg(F.max("repeats").alias("_repeats"))
-    mixed = mixed.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "_repeats").where("_repeats > 0")
-    rows = docs.join(mixed, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_repeats").cast("int")))).select(*docs.columns)
+    owner, origin, times, copy = (free_name(docs, n) for n in ("_id", "_source", "_repeats", "_copy"))
+    mixed = mixing.mix(docs).groupBy(F.col("doc_id").alias(owner), F.col("source").alias(origin)).agg(F.max("repeats").alias(times))
+    mixed = stored(mixed.where(F.col(times) > 0), "pipeline-mixed")  # its size decides whether texts move
+    rows = docs.join(mixed, F.col("doc_id").eqNullSafe(F.col(owner)) & F.col("source").eqNullSafe(F.col(origin)))
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,12 +76,33 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+_left: list[str] = []
+
+
+def tidy(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, which first deletes the tables that earlier stages wrote on the way. It does so only where ``docs`` is read
+    from files and none of those tables is among them: then the earlier stage's result has been written."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        files = docs.inputFiles()
+        if files and not any(path in f for f in files for path in _left):
+            delete_paths(spark, _left)
+            _left.clear()
+        with collecting() as paths:
+            out = stage(spark, docs, sf_dir)
+        _left.extend(paths)
+        return out
+
+    return run_stage
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("language_id", known_language),
-    ("minhash_near_dedup", near_dedup),
-    ("suffix_array_dedup", passage_dedup),
-    ("source_mixing", source_mix),
-    ("packing", pack),
+    ("language_id", tidy(known_language)),
+    ("minhash_near_dedup", tidy(near_dedup)),
+    ("suffix_array_dedup", tidy(passage_dedup)),
+    ("source_mixing", tidy(source_mix)),
+    ("packing", tidy(pack)),
 ]
 
 #: The classifier, the confirmed similarity groups and the tokenizer have no SQL; the stages are tested against brute force.

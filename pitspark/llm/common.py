@@ -4,6 +4,8 @@ from __future__ import annotations
 import re
 import sys
 import types
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,9 +21,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_collectors: list[list[str]] = []
+
+
+@contextmanager
+def collecting() -> Iterator[list[str]]:
+    """The paths that ``stored`` writes meanwhile."""
+    paths: list[str] = []
+    _collectors.append(paths)
+    try:
+        yield paths
+    finally:
+        _collectors.remove(paths)
+
+
+def delete_paths(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def free_name(df: DataFrame, wish: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while wish.lower() in taken:
+        wish += "_"
+    return wish
+
+
 def stored(df: DataFrame, purpose: str, partition_by: list[str] | None = None) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back, so that lost executors repeat nothing before it."""
     path = scratch(df.sparkSession, purpose)
+    for paths in _collectors[-1:]:
+        paths.append(path)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, SPLIT, WordIds, split_words, stored, window_hashes, worker_cache
+from .common import bounded_batches, free_name, SPLIT, split_words, stored, window_hashes, WordIds, worker_cache
 
 PASSAGE, SEED = 50, 34
 
@@ -156,7 +156,7 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
     slim = bounded_batches(docs).select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     # written once: range partitioning samples its input before it sorts
     alike = equal_neighbours(stored(_seeds(slim, passage, seed), "suffix-seeds"))
-    holders = alike.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+    holders = stored(alike.groupBy("doc_id").agg(F.collect_set("key").alias("keys")), "suffix-holders")  # its size decides whether texts move
     runs = equal_neighbours(stored(_runs(slim.join(holders, "doc_id"), passage, seed), "suffix-runs"))
     starts = runs.groupBy("doc_id", "later").agg(F.collect_list("start").alias("starts"), F.collect_list("more").alias("more"))
     schema = T.StructType([T.StructField("doc_id", slim.schema["doc_id"].dataType), T.StructField("start", T.LongType()), T.StructField("words", T.LongType()), T.StructField("later", T.BooleanType())])
@@ -200,14 +200,15 @@ def without_words(text: str, spans: list[tuple[int, int]]) -> str:
 
 def cut_repeats(docs: DataFrame, spans: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Documents without their later spans; a document left without words goes. All columns stay."""
-    cut = spans.where("later").groupBy("doc_id").agg(F.collect_list(F.struct("start", "words")).alias("_spans")).withColumnRenamed("doc_id", "_doc")
-    made = "_text_left"
+    parts, owner, made = (free_name(docs, n) for n in ("_spans", "_doc", "_text_left"))
+    cut = spans.where("later").groupBy(F.col("doc_id").alias(owner)).agg(F.collect_list(F.struct("start", "words")).alias(parts))
+    cut = stored(cut, "suffix-cuts")  # its size decides whether texts move
 
     @F.pandas_udf("string")
     def rest(texts: pd.Series, parts: pd.Series) -> pd.Series:
         return pd.Series([t if p is None or t is None else without_words(t, [(s["start"], s["words"]) for s in p]) for t, p in zip(texts, parts)])
 
-    joined = docs.join(cut, F.col(id_column) == F.col("_doc"), "left")
-    left = joined.withColumn(made, F.when(F.col("_spans").isNull(), F.col(text_column)).otherwise(rest(F.col(text_column), F.col("_spans"))))
-    left = left.where(F.col("_spans").isNull() | F.col(made).rlike(r"[^\x20\x09-\x0D]"))
+    joined = docs.join(cut, F.col(id_column) == F.col(owner), "left")
+    left = joined.withColumn(made, F.when(F.col(parts).isNull(), F.col(text_column)).otherwise(rest(F.col(text_column), F.col(parts))))
+    left = left.where(F.col(parts).isNull() | F.col(made).rlike(r"[^\x20\x09-\x0D]"))
     return left.select(*[F.col(made).alias(c) if c == text_column else F.col(c) for c in docs.columns])
