@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .common import worker_cache
+from .common import free_name, worker_cache
 
 SPACE = "▁"
 BREAK = "\n"  # in no piece but its own byte, so what follows it is encoded as if it stood alone
@@ -162,7 +162,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids
     """
     kept = [f for f in docs.schema.fields if f.name not in (ids, decoded)]
     schema = StructType([*kept, StructField(ids, ArrayType(IntegerType(), False), False), StructField(decoded, StringType(), False)])
-    source = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.coalesce(F.col(text), F.lit("")).alias("_text_to_encode"))
+    source = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.coalesce(F.col(text), F.lit("")).alias(free_name(docs, "_text_to_encode")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = worker_cache(f"pieces {model_path}", lambda: Memory(Vocabulary(model_path)))
