@@ -7,7 +7,7 @@ from tools.check import TABLES, canon
 
 FAST = ["hole_toes", "section_correlation", "comparison_rows", "powder_factor_by_section", "holes_behind_bench", "hole_attribution",
         "hole_rejections", "drill_hardness", "surface_cuts", "level_correlation", "comparison_rows_low", "reconciliation_gaps_low", "pf_recommendations_declared_model",
-        "suggested_face_angles", "energy_grid", "stl_files", "dxf_polylines", "mapped_hole_report", "stored_results", "breakline_points"]
+        "suggested_face_angles", "dxf_polylines", "mapped_hole_report", "stored_results"]
 
 
 def test_every_check_has_its_query():
