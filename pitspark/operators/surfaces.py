@@ -86,7 +86,8 @@ def cut_points(triangles: DataFrame, sections: DataFrame, cell_size: float = 50.
     cells = F.array_distinct(F.flatten(F.transform(spots, lambda s: F.transform(ring, lambda o: F.struct((s["cx"] + o["a"]).alias("cx"), (s["cy"] + o["b"]).alias("cy"))))))
     sec = sections.withColumn("_c", F.explode(cells)).withColumn("_cx", F.col("_c.cx")).withColumn("_cy", F.col("_c.cy")).drop("_c")
     side = lambda v: (F.col(f"{v}.x") - F.col("origin_x")) * dy - (F.col(f"{v}.y") - F.col("origin_y")) * dx
-    pairs = tri.join(sec, ["surface_id", "_cx", "_cy"]).withColumns({f"_s{i}": side(v) for i, v in enumerate(CORNERS)})
+    # sizes are estimated before the cells are listed, so neither side may be sent to the driver on their account
+    pairs = tri.join(sec.hint("merge"), ["surface_id", "_cx", "_cy"]).withColumns({f"_s{i}": side(v) for i, v in enumerate(CORNERS)})
     above = [F.col(f"_s{i}") >= 0 for i in range(3)]
     pairs = pairs.where((above[0] != above[1]) | (above[1] != above[2]))
     # a facet and a section can share several cells: the pair is kept once
@@ -200,17 +201,20 @@ def _sub(a: str, b: str) -> list[Column]:
 
 def breakline_edges(triangles: DataFrame, min_angle: float = 20.0) -> DataFrame:
     """Shared edges whose facets turn by at least ``min_angle``: crest where the fold is convex, toe where concave."""
+    # an edge's row is made before its ends are put in order: the code for all three at once is too long for the JVM to compile
+    sides = triangles.select(*SURFACE, "tri_id", *CORNERS, F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("_i"))
+    at = lambda k: F.get(F.array(*CORNERS), (F.col("_i") + k) % 3)
     u, w = _sub("v1", "v0"), _sub("v2", "v0")
     n = [u[1] * w[2] - u[2] * w[1], u[2] * w[0] - u[0] * w[2], u[0] * w[1] - u[1] * w[0]]
-    size = F.sqrt(sum(c * c for c in n))
-    faces = triangles.withColumn("n", F.struct(*[(F.when(size > 0, c / size)).alias(k) for k, c in zip("xyz", n)])).where("n.x IS NOT NULL")
-    pt = lambda v: F.struct(*[F.col(f"{v}.{c}").alias(c) for c in "xyz"])
-    edge = lambda a, b, o: F.struct(F.least(pt(a), pt(b)).alias("a"), F.greatest(pt(a), pt(b)).alias("b"), pt(o).alias("o"))
-    half = faces.select(*SURFACE, "tri_id", "n", F.explode(F.array(edge("v0", "v1", "v2"), edge("v1", "v2", "v0"), edge("v2", "v0", "v1"))).alias("e")).select(
-        *SURFACE, "tri_id", "n", "e.a", "e.b", "e.o")
-    # one aggregate per edge instead of a self-join: the first two facets in id order
-    both = half.groupBy(*SURFACE, "a", "b").agg(F.min_by(F.struct("n", "o"), "tri_id").alias("f"), F.max_by(F.struct("n", "o"), "tri_id").alias("g"),
-                                                F.count(F.lit(1)).alias("c")).where("c = 2")
+    size = F.sqrt(F.col("_n")[0] * F.col("_n")[0] + F.col("_n")[1] * F.col("_n")[1] + F.col("_n")[2] * F.col("_n")[2])
+    pt = lambda v: F.struct(*[v[c].alias(c) for c in "xyz"])
+    half = sides.select(*SURFACE, "tri_id", F.array(*n).alias("_n"), pt(at(0)).alias("p"), pt(at(1)).alias("q"), pt(at(2)).alias("o"))
+    half = half.withColumn("_l", size).select(*SURFACE, "tri_id", F.struct(*[F.when(F.col("_l") > 0, F.col("_n")[i] / F.col("_l")).alias(c) for i, c in enumerate("xyz")]).alias("n"),
+                                              F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "o")
+    # one aggregate per edge instead of a self-join: the first two facets in id order, those without a normal left out
+    number = F.when(F.col("n.x").isNotNull(), F.col("tri_id"))
+    both = half.groupBy(*SURFACE, "a", "b").agg(F.min_by(F.struct("n", "o"), number).alias("f"), F.max_by(F.struct("n", "o"), number).alias("g"),
+                                                F.count(number).alias("c")).where("c = 2")
     dot = sum(F.col(f"f.n.{k}") * F.col(f"g.n.{k}") for k in "xyz")
     angle = F.degrees(F.acos(clamp(dot, -1.0, 1.0)))
     drop = sum((F.col(f"g.o.{k}") - F.col(f"a.{k}")) * F.col(f"f.n.{k}") for k in "xyz")
@@ -236,7 +240,7 @@ def _ranked(arcs: DataFrame) -> DataFrame:
                                    F.col("next").isNull().alias("done"), F.col("end").alias("stop"), F.struct("start", "end").alias("low")))
     while True:
         seen = rows.select(*[F.col(c).alias(f"_{c}") for c in ("id", "to", "ahead", "done", "stop", "low")])
-        jumped = rows.join(seen, F.col("to") == F.col("_id"))
+        jumped = rows.join(seen.hint("merge"), F.col("to") == F.col("_id"))
         moved = ~F.col("done") & (F.col("_done") | (F.col("_low") < F.col("low")))
         rows = cut_lineage(jumped.select(
             "id", F.when(F.col("done"), F.col("to")).otherwise(F.col("_to")).alias("to"), F.when(F.col("done"), F.col("ahead")).otherwise(F.col("ahead") + F.col("_ahead")).alias("ahead"),
@@ -250,7 +254,7 @@ def ordered_polylines(segments: DataFrame, keys: list[str]) -> DataFrame:
 
     Lines end where a point has one or more than two segments; a ring starts at its smallest point towards the smaller
     neighbour, an open line at the smaller one of its ends. Repeated segments count once. ``polyline`` is a number of no
-    further meaning.
+    further meaning. Arcs and what is known of them are as many as the segments: such tables meet by sorted shuffles.
     """
     # places in the order of writing give every segment a number
     single = cut_lineage(segments.select(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct().withColumn("seg", F.monotonically_increasing_id()))
@@ -260,22 +264,22 @@ def ordered_polylines(segments: DataFrame, keys: list[str]) -> DataFrame:
     leaving = arcs.groupBy(*keys, "start").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("i"), F.max("id").alias("j")).where("n = 2")
     turn = lambda c, d: F.struct(F.col(c).bitwiseXOR(F.lit(1)).alias("came"), F.col(d).alias("next"))
     onward = leaving.select(F.explode(F.array(turn("i", "j"), turn("j", "i"))).alias("t")).select("t.*")
-    linked = cut_lineage(arcs.join(onward, F.col("id") == F.col("came"), "left").select("id", "next", "start", "end"))
+    linked = cut_lineage(arcs.join(onward.hint("merge"), F.col("id") == F.col("came"), "left").select("id", "next", "start", "end"))
     ranked = _ranked(linked)
     # of the two directions of an open line the one that ends at the larger point, of a ring's the one with the smaller low
     half = ranked.withColumn("seg", F.shiftright("id", 1))
     chosen = cut_lineage(half.groupBy("seg").agg(
         F.max(F.when(F.col("last").isNotNull(), F.struct("stop", F.struct("last", "ahead", "id").alias("r")))).alias("o"), F.min(F.when(F.col("last").isNull(), F.struct("low", "id"))).alias("c")))
     opened = chosen.where("o IS NOT NULL").select("o.r.id", F.col("o.r.last").alias("polyline"), F.col("o.r.ahead").alias("ahead"), F.lit(False).alias("closed"))
-    ring = chosen.where("o IS NULL").select("c.id", "c.low").join(linked, "id")
+    ring = chosen.where("o IS NULL").select("c.id", "c.low").join(linked.hint("merge"), "id")
     if not ring.isEmpty():
         first = ring.where((F.col("start") == F.col("low.start")) & (F.col("end") == F.col("low.end"))).select(F.col("id").alias("_first"))
-        cut = ring.join(first, F.col("next") == F.col("_first"), "left").select("id", F.when(F.col("_first").isNull(), F.col("next")).alias("next"), "start", "end")
+        cut = ring.join(first.hint("merge"), F.col("next") == F.col("_first"), "left").select("id", F.when(F.col("_first").isNull(), F.col("next")).alias("next"), "start", "end")
         opened = opened.unionByName(_ranked(cut).select("id", F.col("last").alias("polyline"), "ahead", F.lit(True).alias("closed")))
     sizes = opened.groupBy("polyline").agg(F.max("ahead").alias("most"))
-    placed = opened.join(sizes, "polyline").select("id", "polyline", (F.col("most") - F.col("ahead")).alias("pos"), "closed", (F.col("ahead") == 0).alias("is_last"))
+    placed = opened.join(sizes.hint("merge"), "polyline").select("id", "polyline", (F.col("most") - F.col("ahead")).alias("pos"), "closed", (F.col("ahead") == 0).alias("is_last"))
     directed = arcs.select(*keys, "id", F.col("start").alias("a"), F.col("end").alias("b"))
-    return directed.join(placed, "id").select(*keys, "polyline", "pos", "a", "b", "closed", "is_last")
+    return directed.join(placed.hint("merge"), "id").select(*keys, "polyline", "pos", "a", "b", "closed", "is_last")
 
 
 def polyline_points(lines: DataFrame, keys: list[str]) -> DataFrame:
