@@ -1,5 +1,7 @@
 """What grows with the tables must neither pass through the driver nor be copied with all its columns."""
-from pitspark.operators import surfaces
+import math
+
+from pitspark.operators import drilling, spatial, surfaces
 from pitspark.plans import bridge
 
 V = "struct<x:double,y:double,z:double>"
@@ -47,3 +49,21 @@ def test_facets_of_the_grid(spark, tmp_path):
     for (_, kind, t), r in rows.items():
         keys = (t // 2, t // 2 + 1, t // 2 + 40) if t % 2 == 0 else (t // 2 + 1, t // 2 + 41, t // 2 + 40)
         assert [tuple(r[v]) for v in ("v0", "v1", "v2")] == [vertex(k, kind == "topo") for k in keys]
+
+
+def test_holes_meet_designs_by_place_and_number_only(spark, monkeypatch):
+    seen, plain = [], spatial.radius_join
+    monkeypatch.setattr(spatial, "radius_join", lambda left, right, *a, **k: seen.append(set(right.columns)) or plain(left, right, *a, **k))
+    design = spark.createDataFrame([(1, "b", 0.0, 0.0, 7.0), (1, "a", 0.0, 0.0, 8.0), (1, "c", 1.0, 0.0, 9.0)], "pit int, row_id string, x double, y double, kg double")
+    actual = spark.createDataFrame([(1, "p", 0.5, 0.0), (1, "q", 0.9, 0.0), (1, "r", 90.0, 0.0), (2, "s", 0.0, 0.0)], "pit int, row_id string, x double, y double")
+    pairs = drilling.match_by_position(design, actual, ["pit"])
+    assert seen == [{"pit", "px", "py", "_id"}]
+    assert {(r["a"]["row_id"], r["d"]["row_id"], r["d"]["kg"]) for r in pairs.collect()} == {("p", "a", 8.0), ("q", "c", 9.0)}
+
+
+def test_cells_of_two_radii_lose_no_pair(spark):
+    at = [(1, 3.0 * i + 0.25 * k, 2.0 * k - 7.0) for i in range(-4, 5) for k in range(8)]
+    left, right = spark.createDataFrame(at, "g int, x double, y double"), spark.createDataFrame(at, "g int, px double, py double")
+    joined = spatial.radius_join(left, right, 3.0, ["g"])
+    want = sorted((a, b, c, d) for _, a, b in at for _, c, d in at if math.hypot(a - c, b - d) <= 3.0)
+    assert sorted((r["x"], r["y"], r["px"], r["py"]) for r in joined.collect()) == want
