@@ -3,6 +3,7 @@ import math
 
 from pitspark.operators import drilling, spatial, surfaces
 from pitspark.plans import bridge
+from pitspark.sources.meshes import StlReader
 
 V = "struct<x:double,y:double,z:double>"
 
@@ -67,3 +68,13 @@ def test_cells_of_two_radii_lose_no_pair(spark):
     joined = spatial.radius_join(left, right, 3.0, ["g"])
     want = sorted((a, b, c, d) for _, a, b in at for _, c, d in at if math.hypot(a - c, b - d) <= 3.0)
     assert sorted((r["x"], r["y"], r["px"], r["py"]) for r in joined.collect()) == want
+
+
+def test_a_task_reads_many_short_files(tmp_path):
+    for k in range(300):
+        (tmp_path / f"{k:03}.txt").write_text("solid s\nfacet normal 0 0 0\nouter loop\nvertex 0 0 0\nvertex 1 0 0\nvertex 0 1 %d\nendloop\nendfacet\nendsolid s\n" % k)
+    source = StlReader({"path": str(tmp_path), "endings": ".txt", "rangebytes": str(1 << 20)})
+    tasks = source.partitions()
+    assert len(tasks) <= 64 and sum(len(t.ranges) for t in tasks) == 300
+    heights = [z for t in tasks for batch in source.read(t) for z in batch.column("v2").field("z").to_pylist()]
+    assert heights == [float(k) for k in range(300)]
