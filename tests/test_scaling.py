@@ -66,6 +66,7 @@ def test_cells_of_two_radii_lose_no_pair(spark):
     at = [(1, 3.0 * i + 0.25 * k, 2.0 * k - 7.0) for i in range(-4, 5) for k in range(8)]
     left, right = spark.createDataFrame(at, "g int, x double, y double"), spark.createDataFrame(at, "g int, px double, py double")
     joined = spatial.radius_join(left, right, 3.0, ["g"])
+    assert "Broadcast" not in plan(joined)
     want = sorted((a, b, c, d) for _, a, b in at for _, c, d in at if math.hypot(a - c, b - d) <= 3.0)
     assert sorted((r["x"], r["y"], r["px"], r["py"]) for r in joined.collect()) == want
 
