@@ -66,7 +66,7 @@ BOX = ("x0", "x1", "y0", "y1", "z0", "z1")
 #: Beyond this share of d² / (2 r²) the gaussian is 0.0 in double precision.
 VANISHES = 746.0
 TILE = 1024  # nodes worked out together
-TERMS = 2_000_000  # hole and node terms held at once
+TERMS = 16_384  # hole and node terms held at once
 KEPT_NODES = 4_000_000  # partial sums held by a task
 
 
@@ -78,7 +78,7 @@ def _tiles(nodes: np.ndarray) -> list[tuple[slice, np.ndarray, np.ndarray]]:
 
 def add_energy(sums: np.ndarray, nodes: np.ndarray, ends: np.ndarray, q: np.ndarray, radius: float) -> None:
     """Adds the holes' terms (collar and toe in a row of ``ends``) to the nodes' sums; terms that are exactly 0 are passed over
-    by whole tiles."""
+    by whole tiles. Terms are worked out coordinate by coordinate, so few of them at once that they stay in the processor's cache."""
     collar, axis = ends[:, :3], ends[:, 3:] - ends[:, :3]
     length2 = (axis * axis).sum(1)
     length2[length2 == 0] = 1e-6
@@ -86,15 +86,34 @@ def add_energy(sums: np.ndarray, nodes: np.ndarray, ends: np.ndarray, q: np.ndar
     for cut, first, last in _tiles(nodes):
         apart = np.maximum(0.0, np.maximum(low - last, first - high))
         near = np.flatnonzero((apart * apart).sum(1) <= VANISHES * 2.0 * radius * radius)
-        step = max(1, TERMS // max(1, len(nodes[cut])))
+        if not len(near):
+            continue
+        node = np.ascontiguousarray(nodes[cut].T)
+        step = max(1, TERMS // node.shape[1])
+        w = np.empty((3, min(step, len(near)), node.shape[1]))
+        t, d2, part = (np.empty(w.shape[1:]) for _ in range(3))
         for at in range(0, len(near), step):
             some = near[at:at + step]
-            w = nodes[cut][None, :, :] - collar[some][:, None, :]
-            v = axis[some][:, None, :]
-            t = np.clip((w * v).sum(2) / length2[some][:, None], 0.0, 1.0)
-            gap = w - t[:, :, None] * v
-            d2 = np.maximum((gap * gap).sum(2), 1e-4)
-            sums[cut] += q[some] @ np.exp(-d2 / (2.0 * radius * radius))
+            n = len(some)
+            c, v = collar[some], axis[some]
+            tn, dn, pn = t[:n], d2[:n], part[:n]
+            for i in range(3):
+                np.subtract(node[i], c[:, i, None], out=w[i, :n])
+                np.multiply(w[i, :n], v[:, i, None], out=pn if i else tn)
+                if i:
+                    tn += pn
+            tn /= length2[some][:, None]
+            np.clip(tn, 0.0, 1.0, out=tn)
+            for i in range(3):
+                np.multiply(tn, v[:, i, None], out=pn)
+                np.subtract(w[i, :n], pn, out=pn)
+                np.multiply(pn, pn, out=pn if i else dn)
+                if i:
+                    dn += pn
+            np.maximum(dn, 1e-4, out=dn)
+            dn /= -(2.0 * radius * radius)
+            np.exp(dn, out=dn)
+            sums[cut] += q[some] @ dn
 
 
 def energy_grid(holes: DataFrame, on: list[str], nx: int = 20, ny: int = 20, nz: int = 5, radius: float = 30.0,
