@@ -1,7 +1,12 @@
 """What grows with the tables must neither pass through the driver nor be copied with all its columns."""
 import math
+import tracemalloc
 
-from pitspark.operators import drilling, spatial, surfaces
+import numpy as np
+import pandas as pd
+import pytest
+
+from pitspark.operators import attribution, drilling, influence, spatial, surfaces
 from pitspark.plans import bridge
 from pitspark.sources.meshes import StlReader
 
@@ -79,3 +84,47 @@ def test_a_task_reads_many_short_files(tmp_path):
     assert len(tasks) <= 64 and sum(len(t.ranges) for t in tasks) == 300
     heights = [z for t in tasks for batch in source.read(t) for z in batch.column("v2").field("z").to_pylist()]
     assert heights == [float(k) for k in range(300)]
+
+
+def peak_mb(work) -> float:
+    tracemalloc.start()
+    work()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak / 1e6
+
+
+def test_energy_terms_are_few_at_once():
+    rng = np.random.default_rng(4)
+    nodes, ends, q = rng.uniform(0, 200, (1500, 3)), rng.uniform(0, 200, (400, 6)), rng.uniform(1, 9, 400)
+    sums = np.zeros(len(nodes))
+    assert peak_mb(lambda: attribution.add_energy(sums, nodes, ends, q, 30.0)) < 3
+    v, w = ends[:, 3:] - ends[:, :3], nodes[:, None, :] - ends[None, :, :3]
+    gap = w - np.clip((w * v).sum(2) / (v * v).sum(1), 0, 1)[:, :, None] * v
+    assert sums == pytest.approx((q * np.exp(-np.maximum((gap * gap).sum(2), 1e-4) / 1800)).sum(1), rel=1e-12)
+
+
+def test_a_site_looks_only_into_the_points_around_it():
+    rng = np.random.default_rng(5)
+    lattice = np.unique(rng.integers(0, 60, (1800, 2)) * 5.0, axis=0)
+    cluster = np.vstack([rng.normal(50, 0.5, (900, 2)), rng.uniform(0, 300, (200, 2)), [[0, 0], [300, 300]]])
+    for pts in (lattice, cluster):
+        (x0, y0), (x1, y1) = pts.min(0), pts.max(0)
+        ring = [(x0, y0, -1), (x1, y0, -1), (x1, y1, -1), (x0, y1, -1)]
+        cells, reach = influence.cells_among(pts[:, 0], pts[:, 1], ring, pts)
+        assert cells.areas().sum() == pytest.approx((x1 - x0) * (y1 - y0))
+        for i in range(0, len(pts), 23):
+            cell, far = influence._cell(*pts[i], ring, pts)
+            assert cells.areas()[i] == pytest.approx(influence._shoelace(cell)) and reach[i] == pytest.approx(far)
+    assert peak_mb(lambda: influence.cells_among(lattice[:, 0], lattice[:, 1], [(0, 0, -1), (295, 0, -1), (295, 295, -1), (0, 295, -1)], lattice)) < 12
+
+
+def test_a_tile_sees_half_a_tile_around_it(spark, monkeypatch):
+    def count(event):
+        return lambda pdf: pd.DataFrame([{"event": "E", "x": 0.0, "y": 0.0, "area": float(len(pdf)), "touches": bool(pdf.own.any()), "reach": 0.0, "sure": True}])
+
+    monkeypatch.setattr(influence, "_tile_cells", count)
+    box = [(0.0, 0.0), (63.0, 0.0), (63.0, 63.0), (0.0, 63.0)]
+    sites = spark.createDataFrame([("E", float(i % 64), float(i // 64), box) for i in range(4096)], "event string, x double, y double, ring array<struct<x:double,y:double>>")
+    tiles = influence.site_cells(sites, ["event"], 256, 512).collect()
+    assert all(t["touches"] for t in tiles) and 4096 < sum(t["area"] for t in tiles) < 4.2 * 4096
