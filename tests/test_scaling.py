@@ -1,13 +1,14 @@
 """What grows with the tables must neither pass through the driver nor be copied with all its columns."""
 import math
+import re
 import tracemalloc
 
 import numpy as np
 import pandas as pd
 import pytest
 
-from pitspark.operators import attribution, drilling, influence, spatial, surfaces
-from pitspark.plans import bridge
+from pitspark.operators import attribution, drilling, influence, models, projection, spatial, surfaces
+from pitspark.plans import bridge, correlation, queries_blast, queries_models
 from pitspark.sources.meshes import StlReader
 
 V = "struct<x:double,y:double,z:double>"
@@ -128,3 +129,30 @@ def test_a_tile_sees_half_a_tile_around_it(spark, monkeypatch):
     sites = spark.createDataFrame([("E", float(i % 64), float(i // 64), box) for i in range(4096)], "event string, x double, y double, ring array<struct<x:double,y:double>>")
     tiles = influence.site_cells(sites, ["event"], 256, 512).collect()
     assert all(t["touches"] for t in tiles) and 4096 < sum(t["area"] for t in tiles) < 4.2 * 4096
+
+
+def longest_method(spark, df) -> int:
+    """Bytes of the longest generated method; the JVM compiles none of 8,000 or more."""
+    text = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "codegen")
+    return max(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text))
+
+
+@pytest.fixture
+def whole_plans(spark):
+    """Plans with their generated code, which adaptive plans do not show before they run."""
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_holes_on_sections_in_code_that_is_compiled(spark, folder, whole_plans):
+    assert 0 < longest_method(spark, queries_blast.section_table(spark, folder)) < 8000
+    assert 0 < longest_method(spark, queries_blast.projected(spark, folder)) < 8000
+
+
+def test_holes_without_a_place_meet_no_section(spark):
+    h = "hole_id string, pit int, x double, y double, x_toe double, y_toe double"
+    holes = spark.createDataFrame([("near", 1, 3.0, 9.0, None, None), ("far toe", 1, 3.0, 9.0, 900.0, 9.0), ("no x", 1, None, 0.0, 0.0, 0.0), ("no y", 1, 0.0, None, 0.0, 0.0)], h)
+    cut = spark.createDataFrame([("A", 1, 0.0, 0.0, 0.0, 100.0)], "section string, pit int, origin_x double, origin_y double, azimuth double, length double")
+    assert {r["hole_id"] for r in projection.project_holes(holes, cut, 10.0, ["pit"]).collect()} == {"near", "far toe"}
