@@ -10,6 +10,7 @@ from ..config import BLAST
 from ..operators.compliance import achievement_terms
 from ..operators.matching import SECTION_KEYS
 from ..operators.spatial import exact_quantiles
+from ..session import cut_lineage
 
 PF_COLUMNS = ("pf_vol_kgm3", "pf_g_per_ton", "pf_g_per_ton_net", "pf_g_per_ton_inf")
 
@@ -199,7 +200,11 @@ def campaign_cohort(holes: DataFrame, start) -> DataFrame:
 
 
 def trend_metadata(section_table: DataFrame, holes: DataFrame) -> DataFrame:
-    """One row: mean and population deviation of the positive section factors, outliers, spacing ratio."""
+    """One row: mean and population deviation of the positive section factors, outliers, spacing ratio.
+
+    The quartiles read the section table many times, so it is worked out once.
+    """
+    section_table = cut_lineage(section_table.select("num_wells", "pf_vol_avg_kgm3"))
     positive = section_table.where("pf_vol_avg_kgm3 > 0")
     outside = outliers_iqr(positive, "pf_vol_avg_kgm3")
     stats = positive.agg(F.bround(F.avg("pf_vol_avg_kgm3"), 3).alias("pf_promedio"),

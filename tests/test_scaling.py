@@ -156,3 +156,18 @@ def test_holes_without_a_place_meet_no_section(spark):
     holes = spark.createDataFrame([("near", 1, 3.0, 9.0, None, None), ("far toe", 1, 3.0, 9.0, 900.0, 9.0), ("no x", 1, None, 0.0, 0.0, 0.0), ("no y", 1, 0.0, None, 0.0, 0.0)], h)
     cut = spark.createDataFrame([("A", 1, 0.0, 0.0, 0.0, 100.0)], "section string, pit int, origin_x double, origin_y double, azimuth double, length double")
     assert {r["hole_id"] for r in projection.project_holes(holes, cut, 10.0, ["pit"]).collect()} == {"near", "far toe"}
+
+
+def test_the_section_table_is_worked_out_once(spark, tmp_path):
+    reads = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    table = spark.range(100).selectExpr("id AS num_wells", "1.0D + id % 7 AS pf_vol_avg_kgm3").repartition(2).mapInArrow(count, "num_wells long, pf_vol_avg_kgm3 double")
+    holes = spark.createDataFrame([(4.0, 5.0)], "burden double, spacing double")
+    row = correlation.trend_metadata(table, holes).first()
+    assert (row["n_pozos_total"], row["n_outliers"], row["sb_ratio"]) == (4950, 0, 1.25)
+    assert reads.value == 100
