@@ -222,11 +222,16 @@ def breakline_edges(triangles: DataFrame, min_angle: float = 20.0) -> DataFrame:
 
 
 def chain(segments: DataFrame, keys: list[str]) -> DataFrame:
-    """Segments (keys, a, b) with the id of the polyline they belong to: connected segments of one key share it."""
-    name = lambda p: F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.to_json(F.col(p)))
-    named = segments.withColumns({"_a": name("a"), "_b": name("b")})
-    part = components(named.select("_a", "_b"), "_a", "_b", "polyline")
-    return named.join(part, named["_a"] == part["node"]).drop("_a", "_b", "node")
+    """Segments (keys, a, b) with the number of the polyline they belong to: connected segments of one key share it.
+
+    Segments are worked out and numbered once; at every point each is linked to the first one there, so the rounds that
+    follow move pairs of numbers only. ``polyline`` is a number of no further meaning.
+    """
+    numbered = cut_lineage(segments.withColumn("_seg", F.monotonically_increasing_id()))
+    ends = numbered.select(*keys, "_seg", F.explode(F.array("a", "b")).alias("_p"))
+    links = cut_lineage(ends.select("_seg", F.min("_seg").over(Window.partitionBy(*keys, "_p")).alias("_first")))
+    part = components(links, "_seg", "_first", "polyline")
+    return numbered.join(part.hint("merge"), F.col("_seg") == F.col("node")).drop("_seg", "node")
 
 
 def _ranked(arcs: DataFrame) -> DataFrame:

@@ -171,3 +171,23 @@ def test_the_section_table_is_worked_out_once(spark, tmp_path):
     row = correlation.trend_metadata(table, holes).first()
     assert (row["n_pozos_total"], row["n_outliers"], row["sb_ratio"]) == (4950, 0, 1.25)
     assert reads.value == 100
+
+
+def test_links_of_segments_are_numbers(spark, monkeypatch):
+    seen, plain = [], surfaces.components
+    monkeypatch.setattr(surfaces, "components", lambda edges, *a: seen.append(dict(edges.dtypes)) or plain(edges, *a))
+    p = lambda x: (float(x), 0.0, 0.0)
+    rows = [("s", p(0), p(1)), ("s", p(1), p(2)), ("s", p(3), p(4)), ("t", p(1), p(2)), (None, p(2), p(3)), (None, p(1), p(2))]
+    lines = surfaces.chain(spark.createDataFrame(rows, f"surface_id string, a {V}, b {V}"), ["surface_id"])
+    groups = {}
+    for r in lines.collect():
+        groups.setdefault(r["polyline"], set()).add((r["surface_id"], r["a"]["x"]))
+    assert sorted(map(len, groups.values())) == [1, 1, 2, 2]
+    assert {frozenset(g) for g in groups.values()} == {frozenset(g) for g in ({("s", 0.0), ("s", 1.0)}, {("s", 3.0)}, {("t", 1.0)}, {(None, 2.0), (None, 1.0)})}
+    assert all(t == "bigint" for d in seen for t in d.values())
+
+
+def test_components_are_found_without_broadcast(spark):
+    got = spatial.components(spark.createDataFrame([(i, i + 1) for i in range(9)] + [(20, 21)], "u long, v long"), "u", "v")
+    assert "Broadcast" not in plan(got)
+    assert {r["node"]: r["component"] for r in got.collect()} == {**{i: 0 for i in range(10)}, 20: 20, 21: 20}
