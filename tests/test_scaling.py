@@ -191,3 +191,18 @@ def test_components_are_found_without_broadcast(spark):
     got = spatial.components(spark.createDataFrame([(i, i + 1) for i in range(9)] + [(20, 21)], "u long, v long"), "u", "v")
     assert "Broadcast" not in plan(got)
     assert {r["node"]: r["component"] for r in got.collect()} == {**{i: 0 for i in range(10)}, 20: 20, 21: 20}
+
+
+def test_small_groups_are_compared_at_once(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(g, float(a), float(b)) for g in range(6) for a, b in rng.integers(0, 40, (5 + 4 * g, 2)) * 25]
+    rows += rows[:3]
+    sites = spark.createDataFrame(rows, "g int, x double, y double")
+    cuts, plain = [], spatial.cut_lineage
+    monkeypatch.setattr(spatial, "cut_lineage", lambda df: cuts.append(1) or plain(df))
+    want = {(g, x, y): sorted(math.hypot(x - a, y - b) for j, (h, a, b) in enumerate(rows) if h == g and j != i)[:4] for i, (g, x, y) in enumerate(rows)}
+    for few, most in ((64, 1), (12, 99), (0, 99)):
+        cuts.clear()
+        got = {(r["g"], r["x"], r["y"]): r["distances"] for r in spatial.k_nearest(sites, 4, ["g"], few=few).collect()}
+        assert len(cuts) <= most and got.keys() == want.keys()
+        assert all(got[k] == pytest.approx(want[k]) for k in want)
