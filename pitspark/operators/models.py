@@ -138,8 +138,9 @@ def fit_multivariate(rows: DataFrame, damage: str = "avg_over_break", names: tup
     The data meet one aggregate of means and covariances; only those few numbers per group reach the solver.
     """
     keys = group or ["_all"]
-    clean = rows.select(*(group or [F.lit(1).alias("_all")]), finite(damage).alias("_y"), *[finite(k).alias(k) for k in names])
-    clean = clean.dropna(subset=["_y", *names])
+    used = F.struct(finite(damage).alias("_y"), *[finite(k).alias(k) for k in names])
+    # the values are worked out before the test for nulls, which would repeat them all: code that long the JVM does not compile
+    clean = rows.select(*(group or [F.lit(1).alias("_all")]), F.explode(F.array(used)).alias("_used")).select(*keys, "_used.*").dropna(subset=["_y", *names])
     sums = [F.count(F.lit(1)).alias("n"), F.avg("_y").alias("my"), F.var_pop("_y").alias("vy")]
     sums += [F.avg(k).alias(f"m_{k}") for k in names]
     sums += [F.covar_pop(k, "_y").alias(f"cy_{i}") for i, k in enumerate(names)]

@@ -151,6 +151,10 @@ def test_holes_on_sections_in_code_that_is_compiled(spark, folder, whole_plans):
     assert 0 < longest_method(spark, queries_blast.projected(spark, folder)) < 8000
 
 
+def test_model_sums_in_code_that_is_compiled(spark, folder, whole_plans):
+    assert 0 < longest_method(spark, models.fit_multivariate(queries_models._predictors(spark, folder))) < 8000
+
+
 def test_holes_without_a_place_meet_no_section(spark):
     h = "hole_id string, pit int, x double, y double, x_toe double, y_toe double"
     holes = spark.createDataFrame([("near", 1, 3.0, 9.0, None, None), ("far toe", 1, 3.0, 9.0, 900.0, 9.0), ("no x", 1, None, 0.0, 0.0, 0.0), ("no y", 1, 0.0, None, 0.0, 0.0)], h)
