@@ -24,10 +24,12 @@ def on_grid(points: DataFrame, grid: DataFrame, keys: list[str]) -> DataFrame:
     """Both kinds on the nodes of ``grid`` (keys, lo, w, n): node i at lo + i * w, columns z_design and z_topo.
 
     Neighbouring profile points make the nodes between them, so interpolation needs no search; the two kinds then
-    meet by one aggregate over the node number.
+    meet by one aggregate over the node number. Points go to their section's grid by a sorted shuffle, which the windows
+    and the aggregate use again: nodes are not in the size estimate, by which a join chooses to broadcast.
     """
     order = Window.partitionBy(*keys, "kind").orderBy("d")
-    p = points.withColumns({"_d1": F.lead("d").over(order), "_z1": F.lead("z").over(order)}).where("_d1 > d").join(grid, keys)
+    p = points.join(grid.hint("merge"), keys)
+    p = p.withColumns({"_d1": F.lead("d").over(order), "_z1": F.lead("z").over(order)}).where("_d1 > d")
     top = F.max("_d1").over(Window.partitionBy(*keys, "kind"))
     p = p.withColumn("_top", top)
     first = F.greatest(F.ceil((F.col("d") - F.col("lo")) / F.col("w") - 1e-9), F.lit(0))
@@ -73,7 +75,7 @@ def sector_deviations(points: DataFrame, keys: list[str] | None = None, toleranc
     n = F.greatest(F.lit(2), F.ceil((F.col("hi") - F.col("lo")) / step) + 1)
     grid = span.withColumn("n", n).withColumn("w", (F.col("hi") - F.col("lo")) / (F.col("n") - 1)).select(*keys, "lo", "w", "n")
     nodes = on_grid(points, grid, keys).withColumn("delta", F.col("z_topo") - F.col("z_design"))
-    cuts = design_breaks(points, keys).join(span, keys).where("at > lo AND at < hi").select(*keys, "at")
+    cuts = design_breaks(points, keys).join(span.hint("merge"), keys).where("at > lo AND at < hi").select(*keys, "at")
     ends = span.select(*keys, F.explode(F.array("lo", "hi")).alias("at"))
     w = Window.partitionBy(*keys).orderBy("at")
     spans = cuts.unionByName(ends).distinct().withColumn("_end", F.lead("at").over(w)).where("_end IS NOT NULL").select(*keys, F.col("at").alias("_start"), "_end")
@@ -94,7 +96,7 @@ def sector_deviations(points: DataFrame, keys: list[str] | None = None, toleranc
     left = F.greatest(F.lit(0), F.least(F.floor(share), F.col("_i1") - F.col("_i0") - 1))
     agg = agg.withColumns({"_k": F.col("_i0") + left, "_t": F.greatest(F.lit(0.0), F.least(F.lit(1.0), share - left))})
     side = lambda name: nodes.select(*keys, F.col("i").alias("_k"), F.col("delta").alias(name))
-    out = agg.join(side("_a"), [*keys, "_k"]).withColumn("_k", F.col("_k") + 1).join(side("_b"), [*keys, "_k"])
+    out = agg.join(side("_a").hint("merge"), [*keys, "_k"]).withColumn("_k", F.col("_k") + 1).join(side("_b").hint("merge"), [*keys, "_k"])
     number = F.row_number().over(Window.partitionBy(*keys).orderBy("_start"))
     return out.select(
         *keys, number.alias("sector_id"), F.col("_start").alias("d_start"), F.col("_end").alias("d_end"), "area_above_m2", "area_below_m2", "net_area_m2",
@@ -109,4 +111,4 @@ def nearest_point_deviation(points: DataFrame, keys: list[str] | None = None, to
     design = points.where("kind = 'design'").select(*keys, F.col("d").alias("sx"), F.col("z").alias("sy"))
     near = nearest_distance(topo, design, keys)
     light = F.when(F.col("distance") <= tolerance, "OK").when(F.col("distance") <= 1.5 * tolerance, "ALERTA").otherwise("NO CUMPLE")
-    return topo.join(near, [*keys, "qx", "qy"]).select(*keys, "idx", F.col("qx").alias("d"), F.col("qy").alias("z"), F.col("distance").alias("deviation_m"), light.alias("light"))
+    return topo.join(near.hint("merge"), [*keys, "qx", "qy"]).select(*keys, "idx", F.col("qx").alias("d"), F.col("qy").alias("z"), F.col("distance").alias("deviation_m"), light.alias("light"))

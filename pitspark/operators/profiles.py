@@ -53,20 +53,20 @@ def simplify(points: DataFrame, keys: list[str], tolerance: float = DETECTION.si
     end = points.groupBy(*keys).agg(F.max_by(F.struct("idx", "d", "z"), "idx").alias("hi"), F.min_by(F.struct("idx", "d", "z"), "idx").alias("lo"),
                                     F.count(F.lit(1)).alias("_n"))
     tail = end.select(*keys, "hi.idx", "hi.d", "hi.z")
-    work = points.join(end, keys).where(F.col("idx") < F.col("hi.idx"))
+    work = points.join(end.hint("merge"), keys).where(F.col("idx") < F.col("hi.idx"))
     part = [*keys, F.col("lo.idx")]
     longest = end.agg(F.max("_n")).first()[0] or 0
     while longest > piece:
         size = work.groupBy(*part).agg(F.count(F.lit(1)).alias("_c"))
         size = size.withColumnRenamed("lo.idx", "idx").toDF(*keys, "_lo", "_c")
-        work = work.withColumn("_lo", F.col("lo.idx")).join(size, [*keys, "_lo"])
+        work = work.withColumn("_lo", F.col("lo.idx")).join(size.hint("merge"), [*keys, "_lo"])
         dx, dz = F.col("hi.d") - F.col("lo.d"), F.col("hi.z") - F.col("lo.z")
         px, pz = F.col("d") - F.col("lo.d"), F.col("z") - F.col("lo.z")
         chord = F.sqrt(dx * dx + dz * dz)
         off = F.when(chord == 0, F.sqrt(px * px + pz * pz)).otherwise(F.abs(dx * pz - dz * px) / chord)
         far = work.where((F.col("_c") > piece) & (F.col("idx") > F.col("lo.idx"))).groupBy(*keys, "_lo").agg(
             F.max_by(F.struct("idx", "d", "z"), F.struct(off, -F.col("idx"))).alias("_cut"), F.max(off).alias("_off"))
-        work = work.join(far, [*keys, "_lo"], "left")
+        work = work.join(far.hint("merge"), [*keys, "_lo"], "left")
         cut = F.coalesce(F.col("_off") > tolerance, F.lit(False))
         work = work.where(F.col("_off").isNull() | cut | (F.col("idx") == F.col("lo.idx"))).withColumns({
             "lo": F.when(cut & (F.col("idx") >= F.col("_cut.idx")), F.col("_cut")).otherwise(F.col("lo")),
@@ -134,11 +134,11 @@ def faces(segs: DataFrame, keys: list[str], cfg: Detection = DETECTION, angle_sc
         F.sum("len").alias("al"), F.sum(F.col("len") * F.col("angle")).alias("aa"))
     fit = solid.select(*run, F.explode("_pts").alias("p")).groupBy(*run).agg(
         F.regr_slope("p.d", "p.z").alias("slope"), F.regr_intercept("p.d", "p.z").alias("icept"), F.var_pop("p.z").alias("vz"))
-    out = base.join(fit, run)
+    out = base.join(fit.hint("merge"), run)
     if angle_scope == "profile":
         whole = segs.groupBy(*keys).agg(F.sum(F.when(steep, F.col("len"))).alias("sl"), F.sum(F.when(steep, F.col("len") * F.col("angle"))).alias("sa"),
                                         F.sum("len").alias("al"), F.sum(F.col("len") * F.col("angle")).alias("aa"))
-        out = out.drop("sl", "sa", "al", "aa").join(whole, keys)
+        out = out.drop("sl", "sa", "al", "aa").join(whole.hint("merge"), keys)
     weighted = F.when(F.col("sl") > 0.1, F.col("sa") / F.col("sl")).otherwise(F.col("aa") / F.col("al"))
     dx = F.abs(F.col("head.d") - F.col("foot.d"))
     plain = F.when(dx > 1e-3, F.degrees(F.atan2(F.col("head.z") - F.col("foot.z"), dx))).otherwise(cfg.face_threshold)
@@ -209,9 +209,9 @@ def votes(points: DataFrame, benches: DataFrame, keys: list[str], cfg: Detection
         offset = F.when(F.col("_size") == n, total).otherwise(offset)
         total += n * n
     weight = F.when(F.col("_size") == 1, 1.0).otherwise(F.element_at(table, (offset + (F.col("q.i") - F.col("_s")) * F.col("_size") + F.col("_j") + 1).cast("int")))
-    smooth = needs.join(seen.select(*keys, "_i", "z"), [*keys, "_i"]).groupBy(*keys, "bench_number").agg(
+    smooth = needs.join(seen.select(*keys, "_i", "z").hint("merge"), [*keys, "_i"]).groupBy(*keys, "bench_number").agg(
         F.sum(F.when(F.col("q.e") == 1, weight * F.col("z")).otherwise(-weight * F.col("z"))).alias("_rise"))
-    out = agg.join(smooth, [*keys, "bench_number"], "left")
+    out = agg.join(smooth.hint("merge"), [*keys, "bench_number"], "left")
     dist = F.abs(F.col("_b.d") - F.col("_a.d"))
     slope = F.when(dist > 1e-6, F.abs(F.degrees(F.atan2(F.col("_rise"), dist))))
     n = (F.lit(1) + (F.col("_left") & F.col("_right")).cast("int") + (F.col("_crest") & F.col("_toe")).cast("int")
@@ -228,14 +228,14 @@ def local_floors(points: DataFrame, benches: DataFrame, keys: list[str]) -> Data
     """Mean of the lowest tenth (at least three) of the profile between a toe and the next crest."""
     w = Window.partitionBy(*keys).orderBy("bench_number")
     reach = points.groupBy(*keys).agg(F.max("d").alias("_dmax"))
-    b = benches.withColumn("_next", F.lead("crest_distance").over(w)).join(reach, keys)
+    b = benches.withColumn("_next", F.lead("crest_distance").over(w)).join(reach.hint("merge"), keys)
     nxt = F.coalesce("_next", F.when(F.col("toe_distance") <= F.col("_dmax"), F.col("_dmax")).otherwise(F.col("toe_distance")))
     spans = b.select(*keys, "bench_number", F.least("toe_distance", nxt).alias("_lo"), F.greatest("toe_distance", nxt).alias("_hi"))
     near = interval_join(points.select(*keys, "d", "z"), spans, keys, "d", "_lo", "_hi", 25.0)
     one = [*keys, "bench_number"]
     size = near.groupBy(*one).agg(F.count(F.lit(1)).alias("_c"))
     rank = F.row_number().over(Window.partitionBy(*one).orderBy("z"))
-    low = near.join(size, one).withColumn("_r", rank).where(F.col("_r") <= F.greatest(F.lit(3), F.floor(F.col("_c") / 10)))
+    low = near.join(size.hint("merge"), one).withColumn("_r", rank).where(F.col("_r") <= F.greatest(F.lit(3), F.floor(F.col("_c") / 10)))
     return low.groupBy(*one).agg(F.avg("z").alias("floor_elevation"))
 
 
@@ -269,7 +269,7 @@ def edge_berms(points: DataFrame, benches: DataFrame, keys: list[str], cfg: Dete
     n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
     b = benches.withColumn("_nb", n)
     first = b.where("bench_number = 1").select(*keys, F.least("toe_distance", "crest_distance").alias("_x"), F.col("toe_distance").alias("_t"), "_nb")
-    side = points.join(first, keys)
+    side = points.join(first.hint("merge"), keys)
 
     def flat(test, name: str) -> list:
         p = F.struct("d", "z")
@@ -279,7 +279,7 @@ def edge_berms(points: DataFrame, benches: DataFrame, keys: list[str], cfg: Dete
     run = lambda k: F.abs(F.col(f"{k}_b.d") - F.col(f"{k}_a.d"))
     width = lambda k: F.when((F.col(f"{k}_n") >= 2) & (steepness(F.col(f"{k}_b.z") - F.col(f"{k}_a.z"), run(k)) <= cfg.berm_threshold), run(k)).otherwise(0.0)
     agg = agg.select(*keys, width("lead").alias("_lead"), width("trail").alias("_trail"))
-    out = b.join(agg, keys, "left")
+    out = b.join(agg.hint("merge"), keys, "left")
     is_first = F.col("bench_number") == 1
     lead = F.when(is_first & (F.col("_lead") > 0), F.col("_lead"))
     trail = F.when(is_first & (F.col("_nb") == 1) & F.coalesce(F.col("_lead") <= 0, F.lit(True)) & (F.col("berm_width") <= 0) & (F.col("_trail") > 0), F.col("_trail"))
@@ -326,7 +326,7 @@ def section_parameters(benches: DataFrame, points: DataFrame, keys: list[str]) -
     free = F.greatest(dx - F.col("_ramp"), dx * 0.05)
     many, single = F.col("n_benches") >= 2, F.col("n_benches") == 1
     whole = points.groupBy(*keys).agg(F.min("z").alias("floor_elevation"), F.max("z").alias("crest_elevation_max"))
-    return whole.join(agg, keys, "left").select(
+    return whole.join(agg.hint("merge"), keys, "left").select(
         *keys, F.coalesce("n_benches", F.lit(0)).alias("n_benches"),
         F.when(many & (free > 1e-3), F.degrees(F.atan2(dz, free))).when(single, F.col("_a")).otherwise(0.0).alias("inter_ramp_angle"),
         F.when(many & (dx > 1e-3), F.degrees(F.atan2(dz, dx))).when(single, F.col("_a")).otherwise(0.0).alias("overall_angle"),
@@ -338,7 +338,8 @@ def extract_benches(points: DataFrame, keys: list[str] | None = None, cfg: Detec
     """(benches, section parameters) of all profiles.
 
     ``angle_scope='profile'`` with ``crest_first=False`` gives the plain behaviour of averaging the angle over the
-    whole profile and taking face points in distance order.
+    whole profile and taking face points in distance order. Points and benches meet by sorted shuffles: what is made of
+    a few facets is not in the size estimate, by which a join chooses to broadcast.
     """
     keys = keys or KEYS
     points = cut_lineage(points.select(*keys, "idx", "d", "z"))
@@ -349,7 +350,7 @@ def extract_benches(points: DataFrame, keys: list[str] | None = None, cfg: Detec
     release = F.coalesce(upper > 75, F.lit(False)) & (a > 65) & (h > 12)
     b = b.withColumns({"wedge_risk": (a > 65) & (h > 12), "toppling_risk": (a > 80) | ((a > 75) & (h > 15)) | release})
     one = [*keys, "bench_number"]
-    b = b.join(votes(points, b, keys, cfg), one, "left").join(local_floors(points, b, keys), one, "left").drop("_toe_seen")
+    b = b.join(votes(points, b, keys, cfg).hint("merge"), one, "left").join(local_floors(points, b, keys).hint("merge"), one, "left").drop("_toe_seen")
     b = b.withColumn("floor_elevation", F.coalesce("floor_elevation", "toe_elevation"))
     b = b.withColumn("bench_height", F.when(F.col("floor_elevation") < F.col("toe_elevation"), F.abs(F.col("crest_elevation") - F.col("floor_elevation"))).otherwise(h))
     b = hazards(edge_berms(points, berms(b, keys, cfg.max_berm_width, cfg), keys, cfg), keys, berm_design_min)
@@ -359,7 +360,7 @@ def extract_benches(points: DataFrame, keys: list[str] | None = None, cfg: Detec
     free = F.when(~F.col("is_ramp"), a)
     spread = b.groupBy(*keys).agg(F.when(F.count(free) >= 2, F.stddev_pop(free)).otherwise(0.0).alias("anisotropy_dispersion_deg"))
     params = cut_lineage(params)
-    b = b.join(spread, keys).join(params.select(*keys, "inter_ramp_angle"), keys)
+    b = b.join(spread.hint("merge"), keys).join(params.select(*keys, "inter_ramp_angle").hint("merge"), keys)
     b = b.withColumn("face_angle_inconsistent", F.abs(a - F.col("inter_ramp_angle")) > 8.0).drop("inter_ramp_angle")
     return cut_lineage(b), params
 
@@ -406,7 +407,7 @@ def reconciled_points(benches: DataFrame, keys: list[str] | None = None, points:
     w = Window.partitionBy(*keys).orderBy("bench_number")
     b = benches.withColumns({"_nz": F.lead("crest_elevation").over(w), "_last": F.lead("bench_number").over(w).isNull()})
     if floors is not None:
-        b = b.join(floors.select(*keys, F.col("floor_elevation").alias("_floor")), keys, "left")
+        b = b.join(floors.select(*keys, F.col("floor_elevation").alias("_floor")).hint("merge"), keys, "left")
     else:
         b = b.withColumn("_floor", F.lit(None).cast("double"))
     ahead = F.when(F.col("toe_distance") >= F.col("crest_distance"), 1.0).otherwise(-1.0)
@@ -426,7 +427,7 @@ def reconciled_points(benches: DataFrame, keys: list[str] | None = None, points:
         spans = benches.select(*keys, "bench_number", F.least("crest_distance", "toe_distance").alias("_lo"), F.greatest("crest_distance", "toe_distance").alias("_hi"))
         inner = interval_join(points.select(*keys, "d", "z"), spans, keys, "d", "_lo", "_hi", 25.0).where("d > _lo AND d < _hi")
         face = inner.select(*keys, "bench_number", F.lit(1).alias("rank"), F.lit("face").alias("segment_type"), F.col("d").alias("distance_m"), F.col("z").alias("elevation_m"))
-        none = benches.join(inner.select(*keys, "bench_number").distinct(), [*keys, "bench_number"], "left_anti").select(
+        none = benches.join(inner.select(*keys, "bench_number").distinct().hint("merge"), [*keys, "bench_number"], "left_anti").select(
             *keys, "bench_number", F.lit(1).alias("rank"), F.lit("face").alias("segment_type"), ((F.col("crest_distance") + F.col("toe_distance")) / 2).alias("distance_m"),
             ((F.col("crest_elevation") + F.col("toe_elevation")) / 2).alias("elevation_m"))
         out = out.unionByName(face).unionByName(none)
@@ -445,7 +446,7 @@ def legacy_reconciled_points(benches: DataFrame, keys: list[str] | None = None,
     b = benches
     if floors is not None:
         w = Window.partitionBy(*keys)
-        b = b.join(floors.select(*keys, F.col("floor_elevation").alias("_floor")), keys, "left").withColumn("_last", F.max("bench_number").over(w) == F.col("bench_number"))
+        b = b.join(floors.select(*keys, F.col("floor_elevation").alias("_floor")).hint("merge"), keys, "left").withColumn("_last", F.max("bench_number").over(w) == F.col("bench_number"))
     else:
         b = b.withColumns({"_floor": F.lit(None).cast("double"), "_last": F.lit(False)})
     fall = F.when(leans, _down(F.col("toe_elevation"), F.col("_floor"), F.col("face_angle"), ahead)).otherwise(0.0)
@@ -467,13 +468,13 @@ def reconciled_summary(reconciled: DataFrame, benches: DataFrame, keys: list[str
         F.count_if(F.col("overhang_m") > 0).alias("n_overhangs"), F.count_if("wedge_risk").alias("n_wedge_risks"), F.count_if("toppling_risk").alias("n_toppling_risks"),
         F.count_if(F.col("n_detection_methods_agreeing") >= 2).alias("n_consensus_benches"), F.sum("berm_width").alias("total_berm_width_m"),
         F.avg("face_angle").alias("avg_face_angle_deg"), F.max("overhang_m").alias("max_overhang_m"))
-    return line.join(agg, keys)
+    return line.join(agg.hint("merge"), keys)
 
 
 def reconciled_with_hazards(reconciled: DataFrame, benches: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Reconciled points with the hazard flags of their bench."""
     keys = keys or KEYS
-    out = reconciled.join(benches.select(*keys, "bench_number", "overhang_m", "wedge_risk", "toppling_risk"), [*keys, "bench_number"], "left")
+    out = reconciled.join(benches.select(*keys, "bench_number", "overhang_m", "wedge_risk", "toppling_risk").hint("merge"), [*keys, "bench_number"], "left")
     return out.na.fill(False, ["wedge_risk", "toppling_risk"])
 
 
@@ -506,5 +507,5 @@ def spill_polygons(benches: DataFrame, points: DataFrame, keys: list[str] | None
     start = (F.col("spill_start_distance"), F.col("spill_start_elevation"))
     rim = s.select(*one, F.explode(F.array(corner(0, *start), corner(1, F.col("toe_distance"), F.col("toe_elevation")), corner(2, F.col("_seen"), F.col("toe_elevation")),
                                           corner(4, *start))).alias("c")).select(*one, "c.*")
-    rim = rim.join(ground.select(*one).distinct(), one, "left_semi")
+    rim = rim.join(ground.select(*one).distinct().hint("merge"), one, "left_semi")
     return top.unionByName(rim).withColumn("point_no", F.row_number().over(Window.partitionBy(*one).orderBy("rank", "at"))).drop("rank", "at")

@@ -73,11 +73,14 @@ def nearest_within(left: DataFrame, right: DataFrame, radius: float, on: list[st
 
 def interval_join(points: DataFrame, spans: DataFrame, on: list[str], at: str, low: str, high: str, width: float,
                   how: str = "inner") -> DataFrame:
-    """Pairs with ``low <= at <= high`` inside the same ``on`` group, by buckets of ``width``."""
+    """Pairs with ``low <= at <= high`` inside the same ``on`` group, by buckets of ``width``.
+
+    Both sides meet by sorted shuffles: spans are sized before their buckets are listed, points before they are made.
+    """
     p = points.withColumn("_b", cell(at, width))
     s = spans.withColumn("_b", F.explode(F.sequence(cell(low, width), cell(high, width))))
     test = F.col(f"p.{at}").between(F.col(f"s.{low}"), F.col(f"s.{high}"))
-    joined = p.alias("p").join(s.alias("s"), [F.col(f"p.{k}") == F.col(f"s.{k}") for k in [*on, "_b"]] + [test], how)
+    joined = p.alias("p").join(s.hint("merge").alias("s"), [F.col(f"p.{k}") == F.col(f"s.{k}") for k in [*on, "_b"]] + [test], how)
     return joined.select(
         *[F.col(f"p.{c}") for c in points.columns], *[F.col(f"s.{c}") for c in spans.columns if c not in on]
     )
@@ -227,7 +230,7 @@ def nearest_distance(queries: DataFrame, sites: DataFrame, on: list[str], size:
     """
     q0 = cut_lineage(queries.select(*on, "qx", "qy").distinct())
     s0 = cut_lineage(sites.select(*on, F.col("sx"), F.col("sy")).distinct())
-    q0 = q0.join(s0.select(*on).distinct(), on, "left_semi")
+    q0 = q0.join(s0.select(*on).distinct().hint("merge"), on, "left_semi")
     box = lambda df, x, y: df.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
     a, b = box(q0, "qx", "qy"), box(s0, "sx", "sy")
     if a[0] is None or b[0] is None:
@@ -240,7 +243,7 @@ def nearest_distance(queries: DataFrame, sites: DataFrame, on: list[str], size:
         q = q.withColumn("_edge", F.least(F.col("qx") - (F.col("_cx") - 1) * size, (F.col("_cx") + 2) * size - F.col("qx"),
                                           F.col("qy") - (F.col("_cy") - 1) * size, (F.col("_cy") + 2) * size - F.col("qy")))
         q = q.withColumn("_near", F.explode(around("_cx", "_cy"))).select(*on, "qx", "qy", "_edge", F.col("_near.cx").alias("_cx"), F.col("_near.cy").alias("_cy"))
-        pairs = q.join(s0.withColumn("_cx", cell("sx", size)).withColumn("_cy", cell("sy", size)), [*on, "_cx", "_cy"])
+        pairs = q.join(s0.withColumn("_cx", cell("sx", size)).withColumn("_cy", cell("sy", size)).hint("merge"), [*on, "_cx", "_cy"])
         gap = F.sqrt(F.pow(F.col("qx") - F.col("sx"), 2) + F.pow(F.col("qy") - F.col("sy"), 2))
         found = pairs.groupBy(*on, "qx", "qy", "_edge").agg(F.min(gap).alias("distance"))
         settled = found if last else cut_lineage(found.where("distance <= _edge"))
@@ -248,7 +251,7 @@ def nearest_distance(queries: DataFrame, sites: DataFrame, on: list[str], size:
         done = settled if done is None else done.unionByName(settled)
         if last:
             return done
-        waiting = cut_lineage(waiting.join(settled.select(*on, "qx", "qy"), [*on, "qx", "qy"], "left_anti"))
+        waiting = cut_lineage(waiting.join(settled.select(*on, "qx", "qy").hint("merge"), [*on, "qx", "qy"], "left_anti"))
         if waiting.isEmpty():
             return done
         size *= grow

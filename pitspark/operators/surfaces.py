@@ -108,7 +108,7 @@ def merge_points(points: DataFrame) -> DataFrame:
     """Mean height per distance rounded to the millimetre; profiles under two points vanish."""
     merged = points.groupBy(*SURFACE, "section", "sector", F.bround("d", 3).alias("d")).agg(F.avg("z").alias("z"))
     size = points.groupBy(*SURFACE, "section").agg(F.count(F.lit(1)).alias("_n")).where("_n >= 2").select(*SURFACE, "section")
-    return merged.join(size, [*SURFACE, "section"], "left_semi")
+    return merged.join(size.hint("merge"), [*SURFACE, "section"], "left_semi")
 
 
 def resample(points: DataFrame, keys: list[str], step: float = DETECTION.profile_resolution) -> DataFrame:

@@ -7,7 +7,9 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from pitspark.operators import attribution, drilling, influence, models, projection, spatial, surfaces
+from pyspark.sql import functions as F
+
+from pitspark.operators import attribution, deviations, drilling, influence, models, profiles, projection, spatial, surfaces
 from pitspark.plans import bridge, correlation, queries_blast, queries_models
 from pitspark.sources.meshes import StlReader
 
@@ -210,3 +212,41 @@ def test_small_groups_are_compared_at_once(spark, monkeypatch):
         got = {(r["g"], r["x"], r["y"]): r["distances"] for r in spatial.k_nearest(sites, 4, ["g"], few=few).collect()}
         assert len(cuts) <= most and got.keys() == want.keys()
         assert all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def bench_points(spark):
+    """A design and an as-built profile of one section: three faces of 15 m, the as-built one half a metre lower."""
+    face = lambda d: 15.0 * min(max(d, 0.0), 5.0) / 5.0
+    rows = [("s", kind, "A", "N", i, i * 0.5, 4000.0 - drop - sum(face(i * 0.5 - 10.0 - 15.0 * k) for k in range(3)))
+            for kind, drop in (("design", 0.0), ("topo", 0.5)) for i in range(121)]
+    return spark.createDataFrame(rows, "surface_id string, kind string, section string, sector string, idx int, d double, z double")
+
+
+def test_profiles_and_their_grid_meet_without_broadcast(spark):
+    areas, parts = deviations.profile_areas(bench_points(spark)), deviations.sector_deviations(bench_points(spark))
+    assert "Broadcast" not in plan(areas) and "Broadcast" not in plan(parts)
+    row = areas.first()
+    assert row["area_topo_above"] == 0 and math.isclose(row["area_topo_below"], 30.0, rel_tol=1e-9)
+    assert math.isclose(sum(r["net_area_m2"] for r in parts.collect()), -30.0, rel_tol=0.02)
+
+
+def test_nearest_points_meet_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "cut_lineage", lambda df: df)
+    near = deviations.nearest_point_deviation(bench_points(spark))
+    assert "Broadcast" not in plan(near)
+    assert near.count() == 121 and near.where("deviation_m <= 0.5").count() == 121
+
+
+def test_benches_and_points_meet_without_broadcast(spark, monkeypatch):
+    plans, plain = [], profiles.cut_lineage
+    monkeypatch.setattr(profiles, "cut_lineage", lambda df: plans.append(plan(df)) or plain(df))
+    benches, params = profiles.extract_benches(bench_points(spark))
+    line = profiles.reconciled_with_hazards(profiles.reconciled_points(benches, floors=params), benches)
+    assert len(plans) == 5 and not any("Broadcast" in p for p in [*plans, plan(line)])
+    assert [(r["kind"], r["n_benches"]) for r in params.orderBy("kind").collect()] == [("design", 3), ("topo", 3)]
+
+
+def test_merged_points_meet_their_count_without_broadcast(spark):
+    merged = surfaces.merge_points(bench_points(spark).unionByName(bench_points(spark).where("idx = 0").withColumn("section", F.concat("section", "kind"))))
+    assert "Broadcast" not in plan(merged)
+    assert {(r["section"], r["count"]) for r in merged.groupBy("section").count().collect()} == {("A", 242)}
