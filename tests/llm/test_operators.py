@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -406,3 +407,29 @@ def test_shared_smaller_leaves_match_sets():
         want = [any(c < leaf for c in set(leaves[a]) & set(leaves[b])) for a, b in zip(i, j)]
         assert forest.share_smaller(leaves, leaf, i, j).tolist() == want
     assert len(forest.share_smaller(leaves, 70, i[:0], j[:0])) == 0
+
+
+def test_backoff_texts_hashes_and_totals_are_packed_closely():
+    rng = np.random.default_rng(3)
+    keys = np.sort(rng.integers(0, 1 << 63, 14_000, dtype=np.uint64)) >> np.uint64(6)  # a hash partition's share of a block
+    totals = np.where(rng.random(14_000) < 0.08, rng.integers(2, 1 << 40, 14_000), 1).astype(np.uint64)
+    gaps = np.diff(keys, prepend=np.uint64(0))
+    packed = ngram_lm._pack(gaps)
+    assert (ngram_lm._unpack(packed, np.uint64) == gaps).all() and len(packed) < 6 * len(keys)
+    packed = ngram_lm._pack_totals(totals)
+    assert (ngram_lm._unpack_totals(packed) == totals).all() and len(packed) < len(totals)
+    for n in (0, 1, 9):
+        for values in (np.zeros(n, np.uint64), np.ones(n, np.uint64), np.full(n, 2**64 - 1, np.uint64)):
+            assert (ngram_lm._unpack(ngram_lm._pack(values), np.uint64) == values).all()
+            assert (ngram_lm._unpack_totals(ngram_lm._pack_totals(np.maximum(values, 1))) == np.maximum(values, 1)).all()
+    for text in (None, "", "a", "é\x85 日本\x1c\t", "word " * 900):
+        assert ngram_lm._text(ngram_lm._packed_text(text)) == (text or None)
+    assert len(ngram_lm._packed_text("word " * 900)) < 100
+
+
+def test_backoff_hashes_of_a_block_do_not_cross_documents():
+    texts = ["a b c", None, "d", "", "e f"]
+    levels, lengths = ngram_lm.block_hashes(pd.Series(texts), 3)
+    alone = [ngram_lm.block_hashes(pd.Series([t]), 3)[0] for t in texts]
+    assert lengths == [3, 0, 1, 0, 2] and [len(x) for x in levels] == [6, 3, 1]
+    assert all((x == np.concatenate([a[n] for a in alone])).all() for n, x in enumerate(levels))
