@@ -72,7 +72,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    pieces = packing.harmonic_pack(docs, tokenizer_path())
+    # executors come here with memory full from the stages before; fewer remembered runs cost time, which there is
+    pieces = packing.harmonic_pack(docs, tokenizer_path(), remembered=50_000)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
