@@ -4,13 +4,15 @@ A surface is one row per facet: surface_id, kind, tri_id and the corners v0, v1,
 """
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DETECTION
 from ..functions.geometry import direction
 from ..functions.numeric import clamp
-from ..session import cut_lineage
+from ..session import cut_lineage, written
 from .spatial import cell, components
 
 SURFACE = ["surface_id", "kind"]
@@ -111,28 +113,62 @@ def merge_points(points: DataFrame) -> DataFrame:
     return merged.join(size.hint("merge"), [*SURFACE, "section"], "left_semi")
 
 
+def stretches(points: DataFrame, keys: list[str], step: float = DETECTION.profile_resolution) -> DataFrame:
+    """Resampled profiles, packed: a row per pair of neighbouring points (d, z, d1, z1) with the grid nodes that fall between
+    them, node i of ``first`` to ``last`` at lo + i * w. ``node_rows`` and ``nodes_of`` make the nodes."""
+    order = Window.partitionBy(*keys).orderBy("d")
+    whole = Window.partitionBy(*keys)
+    df = points.withColumns({"d1": F.lead("d").over(order), "z1": F.lead("z").over(order), "lo": F.min("d").over(whole),
+                             "_hi": F.max("d").over(whole), "_n": F.count(F.lit(1)).over(whole)})
+    n = F.greatest(F.col("_n"), F.ceil((F.col("_hi") - F.col("lo")) / step) + 1)
+    df = df.withColumn("_nodes", n).where("_n >= 2 AND d1 IS NOT NULL").withColumn("w", (F.col("_hi") - F.col("lo")) / (F.col("_nodes") - 1))
+    first = F.ceil((F.col("d") - F.col("lo")) / F.col("w") - 1e-9)
+    last = F.when(F.col("d1") == F.col("_hi"), F.col("_nodes") - 1).otherwise(F.ceil((F.col("d1") - F.col("lo")) / F.col("w") - 1e-9) - 1)
+    return df.select(*keys, "d", "z", "d1", "z1", "lo", "w", first.alias("first"), last.alias("last")).where(F.col("last") >= F.col("first"))
+
+
+def is_packed(points: DataFrame) -> bool:
+    return {"first", "last", "d1"} <= set(points.columns)
+
+
+def node_rows(points: DataFrame, keys: list[str]) -> DataFrame:
+    """Profile points as rows (idx, d, z), from packed ones or those that are rows already."""
+    if not is_packed(points):
+        return points.select(*keys, "idx", "d", "z")
+    out = points.withColumn("idx", F.explode(F.sequence("first", "last"))).withColumn("_at", F.col("lo") + F.col("idx") * F.col("w"))
+    z = F.col("z") + (F.col("z1") - F.col("z")) * (F.col("_at") - F.col("d")) / (F.col("d1") - F.col("d"))
+    return out.select(*keys, F.col("idx").cast("int").alias("idx"), F.col("_at").alias("d"), z.alias("z"))
+
+
+def nodes_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """idx, d and z of the same points in a task (missing ones NaN), by the same formula as ``node_rows``; idx is NaN-free where packed."""
+    column = lambda c: rows.column(c).to_numpy()
+    if "first" not in rows.column_names:
+        return column("idx"), column("d").astype(float), column("z").astype(float)
+    first, count = column("first"), column("last") - column("first") + 1
+    place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    d, z, d1, z1, lo, w, idx = (np.repeat(v, count) for v in (*(column(c).astype(float) for c in ("d", "z", "d1", "z1", "lo", "w")), first))
+    idx = idx + place
+    at = lo + idx * w
+    return idx, at, z + (z1 - z) * (at - d) / (d1 - d)
+
+
 def resample(points: DataFrame, keys: list[str], step: float = DETECTION.profile_resolution) -> DataFrame:
     """Evenly spaced profile points (idx, d, z): at least as many as given and no wider apart than ``step``.
 
     Every pair of neighbouring points makes the grid nodes that fall between them, so no node is searched for.
     """
-    order = Window.partitionBy(*keys).orderBy("d")
-    whole = Window.partitionBy(*keys)
-    df = points.withColumns({"_d1": F.lead("d").over(order), "_z1": F.lead("z").over(order), "_lo": F.min("d").over(whole),
-                             "_hi": F.max("d").over(whole), "_n": F.count(F.lit(1)).over(whole)})
-    n = F.greatest(F.col("_n"), F.ceil((F.col("_hi") - F.col("_lo")) / step) + 1)
-    df = df.withColumn("_nodes", n).where("_n >= 2 AND _d1 IS NOT NULL").withColumn("_w", (F.col("_hi") - F.col("_lo")) / (F.col("_nodes") - 1))
-    first = F.ceil((F.col("d") - F.col("_lo")) / F.col("_w") - 1e-9)
-    last = F.when(F.col("_d1") == F.col("_hi"), F.col("_nodes") - 1).otherwise(F.ceil((F.col("_d1") - F.col("_lo")) / F.col("_w") - 1e-9) - 1)
-    nodes = F.when(last >= first, F.sequence(first, last))
-    out = df.withColumn("idx", F.explode(nodes)).withColumn("_at", F.col("_lo") + F.col("idx") * F.col("_w"))
-    z = F.col("z") + (F.col("_z1") - F.col("z")) * (F.col("_at") - F.col("d")) / (F.col("_d1") - F.col("d"))
-    return out.select(*keys, F.col("idx").cast("int").alias("idx"), F.col("_at").alias("d"), z.alias("z"))
+    return node_rows(stretches(points, keys, step), keys)
 
 
-def profiles(triangles: DataFrame, sections: DataFrame, step: float = DETECTION.profile_resolution) -> DataFrame:
-    """Resampled profiles of all surfaces and kinds along all sections."""
-    return resample(merge_points(cut_points(triangles, sections)), [*SURFACE, "section", "sector"], step)
+def profiles(triangles: DataFrame, sections: DataFrame, step: float = DETECTION.profile_resolution, packed: bool = False) -> DataFrame:
+    """Resampled profiles of all surfaces and kinds along all sections, as rows or packed (``stretches``).
+
+    Packed ones are for jobs that use a profile's points in the task that makes them; the merged crossings, from which
+    they come, are then written once, as such jobs pass over them several times.
+    """
+    merged, keys = merge_points(cut_points(triangles, sections)), [*SURFACE, "section", "sector"]
+    return stretches(written(merged, "crossings"), keys, step) if packed else resample(merged, keys, step)
 
 
 def local_azimuth(points: DataFrame, triangles: DataFrame, radius: float = 50.0, at_least: int = 10) -> DataFrame:

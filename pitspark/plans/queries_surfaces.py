@@ -17,8 +17,8 @@ def _tri(spark, d):
     return bridge.surface_triangles(spark, d)
 
 
-def _profiles(spark, d):
-    return surfaces.profiles(_tri(spark, d), bridge.surface_sections(spark, d))
+def _profiles(spark, d, packed=False):
+    return surfaces.profiles(_tri(spark, d), bridge.surface_sections(spark, d), packed=packed)
 
 
 @query("surface_bounds", f"""WITH {T} SELECT surface_id, kind, {r('min(least(x0, x1, x2))', 'xmin')}, {r('max(greatest(x0, x1, x2))', 'xmax')}, {r('min(least(z0, z1, z2))', 'zmin')},
@@ -193,7 +193,7 @@ def _(spark, d):
 
 @query("extracted_benches")
 def _(spark, d):
-    b, _ = profiles.extract_benches(_profiles(spark, d))
+    b, _ = profiles.extract_benches(_profiles(spark, d, packed=True))
     return tidy(b, 4)
 
 
@@ -219,7 +219,7 @@ _FACES_SQL = f"""WITH {RESAMPLED_SQL}, q AS (SELECT surface_id, section, i, d, z
 @query("design_wall_benches", _FACES_SQL)
 def _(spark, d):
     """Benches of the design surfaces that lie, with the berm before them, wholly inside their section."""
-    b, _ = profiles.extract_benches(_profiles(spark, d).where("kind = 'design'"))
+    b, _ = profiles.extract_benches(_profiles(spark, d, packed=True).where("kind = 'design'"))
     return tidy(b.where("bench_number BETWEEN 3 AND 19").select(
         "surface_id", "section", "bench_number", "crest_distance", "crest_elevation", "toe_distance", "toe_elevation", "bench_height", "face_angle",
         "floor_elevation", "berm_width", "effective_berm_width", "spill_width", "n_detection_methods_agreeing", "is_ramp"), 4)
@@ -227,7 +227,7 @@ def _(spark, d):
 
 @query("section_parameters")
 def _(spark, d):
-    _, p = profiles.extract_benches(_profiles(spark, d))
+    _, p = profiles.extract_benches(_profiles(spark, d, packed=True))
     return tidy(p, 4)
 
 
@@ -235,14 +235,13 @@ def _(spark, d):
 def _(spark, d):
     from .reports import interramp_table
 
-    _, p = profiles.extract_benches(_profiles(spark, d))
+    _, p = profiles.extract_benches(_profiles(spark, d, packed=True))
     return interramp_table(p)
 
 
 @query("reconciled_profiles")
 def _(spark, d):
-    pts = cut_lineage(_profiles(spark, d))
-    b, p = profiles.extract_benches(pts)
+    b, p = profiles.extract_benches(_profiles(spark, d, packed=True))
     line = profiles.reconciled_points(b, points=None, floors=p)
     return tidy(profiles.reconciled_with_hazards(line, b), 4)
 
@@ -250,7 +249,7 @@ def _(spark, d):
 @query("surface_reconciliation")
 def _(spark, d):
     """Surfaces to comparison rows, end to end."""
-    b, _ = profiles.extract_benches(_profiles(spark, d))
+    b, _ = profiles.extract_benches(_profiles(spark, d, packed=True))
     b = cut_lineage(b)
     side = lambda kind: b.where(F.col("kind") == kind).drop("kind")
     return tidy(compare(side("design"), side("topo"), keys=("surface_id", "section")).drop("bench_real"), 4)

@@ -250,3 +250,54 @@ def test_merged_points_meet_their_count_without_broadcast(spark):
     merged = surfaces.merge_points(bench_points(spark).unionByName(bench_points(spark).where("idx = 0").withColumn("section", F.concat("section", "kind"))))
     assert "Broadcast" not in plan(merged)
     assert {(r["section"], r["count"]) for r in merged.groupBy("section").count().collect()} == {("A", 242)}
+
+
+def noisy_wall(spark, step=0.25):
+    """Two profiles of uneven faces, and one without a section."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for kind in ("design", "topo"):
+        d = np.arange(0, 120, step)
+        z = 4000 - 15 * np.floor(d / 14.5) - 15 * np.clip((d % 14.5) / 5.5, 0, 1) + (rng.normal(0, 0.12, len(d)) if kind == "topo" else 0)
+        rows += [("s", kind, "A", "N", i, float(a), float(b)) for i, (a, b) in enumerate(zip(d, z))]
+    rows += [("s", "topo", None, "N", i, float(i), 4000.0 - 20.0 * (i > 3)) for i in range(9)]
+    return spark.createDataFrame(rows, "surface_id string, kind string, section string, sector string, idx int, d double, z double")
+
+
+def test_long_and_short_profiles_give_the_same_benches(spark):
+    points = noisy_wall(spark)
+    found = [profiles.extract_benches(points, piece=piece) for piece in (100_000, 60)]
+    one, other = ([r.asDict() for r in b.orderBy("kind", "bench_number").collect()] for b, _ in found)
+    assert len(one) == len(other) > 12 and {r["section"] for r in one} == {"A"}
+    assert all(a[c] == pytest.approx(b[c]) for a, b in zip(one, other) for c in a)
+    assert found[0][1].count() == found[1][1].count() == 3
+
+
+def test_points_of_packed_profiles_are_neither_shuffled_nor_sorted_nor_written(spark, monkeypatch):
+    plans, rows, plain = [], [], profiles.cut_lineage
+
+    def cut(df):
+        plans.append(plan(df))
+        out = plain(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(profiles, "cut_lineage", cut)
+    crossings = noisy_wall(spark, 5.5).drop("idx")
+    benches, params = profiles.extract_benches(surfaces.stretches(crossings, profiles.KEYS))
+    assert max(rows) < 200 < 2000 < surfaces.resample(crossings, profiles.KEYS).count()
+    # points are made in the functions, only section parameters make rows of them, which their aggregate uses at once
+    assert [p.count("Generate explode(sequence") for p in plans] == [0, 0, 0, 1, 0]
+    above = plans[3][:plans[3].index("Generate explode(sequence")].splitlines()[-4:]
+    assert any("HashAggregate" in line or "SortAggregate" in line for line in above) and not any("Exchange" in line for line in above)
+    again, whole = profiles.extract_benches(surfaces.resample(crossings, profiles.KEYS))
+    assert benches.exceptAll(again).count() == again.exceptAll(benches).count() == 0 < benches.count()
+    assert params.exceptAll(whole).count() == 0 and params.count() == whole.count() == 3
+
+
+def test_nodes_are_the_same_in_a_task(spark):
+    crossings = noisy_wall(spark, 5.5).drop("idx").where("section IS NOT NULL AND kind = 'topo'")
+    packed = surfaces.stretches(crossings, profiles.KEYS)
+    idx, d, z = surfaces.nodes_of(packed.toArrow())
+    want = surfaces.node_rows(packed, profiles.KEYS).toArrow()
+    assert list(zip(idx, d, z)) == list(zip(*(want.column(c).to_pylist() for c in ("idx", "d", "z"))))
