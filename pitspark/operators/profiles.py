@@ -21,10 +21,9 @@ from ..functions.geometry import steepness
 from ..functions.numeric import clamp
 from ..session import cut_lineage
 from .spatial import interval_join
-from .surfaces import is_packed, node_rows, nodes_of
+from .surfaces import PIECE, by_length, is_packed, node_rows, nodes_of
 
 KEYS = ["surface_id", "kind", "section", "sector"]
-PIECE = 100_000  # points of a profile that one task holds at once
 
 
 def kept_vertices(d: np.ndarray, z: np.ndarray, tolerance: float) -> np.ndarray:
@@ -48,16 +47,6 @@ def kept_vertices(d: np.ndarray, z: np.ndarray, tolerance: float) -> np.ndarray:
     return keep
 
 
-def by_length(points: DataFrame, keys: list[str], piece: int = PIECE) -> tuple[DataFrame, DataFrame | None]:
-    """Profiles of up to ``piece`` points, and the points of the longer ones as rows (None where there are none)."""
-    count = F.sum(F.col("last") - F.col("first") + 1) if is_packed(points) else F.count(F.lit(1))
-    sizes = points.groupBy(*keys).agg(count.alias("_n"))
-    if (sizes.agg(F.max("_n")).first()[0] or 0) <= piece:
-        return points, None
-    long = sizes.where(F.col("_n") > piece).select(*keys).hint("merge")
-    return points.join(long, keys, "left_anti"), node_rows(points.join(long, keys, "left_semi"), keys)
-
-
 def simplify(points: DataFrame, keys: list[str], tolerance: float = DETECTION.simplify_epsilon, piece: int = PIECE) -> DataFrame:
     """Simplified vertices of every profile (keys, idx, d, z); profiles without a full key keep their last point only."""
     return _simplified(*by_length(points, keys, piece), keys, tolerance, piece)

@@ -17,6 +17,7 @@ from .spatial import cell, components
 
 SURFACE = ["surface_id", "kind"]
 CORNERS = ("v0", "v1", "v2")
+PIECE = 100_000  # points of a profile, or of a section's two, that one task holds at once
 
 
 def vertices(triangles: DataFrame) -> DataFrame:
@@ -153,6 +154,23 @@ def nodes_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return idx, at, z + (z1 - z) * (at - d) / (d1 - d)
 
 
+def by_length(points: DataFrame, keys: list[str], piece: int = PIECE, span: float | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Profiles of up to ``piece`` points, and the points of the longer ones as rows (None where there are none).
+
+    ``keys`` may stand for several profiles; with ``span`` the steps of that length between a group's ends count as well.
+    """
+    packed = is_packed(points)
+    count = F.sum(F.col("last") - F.col("first") + 1) if packed else F.count(F.lit(1))
+    if span is not None:
+        count = F.greatest(count, F.ceil((F.max("d1" if packed else "d") - F.min("d")) / span))
+    sizes = points.groupBy(*keys).agg(count.alias("_n"))
+    if (sizes.agg(F.max("_n")).first()[0] or 0) <= piece:
+        return points, None
+    long = sizes.where(F.col("_n") > piece).select(*keys).hint("merge")
+    kinds = ["kind"] if "kind" in points.columns and "kind" not in keys else []
+    return points.join(long, keys, "left_anti"), node_rows(points.join(long, keys, "left_semi"), [*keys, *kinds])
+
+
 def resample(points: DataFrame, keys: list[str], step: float = DETECTION.profile_resolution) -> DataFrame:
     """Evenly spaced profile points (idx, d, z): at least as many as given and no wider apart than ``step``.
 

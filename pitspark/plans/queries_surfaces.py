@@ -278,10 +278,10 @@ def _(spark, d):
 
 @query("sector_deviations")
 def _(spark, d):
-    return tidy(deviations.sector_deviations(cut_lineage(_profiles(spark, d))), 4)
+    return tidy(deviations.sector_deviations(_profiles(spark, d, packed=True)), 4)
 
 
 @query("nearest_point_deviation")
 def _(spark, d):
-    n = deviations.nearest_point_deviation(cut_lineage(_profiles(spark, d)))
+    n = deviations.nearest_point_deviation(_profiles(spark, d, packed=True))
     return tidy(n.groupBy("surface_id", "section", "light").agg(F.count(F.lit(1)).alias("n"), F.avg("deviation_m").alias("deviation_avg_m"), F.max("deviation_m").alias("deviation_max_m")))

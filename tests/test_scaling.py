@@ -301,3 +301,23 @@ def test_nodes_are_the_same_in_a_task(spark):
     idx, d, z = surfaces.nodes_of(packed.toArrow())
     want = surfaces.node_rows(packed, profiles.KEYS).toArrow()
     assert list(zip(idx, d, z)) == list(zip(*(want.column(c).to_pylist() for c in ("idx", "d", "z"))))
+
+
+def test_sections_are_worked_out_whole_or_by_joins(spark):
+    crossings = noisy_wall(spark, 5.5).drop("idx").unionByName(noisy_wall(spark, 5.5).drop("idx").where("kind = 'topo' AND section = 'A'").withColumn("section", F.lit("B")))
+    packed, points = surfaces.stretches(crossings, profiles.KEYS), surfaces.resample(crossings, profiles.KEYS)
+    for job, order in ((deviations.sector_deviations, "sector_id"), (deviations.nearest_point_deviation, "idx")):
+        whole, rows, joined = job(packed), job(points), job(points, piece=500)
+        assert plan(whole).count("Generate") == 0 and "InArrow" in plan(whole)
+        found = [[r.asDict() for r in df.orderBy("section", order).collect()] for df in (whole, rows, joined)]
+        assert len(found[0]) == len(found[1]) == len(found[2]) > 10 and {r["section"] for r in found[0]} == {"A"}
+        assert all(a[c] == pytest.approx(b[c]) for other in found[1:] for a, b in zip(found[0], other) for c in a)
+
+
+def test_nearest_gaps_equal_all_pairs():
+    rng = np.random.default_rng(12)
+    for n, m in ((40, 1), (300, 200), (1, 50)):
+        qd, qz, d, z = (rng.normal(0, 9, k).round(1) for k in (n, n, m, m))
+        order = np.argsort(d)
+        got = deviations.nearest_gaps(qd, qz, d[order], z[order])
+        assert got == pytest.approx(np.hypot(qd[:, None] - d, qz[:, None] - z).min(1))
