@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from .spatial import cell, components
 
 SURFACE = ["surface_id", "kind"]
 CORNERS = ("v0", "v1", "v2")
-PIECE = 100_000  # points of a profile, or of a section's two, that one task holds at once
+PIECE = 100_000  # points of a profile, facets of a surface or segments of a level that one call holds at once
 
 
 def vertices(triangles: DataFrame) -> DataFrame:
@@ -163,12 +164,19 @@ def by_length(points: DataFrame, keys: list[str], piece: int = PIECE, span: floa
     count = F.sum(F.col("last") - F.col("first") + 1) if packed else F.count(F.lit(1))
     if span is not None:
         count = F.greatest(count, F.ceil((F.max("d1" if packed else "d") - F.min("d")) / span))
-    sizes = points.groupBy(*keys).agg(count.alias("_n"))
-    if (sizes.agg(F.max("_n")).first()[0] or 0) <= piece:
-        return points, None
-    long = sizes.where(F.col("_n") > piece).select(*keys).hint("merge")
+    short, long = by_size(points, keys, piece, count)
     kinds = ["kind"] if "kind" in points.columns and "kind" not in keys else []
-    return points.join(long, keys, "left_anti"), node_rows(points.join(long, keys, "left_semi"), [*keys, *kinds])
+    return short, None if long is None else node_rows(long, [*keys, *kinds])
+
+
+def by_size(df: DataFrame, keys: list[str], piece: int = PIECE, size: Column | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of the groups of up to ``piece`` rows, and those of the larger ones (None where there are none); ``size``: what counts instead of rows."""
+    sizes = df.groupBy(*keys).agg((F.count(F.lit(1)) if size is None else size).alias("_n"))
+    if (sizes.agg(F.max("_n")).first()[0] or 0) <= piece:
+        return df, None
+    large = sizes.where(F.col("_n") > piece).select(*[F.col(k).alias(f"_{k}") for k in keys]).hint("merge")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return df.join(large, same, "left_anti"), df.join(large, same, "left_semi")
 
 
 def resample(points: DataFrame, keys: list[str], step: float = DETECTION.profile_resolution) -> DataFrame:
@@ -253,8 +261,77 @@ def _sub(a: str, b: str) -> list[Column]:
     return [F.col(f"{a}.{c}") - F.col(f"{b}.{c}") for c in "xyz"]
 
 
-def breakline_edges(triangles: DataFrame, min_angle: float = 20.0) -> DataFrame:
-    """Shared edges whose facets turn by at least ``min_angle``: crest where the fold is convex, toe where concave."""
+def numbered_points(*columns: pa.Array) -> tuple[list[np.ndarray], pa.Array]:
+    """Points (structs of coordinates) of several columns by number, equal ones alike and in the order of the points, and the points by number."""
+    points = pa.concat_arrays(columns)
+    code = np.zeros(len(points), np.int64)
+    for k in range(points.type.num_fields):
+        c = points.field(k)
+        known = c.is_valid().to_numpy(zero_copy_only=False)
+        values, place = np.unique(c.to_numpy(zero_copy_only=False) + 0.0, return_inverse=True)
+        code = np.unique(code * (len(values) + 1) + np.where(known, place + 1, 0), return_inverse=True)[1]
+    _, first = np.unique(code, return_index=True)
+    return np.split(code, np.cumsum([len(c) for c in columns])[:-1]), points.take(pa.array(first))
+
+
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
+def _coordinates(points: pa.Array) -> np.ndarray:
+    return np.stack([points.field(k).to_numpy(zero_copy_only=False) for k in range(points.type.num_fields)])
+
+
+def _folds(corners: pa.Table, min_angle: float) -> tuple:
+    """Numbers of the ends (a, b), angles, whether crest, and the points of one surface's folds; the rule of ``_edges_long``."""
+    corner, points = numbered_points(*(_whole(corners.column(v)) for v in CORNERS))
+    xyz = _coordinates(points)
+    v0, v1, v2 = (xyz[:, c] for c in corner)
+    u, w = v1 - v0, v2 - v0
+    n = np.stack([u[1] * w[2] - u[2] * w[1], u[2] * w[0] - u[0] * w[2], u[0] * w[1] - u[1] * w[0]])
+    size = np.sqrt(n[0] * n[0] + n[1] * n[1] + n[2] * n[2])
+    ids = corners.column("tri_id").to_numpy()
+    some = np.flatnonzero((size > 0) & ~np.isnan(ids.astype(float)))  # facets without a normal or a number are left out
+    n = n[:, some] / size[some]
+    p, q, o = (np.concatenate([corner[(i + k) % 3][some] for i in range(3)]) for k in range(3))
+    facet = np.tile(np.arange(len(some)), 3)
+    a, b = np.minimum(p, q), np.maximum(p, q)
+    edge = a * np.int64(len(points) + 1) + b
+    order = np.lexsort((ids[some][facet], edge))
+    at, count = np.unique(edge[order], return_index=True, return_counts=True)[1:]
+    at = at[count == 2]
+    f, g = order[at], order[at + 1]
+    nf, ng = n[:, facet[f]], n[:, facet[g]]
+    dot = nf[0] * ng[0] + nf[1] * ng[1] + nf[2] * ng[2]
+    angle = np.degrees(np.arccos(np.clip(dot, -1.0, 1.0)))
+    gap = xyz[:, o[g]] - xyz[:, a[f]]
+    drop = gap[0] * nf[0] + gap[1] * nf[1] + gap[2] * nf[2]
+    sharp = angle >= min_angle
+    return a[f][sharp], b[f][sharp], angle[sharp], drop[sharp] < 0, points
+
+
+def breakline_edges(triangles: DataFrame, min_angle: float = 20.0, piece: int = PIECE) -> DataFrame:
+    """Shared edges whose facets turn by at least ``min_angle``: crest where the fold is convex, toe where concave.
+
+    A surface of up to ``piece`` facets is worked out in one call, so each facet is moved once instead of once per edge.
+    """
+    short, long = by_size(triangles, SURFACE, piece)
+
+    def folds(surface: pa.Table) -> pa.Table:
+        a, b, angle, crest, points = _folds(surface, min_angle)
+        out = surface.select(SURFACE).take(np.zeros(len(a), int))
+        for name, values in (("a", points.take(pa.array(a))), ("b", points.take(pa.array(b))), ("angle_deg", pa.array(angle)),
+                             ("line_kind", pa.array(np.where(crest, "crest", "toe").tolist(), pa.string()))):
+            out = out.append_column(name, values)
+        return out
+
+    types = dict(triangles.dtypes)
+    ddl = ", ".join([*[f"{k} {types[k]}" for k in SURFACE], f"a {types['v0']}, b {types['v0']}, angle_deg double, line_kind string"])
+    out = short.select(*SURFACE, "tri_id", *CORNERS).groupBy(*SURFACE).applyInArrow(folds, ddl)
+    return out if long is None else out.unionByName(_edges_long(long, min_angle))
+
+
+def _edges_long(triangles: DataFrame, min_angle: float) -> DataFrame:
     # an edge's row is made before its ends are put in order: the code for all three at once is too long for the JVM to compile
     sides = triangles.select(*SURFACE, "tri_id", *CORNERS, F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("_i"))
     at = lambda k: F.get(F.array(*CORNERS), (F.col("_i") + k) % 3)
@@ -308,13 +385,70 @@ def _ranked(arcs: DataFrame) -> DataFrame:
             return rows.select("id", F.when(F.col("done"), F.col("to")).alias("last"), "ahead", "stop", "low")
 
 
-def ordered_polylines(segments: DataFrame, keys: list[str]) -> DataFrame:
+def drawing_order(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int, bool, bool]]:
+    """Rows (line, pos, a, b, closed, is_last) of the segments between numbered points; the rule of ``ordered_polylines``."""
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    _, once = np.unique(low * (high.max(initial=0) + 1) + high, return_index=True)
+    once = once[low[once] != high[once]]
+    low, high = low[once], high[once]
+    start, end, seg = np.concatenate([low, high]), np.concatenate([high, low]), np.tile(np.arange(len(low)), 2)
+    order = np.lexsort((end, start))
+    spots, at = np.unique(start[order], return_index=True)
+    leaving = dict(zip(spots.tolist(), np.split(order, at[1:]))) if len(spots) else {}
+    leaving = {p: [(int(end[k]), int(seg[k])) for k in arcs] for p, arcs in leaving.items()}
+    seen, rows, line = [False] * len(low), [], 0
+
+    def walk(p: int, q: int, s: int, stop: int | None) -> None:
+        nonlocal line
+        pos = 0
+        while True:
+            seen[s] = True
+            go_on = len(leaving[q]) == 2 and q != stop
+            rows.append((line, pos, p, q, stop is not None, not go_on))
+            if not go_on:
+                line += 1
+                return
+            (r, t), (r2, t2) = leaving[q]
+            p, q, s, pos = q, *((r2, t2) if t == s else (r, t)), pos + 1
+
+    for closed in (False, True):  # points come in order: a line starts at the smaller one of its ends, a ring at its smallest point
+        for p, arcs in leaving.items():
+            if closed or len(arcs) != 2:
+                for q, s in arcs:
+                    if not seen[s]:
+                        walk(p, q, s, p if closed else None)
+    return rows
+
+
+def ordered_polylines(segments: DataFrame, keys: list[str], piece: int = PIECE) -> DataFrame:
     """Segments (keys, a, b) in drawing order: keys, polyline, pos (from 0), a, b, closed, is_last.
 
     Lines end where a point has one or more than two segments; a ring starts at its smallest point towards the smaller
-    neighbour, an open line at the smaller one of its ends. Repeated segments count once. ``polyline`` is a number of no
-    further meaning. Arcs and what is known of them are as many as the segments: such tables meet by sorted shuffles.
+    neighbour, an open line at the smaller one of its ends. Repeated segments count once. ``polyline`` tells the lines of a
+    key apart and has no further meaning. Segments are written once; those of a key are put in order in one call, where they
+    are more than ``piece`` by list ranking.
     """
+    segments = written(segments.select(*keys, "a", "b"), "segments")
+    short, long = by_size(segments, keys, piece)
+
+    def lines(group: pa.Table) -> pa.Table:
+        group = group.filter(pc.and_(pc.is_valid(group.column("a")), pc.is_valid(group.column("b"))))
+        (a, b), points = numbered_points(_whole(group.column("a")), _whole(group.column("b")))
+        line, pos, start, end, closed, last = list(zip(*drawing_order(a, b))) or [()] * 6
+        out = group.select(keys).take(np.zeros(len(line), int))
+        for name, values in (("polyline", pa.array(line, pa.int64())), ("pos", pa.array(pos, pa.int64())), ("a", points.take(pa.array(start, pa.int64()))),
+                             ("b", points.take(pa.array(end, pa.int64()))), ("closed", pa.array(closed, pa.bool_())), ("is_last", pa.array(last, pa.bool_()))):
+            out = out.append_column(name, values)
+        return out
+
+    types = dict(segments.dtypes)
+    ddl = ", ".join([*[f"`{k}` {types[k]}" for k in keys], f"polyline long, pos long, a {types['a']}, b {types['b']}, closed boolean, is_last boolean"])
+    out = short.groupBy(*keys).applyInArrow(lines, ddl)
+    return out if long is None else out.unionByName(_lines_long(long, keys))
+
+
+def _lines_long(segments: DataFrame, keys: list[str]) -> DataFrame:
+    """The same by list ranking; arcs and what is known of them are as many as the segments: such tables meet by sorted shuffles."""
     # places in the order of writing give every segment a number
     single = cut_lineage(segments.select(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct().withColumn("seg", F.monotonically_increasing_id()))
     way = lambda i, u, v: F.struct((F.col("seg") * 2 + i).alias("id"), F.col(u).alias("start"), F.col(v).alias("end"))

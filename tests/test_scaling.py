@@ -321,3 +321,27 @@ def test_nearest_gaps_equal_all_pairs():
         order = np.argsort(d)
         got = deviations.nearest_gaps(qd, qz, d[order], z[order])
         assert got == pytest.approx(np.hypot(qd[:, None] - d, qz[:, None] - z).min(1))
+
+
+def test_lines_and_folds_of_a_group_in_one_call(spark, tmp_path, monkeypatch):
+    keys = (0, 1, 2, 3, 40, 41, 42, 43, 80, 81, 82, 83, 120, 121, 123)
+    spark.createDataFrame([(k,) for k in (*keys, *(1000 + k for k in keys), 1000)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    triangles = bridge.surface_triangles(spark, str(tmp_path))
+    plain = lambda df: sorted(tuple(map(str, r)) for r in df.collect())
+    edges, joined = (surfaces.breakline_edges(triangles, piece=p).withColumn("angle_deg", F.round("angle_deg", 6)) for p in (100, 10))
+    assert plan(edges).count("Exchange") == 1 and plain(edges) == plain(joined.select(edges.columns)) and edges.count() > 20
+    on = ["surface_id", "kind", "elevation"]
+    pieces = surfaces.contour_segments(triangles, 10.0)
+    cuts, cut = [], surfaces.cut_lineage
+    monkeypatch.setattr(surfaces, "cut_lineage", lambda df: cuts.append(1) or cut(df))
+    found = []
+    for p in (100, 3):
+        lines = surfaces.polyline_points(surfaces.ordered_polylines(pieces, on, p), on)
+        found.append(plain(lines.groupBy(*on, "polyline", "closed").agg(F.array_sort(F.collect_list(F.struct("pos", "point"))).alias("path")).drop("polyline")))
+        assert (len(cuts) > 0) == (p == 3)
+    assert found[0] == found[1] and len(found[0]) > 20
+
+
+def test_small_rings_and_loops_in_order():
+    rows = surfaces.drawing_order(np.array([2, 0, 1, 7, 5, 5, 9, 9, 9]), np.array([0, 1, 2, 5, 6, 7, 9, 10, 10]))
+    assert rows == [(0, 0, 6, 5, False, False), (0, 1, 5, 7, False, True), (1, 0, 9, 10, False, True), (2, 0, 0, 1, True, False), (2, 1, 1, 2, True, False), (2, 2, 2, 0, True, True)]
