@@ -25,22 +25,23 @@ def attribute_holes(features: DataFrame, holes: DataFrame, on: list[str], tolera
     """
     h = _by_position(holes, on)
     spot = [*on, "x", "y"]
-    sums = h.groupBy(*spot).agg(F.sum("kg").alias("kg_sum"), F.count(F.lit(1)).alias("n_here"))
-    order = Window.partitionBy(*spot).orderBy(F.desc("kg"), "hole_id")
-    best = h.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= top_n).groupBy(*spot).agg(
-        F.collect_list(F.struct("hole_id", "malla", "kg")).alias("best"))
-    sites = sums.join(best, spot)
+    # one shuffle by position serves order, sum and count; the first hole there speaks for all of the position
+    here = Window.partitionBy(*spot)
+    ranked = h.withColumns({"_r": F.row_number().over(here.orderBy(F.desc("kg"), "hole_id")), "kg_sum": F.sum("kg").over(here), "n_here": F.count(F.lit(1)).over(here)})
+    for_all = lambda c: F.when(F.col("_r") == 1, F.col(c)).alias(c)
+    sites = ranked.where(F.col("_r") <= top_n).select(*spot, "hole_id", "malla", "kg", for_all("kg_sum"), for_all("n_here"))
+    key = [*on, "section", "bench_num", "feature"]
+    wanted = features.where(F.col("fx").isNotNull()).dropna(subset=key).select(*key, "delta_m", "fx", "fy")
     # sites first: they are many, the features visit the cells around them
-    pairs = radius_join(sites, features.where(F.col("fx").isNotNull()), tolerance, on, "inner", ("x", "y"), ("fx", "fy"), "d")
+    pairs = radius_join(sites, wanted, tolerance, on, "inner", ("x", "y"), ("fx", "fy"), "d")
     floor = F.greatest(F.col("d") * F.col("d"), F.lit(BLAST.distance_floor_m2))
-    key = [*on, "section", "bench_num", "feature"]
-    total = pairs.groupBy(*key).agg(F.sum(F.col("kg_sum") / floor).alias("_total"), F.sum("n_here").alias("n_candidates"))
-    each = pairs.select(*key, "delta_m", "d", floor.alias("_f"), F.explode("best").alias("b")).select(
-        *key, "delta_m", "d", "b.*", (F.col("b.kg") / F.col("_f")).alias("score"))
-    rank = Window.partitionBy(*key).orderBy(F.desc("score"), "hole_id")
-    top = each.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= top_n)
+    # and one by feature serves total and rank
+    each = Window.partitionBy(*key)
+    top = pairs.select(*key, "delta_m", "d", "hole_id", "malla", "kg", "n_here", (F.col("kg") / floor).alias("score"), (F.col("kg_sum") / floor).alias("_share"))
+    top = top.withColumns({"_total": F.sum("_share").over(each), "n_candidates": F.sum("n_here").over(each),
+                           "rank": F.row_number().over(each.orderBy(F.desc("score"), "hole_id"))}).where(F.col("rank") <= top_n)
     share = F.when(F.col("_total") > 0, F.col("score") / F.col("_total") * 100.0).otherwise(0.0)
-    return top.join(total, key).select(
+    return top.select(
         *key, "delta_m", "n_candidates", "rank", "hole_id", "malla", "kg", F.bround("d", 3).alias("distance_m"),
         F.bround(share, 2).alias("contribution_pct"))
 

@@ -345,3 +345,16 @@ def test_lines_and_folds_of_a_group_in_one_call(spark, tmp_path, monkeypatch):
 def test_small_rings_and_loops_in_order():
     rows = surfaces.drawing_order(np.array([2, 0, 1, 7, 5, 5, 9, 9, 9]), np.array([0, 1, 2, 5, 6, 7, 9, 10, 10]))
     assert rows == [(0, 0, 6, 5, False, False), (0, 1, 5, 7, False, True), (1, 0, 9, 10, False, True), (2, 0, 0, 1, True, False), (2, 1, 1, 2, True, False), (2, 2, 2, 0, True, True)]
+
+
+def test_holes_of_a_place_are_shuffled_once_for_attribution(spark):
+    holes = spark.createDataFrame([(1, 0.0, 0.0, f"h{i}", "M", float(i % 7)) for i in range(12)] + [(1, 3.0, 4.0, "k", "N", 50.0), (1, 90.0, 0.0, "far", "N", 9.0), (1, None, 0.0, "none", "N", 9.0)],
+                                  "pit int, x double, y double, hole_id string, malla string, kg double")
+    features = spark.createDataFrame([(1, "A", 1, "crest", 0.7, 0.0, 1.0), (1, None, 1, "crest", 0.7, 0.0, 1.0), (1, "B", 1, "toe", 0.7, None, 1.0)],
+                                     "pit int, section string, bench_num int, feature string, delta_m double, fx double, fy double")
+    top = attribution.attribute_holes(features, holes, ["pit"])
+    assert plan(top).count("Exchange hashpartitioning") == 4  # by place, by cell (both sides), by feature
+    rows = top.orderBy("rank").collect()
+    total = sum(i % 7 for i in range(12)) + 50.0 / 18.0
+    assert [r["hole_id"] for r in rows] == ["h6", "h5", "h11", "h4", "h10"]
+    assert {r["n_candidates"] for r in rows} == {13} and rows[0]["contribution_pct"] == pytest.approx(6 / total * 100, abs=0.01)
