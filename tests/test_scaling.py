@@ -358,3 +358,11 @@ def test_holes_of_a_place_are_shuffled_once_for_attribution(spark):
     total = sum(i % 7 for i in range(12)) + 50.0 / 18.0
     assert [r["hole_id"] for r in rows] == ["h6", "h5", "h11", "h4", "h10"]
     assert {r["n_candidates"] for r in rows} == {13} and rows[0]["contribution_pct"] == pytest.approx(6 / total * 100, abs=0.01)
+
+
+def test_designs_travel_by_number_until_they_are_wanted(spark):
+    design = spark.createDataFrame([(1, "b", 0.0, 0.0, 7.0), (1, "a", 0.0, 0.0, 8.0), (1, "a", 0.0, 0.0, 8.0)], "pit int, row_id string, x double, y double, kg double")
+    actual = spark.createDataFrame([(1, "p", 0.5, 0.0), (1, "p", 0.5, 0.0)], "pit int, row_id string, x double, y double")
+    pairs = drilling.match_by_position(design, actual, ["pit"])
+    assert [(r["a"]["row_id"], r["d"]["row_id"], r["d"]["kg"]) for r in pairs.collect()] == [("p", "a", 8.0)] * 2
+    assert "first(kg" in plan(pairs) and "first(kg" not in plan(pairs.select("a.row_id", F.col("d.row_id").alias("d")))
