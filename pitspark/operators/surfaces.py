@@ -6,7 +6,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -385,12 +384,8 @@ def _ranked(arcs: DataFrame) -> DataFrame:
             return rows.select("id", F.when(F.col("done"), F.col("to")).alias("last"), "ahead", "stop", "low")
 
 
-def drawing_order(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int, bool, bool]]:
-    """Rows (line, pos, a, b, closed, is_last) of the segments between numbered points; the rule of ``ordered_polylines``."""
-    low, high = np.minimum(a, b), np.maximum(a, b)
-    _, once = np.unique(low * (high.max(initial=0) + 1) + high, return_index=True)
-    once = once[low[once] != high[once]]
-    low, high = low[once], high[once]
+def drawing_order(low: np.ndarray, high: np.ndarray, number: np.ndarray) -> list[tuple[int, int, int, int, bool, bool]]:
+    """Rows (line, pos, a, b, closed, is_last) of the distinct segments between numbered points; the rule of ``ordered_polylines``."""
     start, end, seg = np.concatenate([low, high]), np.concatenate([high, low]), np.tile(np.arange(len(low)), 2)
     order = np.lexsort((end, start))
     spots, at = np.unique(start[order], return_index=True)
@@ -400,12 +395,14 @@ def drawing_order(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int
 
     def walk(p: int, q: int, s: int, stop: int | None) -> None:
         nonlocal line
-        pos = 0
+        pos, began, first, home = 0, len(rows), s, p
         while True:
             seen[s] = True
             go_on = len(leaving[q]) == 2 and q != stop
             rows.append((line, pos, p, q, stop is not None, not go_on))
             if not go_on:
+                if stop is None and q == home and number[first] > number[s]:  # from a junction back to it
+                    rows[began:] = [(line, k, b, a, False, k == pos) for k, (_, _, a, b, _, _) in enumerate(reversed(rows[began:]))]
                 line += 1
                 return
             (r, t), (r2, t2) = leaving[q]
@@ -424,17 +421,19 @@ def ordered_polylines(segments: DataFrame, keys: list[str], piece: int = PIECE)
     """Segments (keys, a, b) in drawing order: keys, polyline, pos (from 0), a, b, closed, is_last.
 
     Lines end where a point has one or more than two segments; a ring starts at its smallest point towards the smaller
-    neighbour, an open line at the smaller one of its ends. Repeated segments count once. ``polyline`` tells the lines of a
-    key apart and has no further meaning. Segments are written once; those of a key are put in order in one call, where they
-    are more than ``piece`` by list ranking.
+    neighbour, an open line at the smaller one of its ends; one that comes back to the junction it began in ends with the
+    segment written later. Repeated segments count once. ``polyline`` tells the lines of a key apart and has no further
+    meaning. Segments are written once; those of a key are put in order in one call, where they are more than ``piece`` by
+    list ranking.
     """
-    segments = written(segments.select(*keys, "a", "b"), "segments")
+    # places in the order of writing give every segment a number
+    single = segments.select(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    segments = written(single.withColumn("seg", F.monotonically_increasing_id()), "segments")
     short, long = by_size(segments, keys, piece)
 
     def lines(group: pa.Table) -> pa.Table:
-        group = group.filter(pc.and_(pc.is_valid(group.column("a")), pc.is_valid(group.column("b"))))
         (a, b), points = numbered_points(_whole(group.column("a")), _whole(group.column("b")))
-        line, pos, start, end, closed, last = list(zip(*drawing_order(a, b))) or [()] * 6
+        line, pos, start, end, closed, last = list(zip(*drawing_order(a, b, group.column("seg").to_numpy()))) or [()] * 6
         out = group.select(keys).take(np.zeros(len(line), int))
         for name, values in (("polyline", pa.array(line, pa.int64())), ("pos", pa.array(pos, pa.int64())), ("a", points.take(pa.array(start, pa.int64()))),
                              ("b", points.take(pa.array(end, pa.int64()))), ("closed", pa.array(closed, pa.bool_())), ("is_last", pa.array(last, pa.bool_()))):
@@ -447,10 +446,8 @@ def ordered_polylines(segments: DataFrame, keys: list[str], piece: int = PIECE)
     return out if long is None else out.unionByName(_lines_long(long, keys))
 
 
-def _lines_long(segments: DataFrame, keys: list[str]) -> DataFrame:
+def _lines_long(single: DataFrame, keys: list[str]) -> DataFrame:
     """The same by list ranking; arcs and what is known of them are as many as the segments: such tables meet by sorted shuffles."""
-    # places in the order of writing give every segment a number
-    single = cut_lineage(segments.select(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct().withColumn("seg", F.monotonically_increasing_id()))
     way = lambda i, u, v: F.struct((F.col("seg") * 2 + i).alias("id"), F.col(u).alias("start"), F.col(v).alias("end"))
     arcs = single.select(*keys, "seg", F.explode(F.array(way(0, "a", "b"), way(1, "b", "a"))).alias("w")).select(*keys, "seg", "w.*")
     # two arcs leave a point in the middle of a line; who comes in against the one goes on with the other

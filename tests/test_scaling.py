@@ -343,8 +343,13 @@ def test_lines_and_folds_of_a_group_in_one_call(spark, tmp_path, monkeypatch):
 
 
 def test_small_rings_and_loops_in_order():
-    rows = surfaces.drawing_order(np.array([2, 0, 1, 7, 5, 5, 9, 9, 9]), np.array([0, 1, 2, 5, 6, 7, 9, 10, 10]))
-    assert rows == [(0, 0, 6, 5, False, False), (0, 1, 5, 7, False, True), (1, 0, 9, 10, False, True), (2, 0, 0, 1, True, False), (2, 1, 1, 2, True, False), (2, 2, 2, 0, True, True)]
+    order = lambda *pairs, number=range(9): surfaces.drawing_order(*np.array(pairs).T, list(number))
+    assert order((0, 2), (0, 1), (1, 2), (5, 7), (5, 6), (9, 10)) == [
+        (0, 0, 6, 5, False, False), (0, 1, 5, 7, False, True), (1, 0, 9, 10, False, True), (2, 0, 0, 1, True, False), (2, 1, 1, 2, True, False), (2, 2, 2, 0, True, True)]
+    # a loop at the junction 2 ends with its later segment
+    loop = [(0, 2), (2, 3), (3, 4), (2, 4)]
+    assert [r[2:4] for r in order(*loop)] == [(0, 2), (2, 3), (3, 4), (4, 2)]
+    assert [r[1:4] for r in order(*loop, number=(0, 3, 2, 1))] == [(0, 0, 2), (0, 2, 4), (1, 4, 3), (2, 3, 2)]
 
 
 def test_holes_of_a_place_are_shuffled_once_for_attribution(spark):
